@@ -1,0 +1,8 @@
+"""Queries over the driver's tables, by what they are about."""
+
+from __future__ import annotations
+
+from antiphon.plans import chats, corpus, journals, matching, selection
+from antiphon.plans.registry import ORACLE, QUERIES, Query
+
+__all__ = ["ORACLE", "QUERIES", "Query", "chats", "corpus", "journals", "matching", "selection"]
