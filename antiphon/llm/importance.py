@@ -8,7 +8,7 @@ weight plus temperature times Gumbel noise, where k is how many documents' log w
 
 The models: an n-gram counts once for each context (the words beside it), so copies and shared passages weigh nothing; its
 log ratio to what its class's size lets expect is shrunk by `shrink` counts, and ratios that are small or not significant are
-left out. Contexts are gathered only for n-grams whose counts of documents differ between classes at all. Training uses at
+left out. Contexts are gathered only for n-grams whose counts of documents differ between classes. Training uses at
 most MAX_TRAIN labelled documents (the first by their id's hash). All documents are scored whole, and all count for the
 mixture's shares and for k.
 
@@ -61,7 +61,7 @@ class _Grams:
         self.pair: dict[tuple[bytes, bytes], int] = {}
 
     def learn(self, words: list[bytes]) -> tuple[set[bytes], list[bytes]]:
-        if len(self.word) > 300_000:
+        if len(self.word) > 150_000:
             self.word, self.shape = {}, {}
         distinct = set(words)
         for w in distinct.difference(self.word):
@@ -74,7 +74,7 @@ class _Grams:
     def pair_bucket(self, pair: tuple[bytes, bytes]) -> int:
         found = self.pair.get(pair)
         if found is None:
-            if len(self.pair) > 300_000:
+            if len(self.pair) > 150_000:
                 self.pair.clear()
             found = self.pair[pair] = _bucket(b"d", b" ".join(pair))
         return found
@@ -86,7 +86,7 @@ class _Grams:
         out.update(map(self.pair_bucket, set(zip(shapes, shapes[1:]))))
         if any(map(operator.eq, words, words[1:])):
             out.add(REPEAT)
-        if len(self.of_shape) > 300_000:
+        if len(self.of_shape) > 150_000:
             self.of_shape, self.word, self.shape = {}, {}, {}
         return out
 
@@ -126,7 +126,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _context_rows(wanted: dict[str, set[int]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
-        for batch in C.chunks(batches):
+        for batch in C.chunks(batches, most=C.CHUNK_BYTES // 4):
             out: dict[tuple[str, int], set[tuple[int, int]]] = {}
             for text, lang, kind in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 out.setdefault((lang, kind), set()).update(grams.in_context(C.split_words(text), wanted.get(lang, set())))
@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     # Bounded by the sample, and by BUCKETS for each language.
     for r in seen.collect():
         n, total = np.array(r[2:], float), of_language[r.lang]
-        if (np.abs(np.log((n + 1) / (n.sum() * total / total.sum() + 1))) > LEAST_RATIO / 3).any():
+        expected = n.sum() * total / total.sum()
+        # Laxer than the models' own rule.
+        if ((np.abs(np.log((n + 1) / (expected + 1))) > LEAST_RATIO / 1.6) & (np.abs(n - expected) / np.sqrt(expected + 1) > LEAST_SIGMA / 1.6)).any():
             wanted.setdefault(r.lang, set()).add(r.bucket)
     contexts = train.mapInArrow(_context_rows(wanted), "lang string, class int, bucket int, context long").distinct()
     counts: dict[str, dict[int, np.ndarray]] = {}
