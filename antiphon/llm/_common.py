@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these six bytes.
@@ -59,6 +59,21 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, out: DataFrame, own: Column) -> DataFrame:
+    """The rows of docs, all their columns, whose doc_id and `own` value aren't among the two columns of out (null ids equal each other)."""
+    a, b = free_name(docs, "out_doc"), free_name(docs, "out_value")
+    out = out.toDF(a, b)
+    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(F.col(a)) & (own == F.col(b)), "left_anti")
+
+
 def text_frame(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as long, text as string with null as empty, and the columns named; whatever else docs has is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *columns)

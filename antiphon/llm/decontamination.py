@@ -174,6 +174,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFr
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
     """The rows of docs, all their columns, that hold no test item."""
-    hits = C.keep(contaminated_passages(docs, benchmark, **how).select("doc_id", "version").distinct(), "contaminated").select(F.col("doc_id").alias("hit_doc"), F.col("version").alias("hit_version"))
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(F.col("hit_doc")) & (own == F.col("hit_version")), "left_anti")
+    hits = C.keep(contaminated_passages(docs, benchmark, **how).select("doc_id", "version").distinct(), "contaminated")
+    return C.without(docs, hits, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))

@@ -267,6 +267,5 @@ def importance(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, tempera
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
     """The rows of docs, all their columns, that are drawn."""
-    out = importance(docs, labels, **how).where("NOT kept").select(F.col("doc_id").alias("out_doc"), F.col("version").alias("out_version")).distinct()
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(F.col("out_doc")) & (own == F.col("out_version")), "left_anti")
+    out = importance(docs, labels, **how).where("NOT kept").select("doc_id", "version").distinct()
+    return C.without(docs, out, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))

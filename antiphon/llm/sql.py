@@ -20,5 +20,3 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest
 FROM d JOIN m USING (hex) JOIN b USING (hex)
 """
 
-ORACLE["op6_fingerprints"] = ""
-del ORACLE["op6_fingerprints"]
