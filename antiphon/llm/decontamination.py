@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-grams as seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: Smith-Waterman alignment of every document with every test item that it may hold.
 
-Texts are compared as words of lower-case letters and digits (ASCII capitals are lowered, ASCII marks are white space). How
-many documents hold each gram of `gram` words of the test items is counted over all documents. In each item the rarest gram
-of every CELL neighbours is a seed, so a copy that is edited anywhere still holds some seeds, and an item whose passage is in
-a third of all documents has seeds, too. A passage of a document around a seed's place is a candidate if it has as many of
-the item's words as the threshold needs; it's aligned with the item (2 for equal words, -1 for different ones and for a gap),
-and the score is divided by that of a whole copy.
+Texts are compared as words of lower-case letters and digits (ASCII capitals are lowered, ASCII marks are white space). A
+passage's score is that of its local alignment with the item (2 for equal words, -1 for different ones and for a gap),
+divided by that of a whole copy. Two bounds leave out what can't reach the least score, and nothing else: so many of an
+item's words must be equal that any set of all but one fewer of its places has one of them (the places whose words are rarest
+in the batch are taken); and words of the passage count 2 at most if the item has them, else -1, so a passage whose best
+run of such counts stays below the least score is none. Which words or grams an edit broke makes no difference, nor how many
+documents hold an item's words.
 
 Test items are held by every task in blocks of BLOCK_CHARS characters at most, so their number is not limited: each block is
 one more scan of the documents.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from antiphon.llm import _common as C
 
-GRAM, CELL, LEAST_SCORE, LEAST_WORDS = 3, 3, 0.5, 8
+GRAM, LEAST_SCORE, LEAST_WORDS = 3, 0.5, 8
 MATCH, DIFFERENT, GAP = 2, -1, -1
 BLOCK_CHARS = 8_000_000
 
@@ -41,36 +42,50 @@ def _alphabet() -> np.ndarray:
 
 
 class _Items:
-    """A block of test items as word hashes, with the grams of each."""
+    """A block of test items as word hashes, with what each needs."""
 
-    def __init__(self, rows: list[tuple[int, str]], gram: int):
-        self.gram, self.of_word, self.of_gram, self.alphabet = gram, C.Rolling(31), C.Rolling(32), _alphabet()
+    def __init__(self, rows: list[tuple[int, str]], gram: int, least_score: float, least_words: int):
+        self.of_word, self.alphabet = C.Rolling(31), _alphabet()
         words = C.Words(pa.array([t or "" for _, t in rows], pa.string()), self.of_word, self.alphabet)
-        self.ids = [i for i, _ in rows]
-        self.words = [words.hash[a:b] for a, b in zip(words.rows, words.rows[1:])]
-        grams, places = self.grams(words)
-        row = words.row_of()[places]
-        self.place = np.stack([row, places - words.rows[row]], 1) if len(places) else np.zeros((0, 2), np.int64)
-        self.gram_of = grams
-        self.distinct = np.unique(grams)
-
-    def grams(self, words: C.Words) -> tuple[np.ndarray, np.ndarray]:
-        begin = np.flatnonzero(words.room() >= self.gram)
-        return self.of_gram.spans(self.of_gram.prefix(words.hash), begin, begin + self.gram), begin
+        long = [k for k, n in enumerate(np.diff(words.rows)) if n >= max(1, gram)]
+        self.ids = [rows[k][0] for k in long]
+        self.words = [words.hash[words.rows[k] : words.rows[k + 1]] for k in long]
+        self.known = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        self.least = np.where(self.n >= least_words, least_score, 1.0) * MATCH * self.n
+        #: Places of which an alignment has one at least, and words that it may miss or have too many.
+        self.some = self.n + 1 - np.ceil(self.least / MATCH - 1e-9).astype(np.int64)
+        self.slack = np.ceil(MATCH * self.n - self.least).astype(np.int64)
+        self.item_of = np.repeat(np.arange(len(self.n)), self.n)
+        self.word_of = np.searchsorted(self.known, np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.own = [np.unique(np.searchsorted(self.known, w)) for w in self.words]
+        self.rank = np.arange(len(self.item_of)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
 
     def parse(self, column: pa.Array) -> C.Words:
         return C.Words(column, self.of_word, self.alphabet)
 
-    def choose(self, frequency: np.ndarray) -> None:
-        """frequency: documents that hold each of self.distinct. Keeps the rarest gram of each cell."""
-        own = frequency[np.searchsorted(self.distinct, self.gram_of)]
-        cell = self.place[:, 0] << 32 | self.place[:, 1] // CELL
-        order = np.lexsort((self.place[:, 1], own, cell))
-        first = np.ones(len(order), bool)
-        first[1:] = cell[order][1:] != cell[order][:-1]
-        chosen = order[first]
-        chosen = chosen[np.argsort(self.gram_of[chosen], kind="stable")]
-        self.seeds, self.seed_place = self.gram_of[chosen], self.place[chosen]
+    def passages(self, words: C.Words) -> Iterator[tuple[int, int, int, int]]:
+        """(item, row, begin, end), in words of the batch: passages that hold every alignment that reaches the least score."""
+        if not len(self.known):
+            return
+        at = np.minimum(np.searchsorted(self.known, words.hash), len(self.known) - 1)
+        here = np.flatnonzero(self.known[at] == words.hash)
+        order = np.argsort(at[here], kind="stable")
+        place, row = here[order], words.row_of()
+        edge = np.searchsorted(at[place], np.arange(len(self.known) + 1))
+        held = np.diff(edge)[self.word_of]
+        rarest = np.lexsort((held, self.item_of))[self.rank < self.some[self.item_of]]
+        for i in np.unique(self.item_of[rarest[held[rarest] > 0]]).tolist():
+            hits = np.sort(np.concatenate([place[edge[w] : edge[w + 1]] for w in self.own[i]]))
+            # Texts are set apart, so that no run goes on in the next one for long.
+            gain = (MATCH - GAP) * np.arange(len(hits)) + GAP * (hits + row[hits] * MATCH * self.n[i])
+            ends = hits[gain - np.minimum.accumulate(gain) + MATCH >= self.least[i]]
+            if not len(ends):
+                continue
+            begins = np.maximum(words.rows[row[ends]], ends + 1 - self.n[i] - self.slack[i])
+            new = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]]))
+            for a, b in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(ends) - 1]):
+                yield i, int(row[ends[a]]), int(begins[a]), int(ends[b]) + 1
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -87,55 +102,18 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _count(items: _Items):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.distinct), np.int64)
-        for batch in C.chunks(batches):
-            words = items.parse(batch.column(1))
-            grams, begin = items.grams(words)
-            at = np.searchsorted(items.distinct, grams)
-            at[at == len(items.distinct)] = 0
-            hit = items.distinct[at] == grams if len(items.distinct) else np.zeros(len(grams), bool)
-            pair = np.unique(words.row_of()[begin[hit]] << 32 | at[hit])
-            total += np.bincount(pair & 0xFFFFFFFF, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
-
-    return count
-
-
-def _scan(items: _Items, least_score: float, least_words: int):
-    def candidates(words: C.Words) -> dict[tuple[int, int], list[int]]:
-        """By (row, item): where the item would begin, in words of the row, by each seed that is there."""
-        grams, begin = items.grams(words)
-        lo, hi = np.searchsorted(items.seeds, grams), np.searchsorted(items.seeds, grams, "right")
-        found: dict[tuple[int, int], list[int]] = {}
-        rows = words.row_of()
-        for k in np.flatnonzero(hi > lo):
-            row, at = int(rows[begin[k]]), int(begin[k] - words.rows[rows[begin[k]]])
-            for item, place in items.seed_place[lo[k] : hi[k]]:
-                found.setdefault((row, int(item)), []).append(at - int(place))
-        return found
-
+def _scan(items: _Items):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.chunks(batches):
-            words, out = items.parse(batch.column(1)), []
-            for (row, i), begins in sorted(candidates(words).items()):
-                item = items.words[i]
-                n = len(item)
-                least, slack = (least_score if n >= least_words else 1.0) * MATCH * n, max(3, n // 3)
-                own = words.hash[words.rows[row] : words.rows[row + 1]]
-                begins, best = sorted(set(begins)), (0, 0)
-                while begins:  # places that lie near each other are one passage
-                    last = next((k for k in range(1, len(begins)) if begins[k] - begins[k - 1] > slack), len(begins))
-                    first = max(0, begins[0] - slack)
-                    passage = own[first : begins[last - 1] + n + slack]
-                    if np.isin(item, passage).sum() * MATCH >= least:
-                        score, end = align(item, passage)
-                        best = max(best, (score, first + end))
-                    begins = begins[last:]
-                if best[0] >= least:
-                    out.append((row, items.ids[i], best[0] / (MATCH * n), best[1]))
+            words = items.parse(batch.column(1))
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for i, row, begin, end in items.passages(words):
+                item, passage = items.words[i], words.hash[begin:end]
+                if np.isin(item, passage).sum() * MATCH >= items.least[i]:
+                    score, last = align(item, passage)
+                    if score >= items.least[i]:
+                        best[row, i] = max(best.get((row, i), (0, 0)), (score, begin + last - int(words.rows[row])))
+            out = [(row, items.ids[i], score / (MATCH * int(items.n[i])), end) for (row, i), (score, end) in sorted(best.items())]
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64())], names=["doc_id", "version", "item_id", "score", "end_word"])
 
@@ -151,14 +129,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = GRA
     out = None
     for b in range(n_blocks):
         rows = tests.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
-        items = _Items([(r.item_id, r.text) for r in rows], gram)
-        frequency = np.zeros(len(items.distinct), np.int64)
-        if len(items.distinct):
-            # A row for each gram of this block of items.
-            for r in texts.mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-                frequency[r.gram] = r.n
-        items.choose(frequency)
-        hits = texts.mapInArrow(_scan(items, least_score, least_words), "doc_id long, version long, item_id long, score double, end_word long")
+        items = _Items([(r.item_id, r.text) for r in rows], gram, least_score, least_words)
+        hits = texts.mapInArrow(_scan(items), "doc_id long, version long, item_id long, score double, end_word long")
         out = hits if out is None else out.unionByName(hits)
     return out
 

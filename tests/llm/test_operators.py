@@ -242,6 +242,29 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontamination.clean_documents(docs, bench).collect()} == {1, 4}
 
 
+def test_decontamination_of_edited_copies(spark):
+    draw, word = random.Random(9), lambda k: f"v{min(int(random.Random(k).paretovariate(0.5)), 3000)}"
+    items = {i: [f"q{i}" if draw.random() < 0.1 else word(draw.random()) for _ in range(draw.randint(3, 60))] for i in range(40)}
+    edit = {"change": lambda x, k: [f"c{k}"], "insert": lambda x, k: [x, f"i{k}"], "delete": lambda x, k: [], "block": lambda x, k: [x, *(f"b{j}" for j in range(len(items[k % 40]) // 2))] if k % 3 == 0 else [x]}
+    noise, rows = lambda: [word(draw.random()) for _ in range(draw.randint(0, 80))], []
+    for i, own in items.items():
+        for how, f in edit.items():
+            for step in range(1, 8):
+                rows.append((len(rows), noise() + [y for k, x in enumerate(own) for y in (f(x, k) if k % step == step - 1 else [x])] + noise()))
+    code: dict[str, int] = {}
+    number = lambda w: np.array([code.setdefault(x, len(code)) for x in w])
+    want = {}
+    for doc, w in rows:
+        for i, own in items.items():
+            score = decontamination.align(number(own), number(w))[0] / (2 * len(own)) if w else 0
+            if score >= (0.5 if len(own) >= 8 else 1):
+                want[doc, i] = score
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated_passages(docs, bench).collect()}
+    assert got == want and len({d for d, _ in want}) > 500
+
+
 def test_align():
     a = np.array([1, 2, 3, 4, 5])
     assert decontamination.align(a, np.array([9, 1, 2, 3, 4, 5, 9])) == (10, 6)
