@@ -37,7 +37,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")
 _LOOSE_EMAIL = re.compile(r"\b[A-Za-z0-9_]{2,32} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{2,32} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,8}\b")
 # Words that announce each kind.
@@ -104,7 +104,8 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     found = [(m.start(), m.end(), 2) for m in _SECRET.finditer(text)]
     if re.search("[0-9]{3}[ .-][0-9]", text):
         found += [(m.start(), m.end(), 1) for m in _LOOSE_PHONE.finditer(text)]
-    if "(at)" in text or "[at]" in text or " dot " in text:
+    # Every match has one of these.
+    if "(dot)" in text or "[dot]" in text or " dot " in text:
         found += [(m.start(), m.end(), 0) for m in _LOOSE_EMAIL.finditer(text)]
     busy = sorted((b, e) for _, b, e in taken)
     out, at, done = [], 0, 0

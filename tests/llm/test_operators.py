@@ -316,6 +316,21 @@ def test_pii(spark, documents, texts):
     assert "[SECRET]" in row.text and "plainletters" in row.text and row.n_chars == len(row.text)
 
 
+def test_pii_gates():
+    for text in ("joe at example (dot) com", "joe at example[dot]com", "joe(at)example dot com", "joe [at] example [dot] com"):
+        assert [(k, text[b:e]) for k, b, e, _, _ in pii.loose_spans(text, [])] == [(0, text)]
+    draw = random.Random(11)
+    for n in (19, 20, 128, 129, 500, 5000):
+        key = "".join(draw.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
+        assert [(k, b, e) for k, b, e, _, _ in pii.loose_spans(f'token = "{key}=" and more', [])] == [(2, 9, 9 + n + 1)] * (n >= 20)
+
+
+def test_long_secrets_are_masked(spark):
+    draw = random.Random(12)
+    rows = [(i, f'some words token = "{"".join(draw.choice("abcdef0123456789XYZ") for _ in range(200))}" and more') for i in range(50)]
+    assert all("[SECRET]" in r.text for r in pii.masked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_importance(spark):
     draw = random.Random(7)
     text = lambda bad: " ".join([f"w{min(int(draw.paretovariate(0.6)), 5000)}" for _ in range(80)] + ["vile", "scorn"][: 2 * bad])
