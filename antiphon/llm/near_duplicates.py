@@ -7,8 +7,11 @@ orders. A pair at 0.8 has equal samples in a band with probability 0.51, in none
 Documents with a short fingerprint in common are candidates: in each bucket, all against at most REPRESENTATIVES of its
 documents (the smallest and largest doc_id and others drawn by hash), so the number of candidates is linear in a bucket's
 size, and no pairs within a group are made. Whole fingerprints more than FAR bits apart end a candidate; the others' shingle
-sets are compared exactly. In buckets of up to REPRESENTATIVES + 1 documents every pair is looked at; in larger ones a link
-can be missed only if it runs through no representative of any of its buckets.
+sets are compared exactly. In buckets of up to REPRESENTATIVES + 1 documents every pair is looked at so; larger ones whose
+documents these links don't join into one group are then cut into cells of about CELL documents, and the shingle sets of every
+two documents that are not joined yet are compared, cell by cell. A cell returns a forest of the links it finds, never all
+pairs. So every pair with a short fingerprint in common is either compared or in one group already. The work in a large bucket
+that stays apart is quadratic in its size, the memory is not.
 
 Exact copies (equal texts) are one document from the start. One document of each group stays: the smallest doc_id.
 """
@@ -24,9 +27,12 @@ from pyspark.sql import functions as F
 
 from antiphon.llm import _common as C
 from antiphon.llm.components import components
+from antiphon.llm.simhash import Forest
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, SAMPLED, REPRESENTATIVES, FAR = 20, 3, 4, 26
+#: Documents of a large bucket on either side of a comparison, about; shingles whose holders are multiplied at a time.
+CELL, COLUMNS = 1_024, 4_096
 
 
 class _Shingles:
@@ -102,6 +108,87 @@ def _compare(least: float):
     return compare
 
 
+def common_shingles(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of x shares with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    sides = []
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    for sets in (x, y):
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], row[hit][order]))
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for (at, row), sets in zip(sides, (x, y)):
+            a, b = np.searchsorted(at, (first, first + COLUMNS))
+            part = np.zeros((len(sets), min(COLUMNS, len(both) - first)), np.float32)
+            part[row[a:b], at[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compare_cells(least: float):
+    """Links between the groups (roots) of a pair of cells: a spanning forest of them."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        roots, label = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        own = table.column("own").to_numpy()
+        inside = bool((table.column("ci").to_numpy() == table.column("cj").to_numpy()).all())
+        found: list[tuple[int, int]] = []
+        if len(roots) > 1:
+            sets = [np.frombuffer(x, "<u4") for x in table.column("shingles").to_pylist()]
+            sizes, forest = np.array([len(x) for x in sets]), Forest(len(roots))
+            left = np.flatnonzero(own == table.column("ci").to_numpy())
+            right = left if inside else np.flatnonzero(own == table.column("cj").to_numpy())
+            # By size, so that blocks whose sizes lie too far apart need no look.
+            left, right = left[np.argsort(sizes[left], kind="stable")], right[np.argsort(sizes[right], kind="stable")]
+            for i in range(0, len(left), CELL // 4):
+                x = left[i : i + CELL // 4]
+                for j in range(0, len(right), CELL // 4):
+                    y = right[j : j + CELL // 4]
+                    if (inside and j < i) or sizes[x[-1]] < least * sizes[y[0]] or sizes[y[-1]] < least * sizes[x[0]]:
+                        continue
+                    now = forest.roots()[label]
+                    if (now[x] == now[x[0]]).all() and (now[y] == now[x[0]]).all():
+                        continue
+                    common = common_shingles([sets[k] for k in x], [sets[k] for k in y])
+                    near = (common >= least * (sizes[x][:, None] + sizes[y][None, :] - common) - 1e-9) & (now[x][:, None] != now[y][None, :])
+                    for a, b in zip(*np.nonzero(near)):
+                        if forest.join(label[x[a]], label[y[b]]):
+                            found.append((label[x[a]], label[y[b]]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({k: pa.array(roots[pairs[:, i]]) for i, k in enumerate("ab")})
+
+    return compare
+
+
+def large_buckets(signed: DataFrame) -> DataFrame:
+    """doc_id, band, key, n: the documents of buckets in which not every pair has a representative."""
+    rows = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    large = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > REPRESENTATIVES + 1)
+    return rows.join(large, ["band", "key"]).select("doc_id", "band", "key", "n")
+
+
+def joined_in_buckets(members: DataFrame, linked: DataFrame, sets: DataFrame, least: float, cell: int) -> DataFrame:
+    """linked (node, root) with the groups joined whose documents have a link in a large bucket."""
+    rooted = members.join(linked.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = C.keep(rooted, "members")
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    h = F.ceil(F.col("n") / cell)
+    cells = rooted.join(apart, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), h))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), h - 1)))
+    cells = cells.select("doc_id", "root", "band", "key", "own", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")).join(sets, "doc_id")
+    new = components(cells.groupBy("band", "key", "ci", "cj").applyInArrow(_compare_cells(least), "a long, b long"))
+    new = C.keep(new, "joined")
+    C.forget(rooted)
+    every = linked.select("node", "root").union(new.select("node", F.col("node").alias("root"))).distinct()
+    top = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -119,7 +206,7 @@ def candidates(signed: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, cell: int = CELL) -> DataFrame:
     """doc_id, digest, stays: a row for each distinct (doc_id, text)."""
     texts = C.text_frame(docs, _digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
     signed = C.keep(texts.mapInArrow(_sign(shingle), "doc_id long, digest binary, fp long, bands array<long>"), "signatures")
@@ -127,14 +214,16 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Dat
     # One row for each text; an id that stands for two texts is compared with the text of the smaller digest.
     distinct = signed.join(first, "digest").where("doc_id = first").groupBy("doc_id").agg(F.min(F.struct("digest", "fp", "bands")).alias("x")).select("doc_id", "x.digest", "x.fp", "x.bands")
     pairs = C.keep(candidates(distinct), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    members = C.keep(large_buckets(distinct), "large-buckets")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("doc_id")).distinct()
     chosen = distinct.select("doc_id", "digest").join(wanted, "doc_id", "left_semi")
     sets = texts.join(chosen, ["doc_id", "digest"], "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     sets = C.keep(sets, "shingle-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     linked = components(both.mapInArrow(_compare(least), "a long, b long"))
-    C.forget(pairs, sets)
+    linked = C.keep(joined_in_buckets(members, linked, sets, least, cell), "linked")
+    C.forget(pairs, sets, members)
     drops = linked.where("node <> root").select(F.col("node").alias("first"))
     keepers = first.join(drops, "first", "left_anti")
     out = signed.select("doc_id", "digest").distinct().join(keepers.select("digest", F.col("first").alias("keeper")), "digest", "left")

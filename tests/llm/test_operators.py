@@ -228,6 +228,32 @@ def test_near_duplicates(spark):
     assert {r.doc_id for r in near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+@pytest.mark.parametrize("cell", [near_duplicates.CELL, 64])
+def test_near_duplicates_of_large_groups(spark, cell):
+    """A star (copies near their base only), a chain, and texts that share half of their words."""
+    draw = random.Random(10)
+    base, chain, shared = ([f"{k}{i}" for i in range(n)] for k, n in (("s", 200), ("c", 200), ("h", 100)))
+    star = [[f"e{c}x{i}" if i % 50 == c % 50 else x for i, x in enumerate(base)] for c in range(300)]
+    rows = [(draw.randrange(10**9), w) for w in [base, *star]]
+    for step in range(300):
+        chain = [f"c{step}x{i}" if i == step * 7 % 200 else x for i, x in enumerate(chain)]
+        rows.append((draw.randrange(10**9), chain))
+    rows += [(draw.randrange(10**9), shared + [f"u{k}x{i}" for i in range(80)]) for k in range(100)]
+    draw.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, w in rows]
+    up = simhash.Forest(len(rows))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                up.join(i, j)
+    least: dict[int, int] = {}
+    for i, (d, _) in enumerate(rows):
+        least[up.root(i)] = min(least.get(up.root(i), d), d)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = near_duplicates.groups(docs, cell=cell).where("stays").collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values()) and len(least) == 102
+
+
 def test_decontamination(spark):
     draw = random.Random(5)
     item = [f"q{i}" for i in range(30)]
