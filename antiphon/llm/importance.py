@@ -2,15 +2,17 @@
 
 Target, low-quality and toxic text each have a generative model over hashed n-grams (words, word shapes, pairs of shapes,
 immediate repeats), one set for each language with enough labelled documents and one for all others. A document's importance
-weight is its probability under the target's model over that under the raw text's, which is the mixture of the three with
-shares fitted to the whole corpus by expectation-maximisation. Documents are drawn by Gumbel top-k: the k largest of log
+weight is its probability under the target's model over that under the raw text's, which is the mixture of the three and of
+one more that is counted over all documents, with shares fitted to the whole corpus by expectation-maximisation. Documents are drawn by Gumbel top-k: the k largest of log
 weight plus temperature times Gumbel noise, where k is how many documents' log weight reaches `floor`.
 
 The models: an n-gram counts once for each context (the words beside it), so copies and shared passages weigh nothing; its
 log ratio to what its class's size lets expect is shrunk by `shrink` counts, and ratios that are small or not significant are
 left out. Contexts are gathered only for n-grams whose counts of documents differ between classes. Training uses at
-most MAX_TRAIN labelled documents (the first by their id's hash). All documents are scored whole, and all count for the
-mixture's shares and for k.
+most MAX_TRAIN labelled documents (the first by their id's hash). The raw text's own model has for each n-gram how many
+distinct texts of the whole corpus hold it, against how many of those in the labelled sample do, by the same rules (at the
+sample's size): n-grams that are frequent in the corpus, but not where there are labels, speak against a document. All
+documents are scored whole, and all count for the mixture's shares and for k.
 
 Edge cases: a null text is empty; an empty text has only the mixture's shares to go by and is kept. Labels: toxic 1 makes a
 document toxic, else quality 0 low quality, else quality 1 target; other labels are left out; of several for one id the worst
@@ -40,6 +42,8 @@ SHRINK, LEAST_SIGMA, LEAST_RATIO, LEAST_COUNT, LEAST_DOCS = 4.0, 4.0, 1.4, 8, 10
 MEASURE, EVERY = 16, -1
 FLOOR, TEMPERATURE, SEED = -3.5, 0.1, 20
 N_CLASSES = 3
+#: Share of the raw text's own model before the fit.
+OTHER = 0.05
 _SHAPE = bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.S)
 
@@ -123,6 +127,57 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "class", "bucket", "n"])
 
 
+def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams = _Grams()
+    for batch in C.chunks(batches):
+        rows = [sorted(grams.present(C.split_words(text))) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "lang", "version", "row", "buckets"])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of lists, and the row of each."""
+    sizes = np.array([len(x) for x in column], np.int64) if column.null_count else np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
+
+
+def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By language: documents that hold each bucket, and labelled ones."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        langs, labelled = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        buckets, row = _flat(batch.column(1))
+        for lang in set(langs.tolist()):
+            own = total.setdefault(lang, np.zeros((2, BUCKETS), np.int64))
+            mine = (langs == lang)[row]
+            own[0] += np.bincount(buckets[mine], minlength=BUCKETS)
+            own[1] += np.bincount(buckets[mine & labelled[row]], minlength=BUCKETS)
+    for lang, own in total.items():
+        some = np.flatnonzero(own[0])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[0][some]), pa.array(own[1][some])], names=["lang", "bucket", "raw", "known"])
+
+
+def _raw_ratios(present: DataFrame, chosen: DataFrame, enough: set[str]) -> dict[str, dict[int, float]]:
+    """For each language with a model: log ratios of buckets between all distinct texts and those in the labelled sample."""
+    first = present.groupBy("version").agg(F.min("row").alias("row")).select("row")
+    own = F.when(F.col("lang").isin(*enough), F.col("lang")).otherwise("") if enough else F.lit("")
+    rows = present.join(first, "row", "left_semi").join(F.broadcast(chosen.select("doc_id", F.lit(True).alias("known"))), "doc_id", "left")
+    counts = rows.select(own.alias("lang"), "buckets", F.coalesce("known", F.lit(False)).alias("known")).mapInArrow(_corpus_counts, "lang string, bucket int, raw long, known long")
+    sums = F.sum("raw").alias("raw"), F.sum("known").alias("known")
+    by_language = C.keep(counts.groupBy("lang", "bucket").agg(*sums), "raw-counts")
+    # The model without a language is that of all together.
+    counts = by_language.where("lang <> ''").union(by_language.groupBy(F.lit("").alias("lang"), "bucket").agg(*sums))
+    totals = counts.groupBy("lang").agg(F.sum("known") / F.sum("raw")).collect()
+    out: dict[str, dict[int, float]] = {}
+    for lang, scale in totals:
+        seen, expected = F.col("raw") * float(scale), F.col("known")
+        ratio = F.log((seen + SHRINK) / (expected + SHRINK))
+        # As the sample is small, it's its count that may differ by chance. At most BUCKETS rows.
+        good = (F.abs(expected - seen) / F.sqrt(seen + 1) > LEAST_SIGMA) & (F.abs(ratio) > LEAST_RATIO)
+        out[lang] = {r.bucket: r.ratio for r in counts.where((F.col("lang") == lang) & good).select("bucket", ratio.alias("ratio")).collect()} if scale else {}
+    C.forget(by_language)
+    return out
+
+
 def _context_rows(wanted: dict[str, set[int]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
@@ -158,18 +213,32 @@ class Model:
             good = ((np.abs(seen - expected) / np.sqrt(expected + 1) > LEAST_SIGMA) & (np.abs(ratio) > LEAST_RATIO)).any(1)
             self.of[lang] = {int(b): i for i, b in enumerate(buckets[good])}, ratio[good]
 
-    def score(self, lang: str, present: set[int]) -> np.ndarray:
-        index, ratio = self.of.get(lang) or self.of.get("") or ({}, np.zeros((0, N_CLASSES)))
-        return ratio[[index[b] for b in present if b in index]].sum(0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Model, np.ndarray]:
-    """The models, and the classes' shares among the labelled documents."""
+    def add(self, raw: dict[str, dict[int, float]]) -> None:
+        """The raw text's own log ratios, as one more column."""
+        for lang, (index, ratio) in self.of.items():
+            own = raw.get(lang, {})
+            for b in own:
+                index.setdefault(b, len(index))
+            wide = np.zeros((len(index), N_CLASSES + 1))
+            wide[: len(ratio), :N_CLASSES] = ratio
+            wide[[index[b] for b in own], N_CLASSES] = list(own.values())
+            self.of[lang] = index, wide
+
+    def table(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted buckets, and their log ratios."""
+        index, ratio = self.of.get(lang) or self.of.get("") or ({}, np.zeros((0, N_CLASSES + 1)))
+        buckets = np.array(list(index), np.int64)
+        order = np.argsort(buckets)
+        return buckets[order], ratio[np.array(list(index.values()), np.int64)[order]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, present: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Model, np.ndarray]:
+    """The models, and the shares to begin with: the classes' among the labelled documents, and OTHER. present: the buckets of all documents."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label_class().alias("class")).where("doc_id IS NOT NULL AND class IS NOT NULL").groupBy("doc_id").agg(F.max("class").alias("class"))
     # At most max_train rows of two numbers: the sample may be broadcast.
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    chosen = C.keep(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "chosen")
     train = C.text_frame(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
-    train = C.keep(train.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "class"), "train")
+    train = kept = C.keep(train.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "class"), "train")
     per_language = {(r.lang, r["class"]): r.n for r in train.groupBy("lang", "class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "class").limit(1000).collect()}
     enough = {lang for lang, _ in per_language if lang and all(per_language.get((lang, k), 0) >= (LEAST_DOCS if k == 0 else 1) for k in range(N_CLASSES))}
     train = train.withColumn("lang", F.when(F.col("lang").isin(*enough), F.col("lang")).otherwise("") if enough else F.lit(""))
@@ -201,8 +270,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
             everything[b] = everything.get(b, 0) + n
     if totals:
         totals[""], counts[""] = sum(totals.values()), everything
+    C.forget(kept)
     share = np.array([sum(n for (_, kind), n in per_language.items() if kind == k) for k in range(N_CLASSES)], float)
-    return Model(totals, counts), (share + 1) / (share + 1).sum()
+    model = Model(totals, counts)
+    if model.of:
+        model.add(_raw_ratios(present, chosen, enough))
+    return model, np.append((share + 1) / (share + 1).sum() * (1 - OTHER), OTHER)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, few: int = 10_000, bins: int = 1024) -> float:
@@ -227,27 +300,40 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 10_000, bins: int
 
 def importance(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, temperature: float = TEMPERATURE, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, version (hash of the text), log_weight, key (log weight and noise), kept."""
-    model, share = fit(docs, labels, max_train)
+    texts = C.text_frame(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("row"))
+    present = C.keep(texts.mapInArrow(_present, "doc_id long, lang string, version long, row long, buckets array<int>"), "present")
+    model, share = fit(docs, labels, present, max_train)
+    n = N_CLASSES + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams()
-        for batch in C.chunks(batches):
-            rows = [model.score(lang or "", grams.present(C.split_words(text))) for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            q = np.array(rows).reshape(-1, N_CLASSES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *(pa.array(q[:, k]) for k in range(N_CLASSES))], names=["doc_id", "version", "q0", "q1", "q2"])
-
-    texts = C.text_frame(docs, F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("version"))
-    scored = C.keep(texts.mapInArrow(score, "doc_id long, version long, q0 double, q1 double, q2 double"), "scores")
+        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), object)
+            flat, row = _flat(batch.column(3))
+            q = np.zeros((len(langs), n))
+            for lang in set(langs.tolist()):
+                name = lang if lang in model.of else ""
+                buckets, ratio = tables[name] if name in tables else tables.setdefault(name, model.table(name))
+                if len(buckets):
+                    own = (langs == lang)[row]
+                    at = np.minimum(np.searchsorted(buckets, flat[own]), len(buckets) - 1)
+                    hit = buckets[at] == flat[own]
+                    for k in range(n):
+                        q[:, k] += np.bincount(row[own][hit], ratio[at[hit], k], len(langs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(q[:, k]) for k in range(n))], names=["doc_id", "version", *(f"q{k}" for k in range(n))])
+
+    scored = C.keep(present.select("doc_id", "lang", "version", "buckets").mapInArrow(score, "doc_id long, version long, " + ", ".join(f"q{k} double" for k in range(n))), "scores")
+    C.forget(present)
 
     def log_raw(share: np.ndarray) -> Column:
-        terms = [F.col(f"q{k}") + float(np.log(share[k])) for k in range(N_CLASSES)]
+        terms = [F.col(f"q{k}") + float(np.log(share[k])) for k in range(n)]
         top = F.greatest(*terms)
         return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
 
     if model.of:
         for _ in range(6):
             raw = log_raw(share)
-            mean = scored.agg(*(F.avg(F.exp(F.col(f"q{k}") + float(np.log(share[k])) - raw)) for k in range(N_CLASSES))).first()
+            mean = scored.agg(*(F.avg(F.exp(F.col(f"q{k}") + float(np.log(share[k])) - raw)) for k in range(n))).first()
             if mean[0] is None:
                 break
             share, before = np.maximum(np.array(mean), 1e-4), share

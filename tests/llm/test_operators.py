@@ -373,6 +373,20 @@ def test_importance(spark):
     assert sum(r[0] in kept for r in held if r[3]) <= 2 and sum(r[0] not in kept for r in held if not r[3]) <= 5
 
 
+def test_importance_counts_unlabelled_text(spark):
+    """Junk of a kind that no label shows is told by its frequency in the corpus; one text copied many times is not."""
+    draw = random.Random(13)
+    text = lambda: [f"w{min(int(draw.paretovariate(0.6)), 5000)}" for _ in range(80)]
+    rows = [(i, " ".join(text() + ["vile", "scorn"] * (i % 6 == 0)), "en") for i in range(900)]
+    rows += [(1000 + i, " ".join(text()[:30] + draw.sample([f"casino{k % 9}!bonus" for k in range(60)], 30)), "en") for i in range(300)]
+    rows += [(2000 + i, " ".join(f"rare{k}?unseen" for k in range(60)), "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in importance.importance(docs, labels).where("kept").collect()}
+    assert sum(1000 <= d < 2000 for d in kept) <= 15 and sum(d >= 2000 for d in kept) == 300
+    assert sum(d < 900 and d % 6 == 0 for d in kept) <= 5 and sum(d < 900 and d % 6 != 0 for d in kept) >= 735
+
+
 def test_kth_largest(spark):
     draw = random.Random(8)
     values = [round(draw.gauss(0, 1), 1) for _ in range(500)]
