@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from antiphon.functions import vectors as V
 
-#: Vectors that distinct_directions() takes to the driver at most; the screen before it leaves a few dozen.
+#: Vectors that distinct_directions() keeps on the driver at most.
 MOST_DIRECTIONS = 4096
 
 
@@ -24,12 +24,14 @@ def rank(df: DataFrame, *order: Column, n: int) -> DataFrame:
 def distinct_directions(df: DataFrame, key: str, vector: str, order: list[Column], limit: int, most_cosine: float = 0.995) -> list:
     """Keys in order of rank, without those whose absolute cosine to one kept before exceeds the limit. One that is left out keeps no other out.
 
-    Each decision needs those before it, so the best `limit` (a bounded number) are looked at on the driver.
+    Each decision needs those before it, so the driver goes through all ranked rows, a partition at a time, until `limit` are kept.
     """
     if limit > MOST_DIRECTIONS:
         raise ValueError(f"at most {MOST_DIRECTIONS} directions")
     kept, vectors = [], np.zeros((0, 0))
-    for row in df.orderBy(*order).limit(limit).select(key, vector).collect():
+    for row in df.orderBy(*order).select(key, vector).toLocalIterator():
+        if len(kept) == limit:
+            break
         v = np.array(row[1], float)
         length = np.linalg.norm(v)
         if not np.isfinite(length) or length <= V.LEAST_NORM:

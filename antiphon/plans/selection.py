@@ -68,6 +68,15 @@ _DIRECTIONS = 40
 g(rn, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.rn, CASE WHEN NOT EXISTS (SELECT 1 FROM o q WHERE list_contains(g.kept, q.vec_id) AND abs(list_cosine_similarity(q.v, o.v)) > 0.3) THEN list_append(g.kept, o.vec_id) ELSE g.kept END FROM g JOIN o ON o.rn = g.rn + 1)
 SELECT unnest(kept) AS vec_id FROM g WHERE rn = {_DIRECTIONS}""")
 def d17_cosine_dedup(t: Tables) -> DataFrame:
+    """Of the first rows only, as in the SQL; d17_whole_cosine_dedup goes through the whole table."""
+    order = [F.col("v")[0], F.col("vec_id")]
+    kept = S.distinct_directions(S.rank(_vectors(t), *order, n=_DIRECTIONS), "vec_id", "v", order, _DIRECTIONS, 0.3)
+    return t("embeddings").sparkSession.createDataFrame([(k,) for k in kept], "vec_id long")
+
+
+@query()
+def d17_whole_cosine_dedup(t: Tables) -> DataFrame:
+    """The limit counts the directions kept."""
     kept = S.distinct_directions(_vectors(t), "vec_id", "v", [F.col("v")[0], F.col("vec_id")], _DIRECTIONS, 0.3)
     return t("embeddings").sparkSession.createDataFrame([(k,) for k in kept], "vec_id long")
 

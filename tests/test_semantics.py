@@ -187,3 +187,21 @@ def test_tensor_files(spark, tmp_path):
         f.write(struct.pack("<Q", 1 << 40))
     with pytest.raises(ValueError):
         safetensors.read_header(path)
+
+
+def test_distinct_directions_goes_on_past_parallel_rows(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from antiphon.operators import selection
+
+    draw = np.random.default_rng(1)
+    rows = [(i, [1.0, 0.001 * i, 0.0]) for i in range(50)] + [(50 + i, draw.normal(size=3).tolist()) for i in range(100)]
+    want, units = [], []
+    for key, v in rows:
+        u = np.array(v) / np.linalg.norm(v)
+        if len(want) < 5 and all(abs(u @ w) <= 0.9 for w in units):
+            want.append(key)
+            units.append(u)
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    assert selection.distinct_directions(df, "k", "v", [F.col("k")], 5, 0.9) == want and len(want) == 5 and want[1] >= 50
