@@ -1,11 +1,13 @@
 """Best-fit packing, bulk-synchronous.
 
 Lengths are whole numbers up to the capacity, so pieces of one length are interchangeable, and so are sequences with the
-same gap. Each round takes the next shorter length, sweeps the gaps from the smallest that fits upward (its successors),
+same gap: the range sort of documents and of gaps is a count of each length and of each gap, and a row is a length and a rank
+within it. Each round takes the next shorter length, sweeps the gaps from the smallest that fits upward (its successors),
 hands out the pieces of that length to the sequences with that gap by rank, and updates the gaps; what finds none opens new
-sequences. A round works on counts of lengths and gaps only, at most `capacity` of each, whatever the input. The pieces are
-ranked within their length in parallel, and each finds its place by its length and rank: no task holds a group, and a length
-that a third of all rows share is spread over all tasks.
+sequences. The rounds' state is at most `capacity` lengths and the gaps that they leave, whatever the input, so the rounds
+run on the driver. All that has rows is distributed: pieces are cut, counted and ranked within their length in parallel, and
+each finds its sequence and offset by its length and rank: no task holds a group, and a length that a third of all rows share
+is spread over all tasks. The result is that of best fit on rows, one after the other, longest first (tested against it).
 
 Edge cases: a null or empty text is its end id alone. Equal documents are packed each for itself. An empty table gives an
 empty result. Other columns of the input are left out.
@@ -51,18 +53,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
         while left:
             at = bisect.bisect_left(gaps, length)
             if at == len(gaps):
-                take = left if 2 * length > capacity else -(-left // (capacity // length))
-                put(capacity - length, take, [(length, rank)])
-            else:
-                gap = gaps[at]
-                count, slots = open_at[gap].pop()
-                if not open_at[gap]:
-                    del open_at[gap], gaps[at]
-                take = min(left, count)
-                if take < count:
-                    put(gap, count - take, [(n, r + take) for n, r in slots])
-                put(gap - length, take, [*slots, (length, rank)])
-            rank, left = rank + take, left - take
+                put(capacity, -(-left // (capacity // length)), [])
+                continue
+            gap = gaps[at]
+            count, slots = open_at[gap].pop()
+            if not open_at[gap]:
+                del open_at[gap], gaps[at]
+            # The conflict for these gaps goes to the lowest ranks: each takes as many pieces as fit, the last one the rest.
+            each = min(gap // length, left)
+            take = min(count, left // each)
+            put(gap - each * length, take, [*slots, *((length, rank + k * take) for k in range(each))])
+            rank, left = rank + take * each, left - take * each
+            if take < count:
+                put(gap, count - take, [(n, r + take) for n, r in slots])
     rows, sequence = [], 0
     for count, slots in [*full, *(x for g in gaps for x in open_at[g])]:
         offset = 0
@@ -83,8 +86,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
             out: list[list] = [[] for _ in range(7)]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(batch.column(1).to_pylist())):
                 ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
+                # Whole pieces from the end, so that only the first one may be shorter.
+                first = (len(ids) // 4 - 1) % capacity + 1
+                for piece, to in enumerate(range(4 * first, len(ids) + 1, 4 * capacity)):
+                    at = max(0, to - 4 * capacity)
+                    own = ids[at:to]
                     length = len(own) // 4
                     for column, value in zip(out, (doc_id, piece, at // 4, length, zlib.crc32(own), part, ranks[length])):
                         column.append(value)
