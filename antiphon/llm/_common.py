@@ -117,7 +117,7 @@ def numbers(column: pa.Array) -> np.ndarray:
     return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-# Rolling hashes, modulo 2^64: sums of value times power, so that any span's hash is a difference of two prefix sums.
+# Hashes of words and of runs of words. No sums of powers: such hashes modulo 2^64 collide by construction on some words.
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
@@ -132,38 +132,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Rolling:
-    """Hashes of spans of a sequence; two with different seeds make 128 bits."""
+class Hashes:
+    """64-bit hashes; those of different seeds are independent, so two make 128 bits."""
+
+    #: Places of a byte in its word that have a table of their own.
+    NEAR = 24
 
     def __init__(self, seed: int):
         draw = np.random.default_rng(seed)
-        self.base = int(draw.integers(1 << 40, 1 << 62)) | 1
-        self.table = draw.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, self.base, np.uint64))]).astype(np.uint64)
-                self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, pow(self.base, -1, 1 << 64), np.uint64))]).astype(np.uint64)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self.powers(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of [begin, end); the same content has the same hash wherever it stands."""
-        return mix((prefix[end] - prefix[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        self.salt, self.step, self.place = (np.uint64(x) | np.uint64(1) for x in draw.integers(1 << 62, 1 << 63, 3))
+        with np.errstate(over="ignore"):
+            self.table = np.stack([self._byte(np.arange(256), np.full(256, k)) for k in range(self.NEAR)]).ravel()
+
+    def _byte(self, byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix(mix(byte.astype(np.uint64) * self.salt + self.step) + place.astype(np.uint64) * self.place)
+
+    def words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the bytes from each begin to its end: the scrambled sum of a value for each byte and its place."""
+        if not len(begin):
+            return np.zeros(0, np.uint64)
+        at = np.arange(len(data), dtype=np.int32)
+        start = np.zeros(len(data), np.int32)
+        start[begin] = begin
+        place = at - np.maximum.accumulate(start)
+        value = self.table[(np.minimum(place, self.NEAR - 1) << 8) | data]
+        far = np.flatnonzero(place >= self.NEAR)
+        value[far] = self._byte(data[far], place[far])
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        return mix(total[end] - total[begin] + (end - begin).astype(np.uint64) * self.step)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The hash of a run of which a and b are the hashes of two parts; the order counts."""
+        return mix(mix(a + self.salt) + b * self.step)
+
+    def runs(self, words: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each word on, for all words that n - 1 others follow."""
+        power, size, out, have = words, 1, None, 0
+        while True:
+            if n & size:
+                rest = max(0, len(words) - have - size + 1)
+                out = power if out is None else self.join(power[:rest], out[size : size + rest])
+                have += size
+            if 2 * size > n:
+                return out
+            power, size = self.join(power[: max(0, len(power) - size)], power[size:]), 2 * size
 
 
 class Words:
-    """Words of the texts of one batch: begin and end in the bytes, first word of each row, and a hash of each word."""
+    """Words of the texts of one batch: begin and end in the bytes, first word of each row, and one or more hashes of each word."""
 
-    def __init__(self, column: pa.Array, rolling: Rolling, alphabet: np.ndarray | None = None):
+    def __init__(self, column: pa.Array, *hashes: Hashes, alphabet: np.ndarray | None = None):
         """alphabet: what each byte counts as."""
         data, ends = buffers(column)
         if alphabet is not None:
@@ -177,7 +196,8 @@ class Words:
         self.data, self.begin, self.end = data, np.flatnonzero(first), np.flatnonzero(last) + 1
         #: Words of row i are those from rows[i] to rows[i + 1].
         self.rows = np.searchsorted(self.begin, ends)
-        self.hash = rolling.spans(rolling.prefix(rolling.table[data]), self.begin, self.end)
+        self.hashes = [h.words(data, self.begin, self.end) for h in hashes]
+        self.hash = self.hashes[0]
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))

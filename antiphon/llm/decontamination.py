@@ -45,8 +45,8 @@ class _Items:
     """A block of test items as word hashes, with what each needs."""
 
     def __init__(self, rows: list[tuple[int, str]], gram: int, least_score: float, least_words: int):
-        self.of_word, self.alphabet = C.Rolling(31), _alphabet()
-        words = C.Words(pa.array([t or "" for _, t in rows], pa.string()), self.of_word, self.alphabet)
+        self.of_word, self.alphabet = C.Hashes(31), _alphabet()
+        words = C.Words(pa.array([t or "" for _, t in rows], pa.string()), self.of_word, alphabet=self.alphabet)
         long = [k for k, n in enumerate(np.diff(words.rows)) if n >= max(1, gram)]
         self.ids = [rows[k][0] for k in long]
         self.words = [words.hash[words.rows[k] : words.rows[k + 1]] for k in long]
@@ -62,7 +62,7 @@ class _Items:
         self.rank = np.arange(len(self.item_of)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
 
     def parse(self, column: pa.Array) -> C.Words:
-        return C.Words(column, self.of_word, self.alphabet)
+        return C.Words(column, self.of_word, alphabet=self.alphabet)
 
     def passages(self, words: C.Words) -> Iterator[tuple[int, int, int, int]]:
         """(item, row, begin, end), in words of the batch: passages that hold every alignment that reaches the least score."""

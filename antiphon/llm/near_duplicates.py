@@ -1,19 +1,22 @@
 """Near duplicates by SimHash, for documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity two 64-bit fingerprints of whole documents differ in about 10 bits, far beyond what triangle bounds can
-prune (a vantage-point tree would have to visit every leaf: random points lie 32 bits apart, give or take 4). So besides its
-whole fingerprint a document has BANDS short ones: SimHashes of samples of SAMPLED shingles, those least under as many
-orders. A pair at 0.8 has equal samples in a band with probability 0.51, in none of 20 with less than one in a million.
-Documents with a short fingerprint in common are candidates: in each bucket, all against at most REPRESENTATIVES of its
-documents (the smallest and largest doc_id and others drawn by hash), so the number of candidates is linear in a bucket's
-size, and no pairs within a group are made. Whole fingerprints more than FAR bits apart end a candidate; the others' shingle
-sets are compared exactly. In buckets of up to REPRESENTATIVES + 1 documents every pair is looked at so; larger ones whose
-documents these links don't join into one group are then cut into cells of about CELL documents, and the shingle sets of every
-two documents that are not joined yet are compared, cell by cell. A cell returns a forest of the links it finds, never all
-pairs. So every pair with a short fingerprint in common is either compared or in one group already. The work in a large bucket
-that stays apart is quadratic in its size, the memory is not.
-
-Exact copies (equal texts) are one document from the start. One document of each group stays: the smallest doc_id.
+Distinct texts are nodes. Candidates come from SimHashes in two ways, and only exact comparisons of shingle sets make links.
+
+1. Whole fingerprints, 64 bits: the vantage-point tree of simhash.links() finds those at most MOST bits apart. At a similarity
+of 0.8 they differ in about 10 bits, far beyond what triangle bounds can prune (a tree would have to visit every leaf: random
+points lie 32 bits apart, give or take 4), so the tree alone can't find all.
+2. Short fingerprints, BANDS of each text: SimHashes of SAMPLED shingles, those least under as many orders (which is min-hash
+banding). A pair at 0.8 has equal samples in a band with probability 0.51, in none of 20 with less than one in a million; its
+whole fingerprints are more than FAR bits apart, which ends a candidate, about as seldom (once in 200,000 for texts of four or
+five shingles, less for longer ones). In each bucket all texts are held against at most REPRESENTATIVES of them (the first and
+last node and others drawn by hash), so the number of candidates is linear in a bucket's size, and no pairs within a group are
+made. In buckets of up to REPRESENTATIVES + 1 texts every pair is looked at so; larger ones whose texts these links don't join
+into one group are then cut into cells of about CELL texts, and the shingle sets of every two texts that are not joined yet
+are compared, cell by cell. A cell returns a forest of the links it finds, never all pairs. So every pair with a short
+fingerprint in common is either compared or in one group already. The work in a large bucket that stays apart is quadratic in
+its size, the memory is not.
+
+Of each group one row stays: that of the smallest doc_id (null last), of equal ids that with the smaller digest of its text.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from antiphon.llm import _common as C
 from antiphon.llm.components import components
-from antiphon.llm.simhash import Forest
+from antiphon.llm.simhash import MOST, Forest
+from antiphon.llm.simhash import links as tree_links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, SAMPLED, REPRESENTATIVES, FAR = 20, 3, 4, 26
@@ -37,7 +41,7 @@ CELL, COLUMNS = 1_024, 4_096
 
 class _Shingles:
     def __init__(self, size: int):
-        self.size, self.of_word, self.of_gram = size, C.Rolling(61), C.Rolling(62)
+        self.size, self.of_word = size, C.Hashes(61)
         self.orders = np.random.default_rng(63).integers(1 << 62, 1 << 63, BANDS * SAMPLED).astype(np.uint64) | np.uint64(1)
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,11 +49,13 @@ class _Shingles:
         words = C.Words(column, self.of_word)
         counts = np.diff(words.rows)
         begin = np.flatnonzero(words.room() >= self.size)
-        prefix = self.of_gram.prefix(words.hash)
-        hashes, row = self.of_gram.spans(prefix, begin, begin + self.size), words.row_of()[begin]
-        short = np.flatnonzero(counts < self.size)
-        hashes = np.concatenate([hashes, self.of_gram.spans(prefix, words.rows[short], words.rows[short] + counts[short])])
-        row = np.concatenate([row, short])
+        hashes, row = [self.of_word.runs(words.hash, self.size)[begin], np.zeros(int((counts == 0).sum()), np.uint64)], [words.row_of()[begin], np.flatnonzero(counts == 0)]
+        for n in range(1, self.size):
+            short = np.flatnonzero(counts == n)
+            if len(short):
+                hashes.append(self.of_word.runs(words.hash, n)[words.rows[short]])
+                row.append(short)
+        hashes, row = np.concatenate(hashes), np.concatenate(row)
         order = np.lexsort((hashes, row))
         hashes, row = hashes[order], row[order]
         new = np.ones(len(row), bool)
@@ -166,21 +172,21 @@ def _compare_cells(least: float):
 
 
 def large_buckets(signed: DataFrame) -> DataFrame:
-    """doc_id, band, key, n: the documents of buckets in which not every pair has a representative."""
-    rows = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    """node, band, key, n: the texts of buckets in which not every pair has a representative."""
+    rows = signed.select("node", F.posexplode("bands").alias("band", "key"))
     large = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > REPRESENTATIVES + 1)
-    return rows.join(large, ["band", "key"]).select("doc_id", "band", "key", "n")
+    return rows.join(large, ["band", "key"]).select("node", "band", "key", "n")
 
 
 def joined_in_buckets(members: DataFrame, linked: DataFrame, sets: DataFrame, least: float, cell: int) -> DataFrame:
-    """linked (node, root) with the groups joined whose documents have a link in a large bucket."""
-    rooted = members.join(linked.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    """linked (node, root) with the groups joined whose texts have a link in a large bucket."""
+    rooted = members.join(linked.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = C.keep(rooted, "members")
     apart = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
     h = F.ceil(F.col("n") / cell)
-    cells = rooted.join(apart, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), h))
+    cells = rooted.join(apart, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), h))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), h - 1)))
-    cells = cells.select("doc_id", "root", "band", "key", "own", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")).join(sets, "doc_id")
+    cells = cells.select("node", "root", "band", "key", "own", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")).join(sets, "node")
     new = components(cells.groupBy("band", "key", "ci", "cj").applyInArrow(_compare_cells(least), "a long, b long"))
     new = C.keep(new, "joined")
     C.forget(rooted)
@@ -194,52 +200,62 @@ def _digest(text: Column) -> Column:
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of doc_ids, a < b, that share a short fingerprint with a representative of the bucket."""
-    rows = signed.select("doc_id", "fp", F.posexplode("bands").alias("band", "key"))
-    me, order = F.struct("doc_id", "fp"), lambda k: F.xxhash64("doc_id", "band", F.lit(k))
-    heads = [F.min(me), F.max(me), *(F.min(F.struct(order(k).alias("o"), "doc_id", "fp")).alias(f"h{k}") for k in range(REPRESENTATIVES - 2))]
+    """Pairs (a, b) of nodes, a < b, that share a short fingerprint with a representative of the bucket."""
+    rows = signed.select("node", "fp", F.posexplode("bands").alias("band", "key"))
+    me, order = F.struct("node", "fp"), lambda k: F.xxhash64("node", "band", F.lit(k))
+    heads = [F.min(me), F.max(me), *(F.min(F.struct(order(k).alias("o"), "node", "fp")).alias(f"h{k}") for k in range(REPRESENTATIVES - 2))]
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), heads[0].alias("r0"), heads[1].alias("r1"), *heads[2:]).where("n > 1")
-    reps = F.array(F.col("r0"), F.col("r1"), *(F.struct(F.col(f"h{k}.doc_id").alias("doc_id"), F.col(f"h{k}.fp").alias("fp")) for k in range(REPRESENTATIVES - 2)))
+    reps = F.array(F.col("r0"), F.col("r1"), *(F.struct(F.col(f"h{k}.node").alias("node"), F.col(f"h{k}.fp").alias("fp")) for k in range(REPRESENTATIVES - 2)))
     buckets = buckets.select("band", "key", F.array_distinct(reps).alias("reps"))
-    pairs = rows.join(buckets, ["band", "key"]).select("doc_id", "fp", F.explode("reps").alias("r"))
-    pairs = pairs.where((F.col("doc_id") != F.col("r.doc_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= FAR))
-    return pairs.select(F.least("doc_id", "r.doc_id").alias("a"), F.greatest("doc_id", "r.doc_id").alias("b")).distinct()
+    pairs = rows.join(buckets, ["band", "key"]).select("node", "fp", F.explode("reps").alias("r"))
+    pairs = pairs.where((F.col("node") != F.col("r.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= FAR))
+    return pairs.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
+
+
+def tree_candidates(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b: one node of each fingerprint with all others of it, and with that of each fingerprint that the tree links to it."""
+    points = C.keep(signed.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "points")
+    equal = signed.select("fp", F.col("node").alias("b")).join(points.where("n > 1").select("fp", F.col("head").alias("a")), "fp").where("a < b").select("a", "b")
+    heads = lambda x, y: points.select(F.col("fp").alias(x), F.col("head").alias(y))
+    near = tree_links(points, MOST).join(heads("a", "x"), "a").join(heads("b", "y"), "b")
+    return equal.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, cell: int = CELL) -> DataFrame:
     """doc_id, digest, stays: a row for each distinct (doc_id, text)."""
     texts = C.text_frame(docs, _digest(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"))
     signed = C.keep(texts.mapInArrow(_sign(shingle), "doc_id long, digest binary, fp long, bands array<long>"), "signatures")
-    first = signed.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    # One row for each text; an id that stands for two texts is compared with the text of the smaller digest.
-    distinct = signed.join(first, "digest").where("doc_id = first").groupBy("doc_id").agg(F.min(F.struct("digest", "fp", "bands")).alias("x")).select("doc_id", "x.digest", "x.fp", "x.bands")
-    pairs = C.keep(candidates(distinct), "candidates")
+    # One row for each text, numbered; as it's kept, the numbers stay.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    distinct = signed.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    distinct = C.keep(distinct.select("digest", F.col("first.doc_id").alias("first"), "fp", "bands", F.monotonically_increasing_id().alias("node")), "distinct")
+    pairs = C.keep(candidates(distinct).union(tree_candidates(distinct)).distinct(), "candidates")
     members = C.keep(large_buckets(distinct), "large-buckets")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("doc_id")).distinct()
-    chosen = distinct.select("doc_id", "digest").join(wanted, "doc_id", "left_semi")
-    sets = texts.join(chosen, ["doc_id", "digest"], "left_semi").select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    chosen = distinct.join(wanted, "node", "left_semi").select("node", F.col("first"), F.col("digest").alias("own"))
+    sets = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("own"))).select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
     sets = C.keep(sets, "shingle-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     linked = components(both.mapInArrow(_compare(least), "a long, b long"))
     linked = C.keep(joined_in_buckets(members, linked, sets, least, cell), "linked")
     C.forget(pairs, sets, members)
-    drops = linked.where("node <> root").select(F.col("node").alias("first"))
-    keepers = first.join(drops, "first", "left_anti")
-    out = signed.select("doc_id", "digest").distinct().join(keepers.select("digest", F.col("first").alias("keeper")), "digest", "left")
-    return out.select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper").isNotNull().alias("group_stays"))
+    rooted = distinct.select("node", "digest", "first").join(linked, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
+    keeper = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("keeper"))
+    stays = rooted.join(keeper, "root").where("digest = keeper.digest").select("digest", "first", F.lit(True).alias("kept"))
+    out = signed.select("doc_id", "digest").distinct().join(stays, "digest", "left")
+    return out.select("doc_id", "digest", (F.col("kept").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first"))).alias("stays"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """The rows of docs, all their columns, that stay: one of each group of near duplicates, that of the smallest doc_id.
 
-    A null text is an empty one; all empty texts are copies of each other. Rows with a null doc_id stay only if no row with an
-    id has their text (they are only compared for equality). Of rows equal in doc_id and text one stays. An empty table gives
-    an empty result.
+    A null text is an empty one; all texts without words are copies of each other. A row with a null doc_id stays only if no
+    row of its group has an id. Different texts of one doc_id are judged each for itself; of rows equal in doc_id and text one
+    stays. An empty table gives an empty result.
     """
     decided = C.keep(groups(docs, shingle, least), "groups")
-    # A text whose only rows have no id has no keeper, and stays; drops of near copies need one.
-    leave = decided.where("NOT stays AND (group_stays OR doc_id IS NOT NULL)").select("doc_id", "digest")
+    leave = decided.where("NOT stays").select("doc_id", "digest")
     kept = C.without(docs, leave, _digest(F.coalesce(docs["text"].cast("string"), F.lit(""))))
     if decided.count() != docs.count():
         name = C.free_name(docs, "_digest")

@@ -53,13 +53,12 @@ class _Parser:
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.of_word, self.of_gram, self.of_span = C.Rolling(51), C.Rolling(52), C.Rolling(53)
+        self.of_anchor, self.of_window = C.Hashes(51), C.Hashes(53)
 
     def parse(self, column: pa.Array) -> None:
-        self.words = words = C.Words(column, self.of_word)
-        begin = np.arange(max(0, len(words.begin) - self.gram + 1))
-        self.grams = self.of_gram.spans(self.of_gram.prefix(words.hash), begin, begin + self.gram)
-        self.content = self.of_span.prefix(words.hash)
+        self.words = C.Words(column, self.of_anchor, self.of_window)
+        self.grams = self.of_anchor.runs(self.words.hashes[0], self.gram)
+        self.windows = self.of_window.runs(self.words.hashes[1], self.window)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each word that begins a window: its place, and the place of the window's anchor."""
@@ -67,8 +66,9 @@ class _Parser:
         begin = np.flatnonzero(self.words.room() >= self.window)
         return begin, least[begin]
 
-    def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.of_span.spans(self.content, begin, end)
+    def blocks(self, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of so many windows from each begin on: a window is longer than a run that shares an anchor, so the first and the last hold all words between them."""
+        return self.of_window.join(self.windows[begin] + count.astype(np.uint64), self.windows[begin + count - 1])
 
 
 def _blocks(window: int, gram: int):
@@ -87,7 +87,7 @@ def _blocks(window: int, gram: int):
             at, row = begin[first], rows[first]
             ids, versions = (batch.column(i).take(pa.array(row)) for i in (0, 2))
             yield pa.RecordBatch.from_arrays(
-                [ids, versions, C.signed(parser.grams[anchor[first]]), C.signed(parser.spans(at, at + count - 1 + window)), pa.array((at - parser.words.rows[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                [ids, versions, C.signed(parser.grams[anchor[first]]), C.signed(parser.blocks(at, count)), pa.array((at - parser.words.rows[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
                 names=["doc_id", "version", "anchor", "block", "begin", "n_windows"],
             )
 
@@ -113,7 +113,7 @@ def _windows(window: int, gram: int):
             heads, back = np.unique(head, return_inverse=True)
             anchor = np.array([h + int(np.argmin(parser.grams[h : h + window - gram + 1])) for h in heads], np.int64)[back] if len(heads) else heads
             ids, versions = (batch.column(i).take(pa.array(row)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([ids, versions, C.signed(parser.grams[anchor]), C.signed(parser.spans(at, at + window)), pa.array((at - parser.words.rows[row]).astype(np.int32))], names=["doc_id", "version", "anchor", "content", "begin"])
+            yield pa.RecordBatch.from_arrays([ids, versions, C.signed(parser.grams[anchor]), C.signed(parser.windows[at]), pa.array((at - parser.words.rows[row]).astype(np.int32))], names=["doc_id", "version", "anchor", "content", "begin"])
 
     return find
 
