@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from antiphon.functions.let import let
 
@@ -39,19 +37,29 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+def casefold(text: Column) -> Column:
+    """Letters without case, ß as ss: capitals first, which write such letters out, then small ones, with one small sigma. (The optimizer would drop the capitals if nothing stood between.)"""
+    return F.replace(F.lower(F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))), F.lit("ς"), F.lit("σ"))
+
+
+def padded(number: Column, digits: int) -> Column:
+    """With zeros in front up to so many digits; longer numbers stay whole (lpad would cut them)."""
+    text = number.cast("string")
+    return F.when(F.length(text) >= digits, text).otherwise(F.lpad(text, digits, "0"))
+
+
 def text_key(text: Column) -> Column:
     """Lower case, runs of white space as one blank, none at the ends. casefold_key() is the exact form for letters like ß."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def casefold_key(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else " ".join(x.casefold().split()))
+def casefold_key(text: Column) -> Column:
+    return F.trim(F.regexp_replace(casefold(text), r"(?U)\s+", " "))
 
 
 def word_list(text: Column) -> Column:
-    """Runs of letters, digits and underscores, lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0)
+    """Runs of letters, digits and underscores, without case."""
+    return F.regexp_extract_all(casefold(text), F.lit(r"(?U)\w+"), 0)
 
 
 def plain_words(text: Column) -> Column:
@@ -64,18 +72,20 @@ def blank_separated(text: Column) -> Column:
 
 
 def grams(words: Column, n: int) -> Column:
-    """Arrays of n neighbours as strings; empty where there are fewer words."""
+    """64-bit hashes of n neighbours; empty where there are fewer words. Arrays of numbers, one beside the other: no string is made for a gram."""
 
-    def of(w: Column) -> Column:
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    def of(h: Column) -> Column:
+        out, count = h, F.greatest(F.size(h) - (n - 1), F.lit(0))
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(h, F.lit(k + 1), F.greatest(F.size(h) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+        return F.slice(out, F.lit(1), count)
 
-    return let(words, of)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def trigram_repetition(words: Column) -> Column:
-    """1 - distinct / all trigrams, six digits; 0 where there are none."""
-    return let(grams(words, 3), lambda g: F.round(F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)), 6))
+    """1 - distinct / all trigrams; 0 where there are none."""
+    return let(grams(words, 3), lambda g: F.when(F.size(g) > 0, 1 - F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(0.0)))
 
 
 def longest_character_run(text: Column, least: int = 32) -> Column:
@@ -138,15 +148,20 @@ def stable_seed(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
 
+# Fixed value: a code fence around a whole answer.
+FENCE = r"```(?:[A-Za-z0-9_+.-]+)?\s*\n(.*?)\n?```"
+#: What may stand around an answer: patterns whose one group is the answer.
+WRAPPERS = (FENCE, "`([^`]*)`", r"\*\*((?:(?!\*\*).)*)\*\*")
+
+
 def unwrapped_answer(text: Column) -> Column:
-    """Without one code fence, pair of backticks or pair of ** around the whole."""
-    bare = strip(text)
-    fence = F.regexp_extract(bare, r"(?s)\A```(?:[A-Za-z0-9_+.-]+)?\s*\n(.*?)\n?```\z", 1)
-    count = lambda mark: (F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit("")))) / len(mark)
-    ticks = F.startswith(bare, F.lit("`")) & F.endswith(bare, F.lit("`")) & (count("`") == 2)
-    stars = F.startswith(bare, F.lit("**")) & F.endswith(bare, F.lit("**")) & (count("**") == 2)
-    inner = lambda n: F.substring(bare, n + 1, F.length(bare) - 2 * n)
-    return F.when(bare.rlike(r"(?s)\A```(?:[A-Za-z0-9_+.-]+)?\s*\n(.*?)\n?```\z"), strip(fence)).when(ticks, strip(inner(1))).when(stars, strip(inner(2))).otherwise(bare)
+    """Without one of WRAPPERS around the whole."""
+
+    def bare(x: Column) -> Column:
+        inner = (F.regexp_extract(x, rf"(?s)\A{w}\z", 1) for w in WRAPPERS)
+        return F.coalesce(*(F.when(x.rlike(rf"(?s)\A{w}\z"), strip(i)) for w, i in zip(WRAPPERS, inner)), x)
+
+    return let(strip(text), bare)
 
 
 def answer_matches(text: Column, pattern: Column) -> Column:
@@ -157,3 +172,43 @@ def answer_matches(text: Column, pattern: Column) -> Column:
 def safe_path(path: Column) -> Column:
     """Relative, with no empty, "." or ".." part and no backslash."""
     return ~path.rlike(r"\A/|\\|\x00") & F.forall(F.split(path, "/"), lambda p: ~p.isin("", ".", ".."))
+
+
+def after_reasoning(text: Column) -> Column:
+    """What follows the last end of reasoning, or the whole."""
+    return strip(F.element_at(F.split(text, "</think>"), -1))
+
+
+def apostrophe_words(text: Column) -> Column:
+    """Runs of letters and digits, also joined by single apostrophes of either kind, without case."""
+    return F.regexp_extract_all(F.replace(casefold(text), F.lit("’"), F.lit("'")), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"), 0)
+
+
+def redacted(message: Column, secret: str, most: int = 2000) -> Column:
+    """A message's beginning without the secret."""
+    return F.replace(F.left(message, F.lit(most)), F.lit(secret), F.lit("[redacted]"))
+
+
+def axis_title(name: Column) -> Column:
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def date_label(time: Column, today: Column) -> Column:
+    """today, yesterday, or day and month."""
+    days = F.datediff(today, time.cast("date"))
+    return F.when(days == 0, "today").when(days == 1, "yesterday").otherwise(F.lower(F.date_format(time, "d MMM")))
+
+
+# Fixed value: keys that must not be published, at any depth.
+PRIVATE_KEYS = (
+    "response", "responses", "raw_response", "raw_responses", "messages", "question",
+    "prompt", "input_ids", "raw_judge_output", "raw_judge_outputs", "raw", "api_key",
+    "hf_token", "openrouter_api_key", "authorization",
+)
+
+
+def private_keys(document: Column) -> Column:
+    """Those of PRIVATE_KEYS that an object of a JSON text has, at any depth, sorted. Strings are read whole, so what stands inside of one is no key."""
+    strings = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), 0)
+    keys = F.transform(F.filter(strings, lambda s: F.endswith(s, F.lit(":"))), lambda s: F.lower(F.regexp_extract(s, r'\A"((?:[^"\\]|\\.)*)"', 1)))
+    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isin(*PRIVATE_KEYS))))

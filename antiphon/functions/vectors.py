@@ -59,6 +59,24 @@ def divergence(reference: Column, current: Column) -> Column:
     return total(F.zip_with(p, q, lambda a, b: F.exp(a) * (a - b)))
 
 
+def warped_draw(logits: Column, uniform: Column, k: int, temperature: float = 1.0) -> Column:
+    """From 1: a place drawn from the softmax of the k largest logits (with all that equal the k-th), by inverting its sums at `uniform`."""
+
+    def draw(x: Column) -> Column:
+        least, top = F.get(F.sort_array(x, asc=False), F.least(F.lit(k), F.size(x)) - 1), F.array_max(x)
+        return let(F.transform(x, lambda y: F.when(y >= least, F.exp(y - top)).otherwise(0.0)), lambda p: place(p, total(p)))
+
+    def place(p: Column, whole: Column) -> Column:
+        begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+
+        def step(s: Column, y: Column) -> Column:
+            return F.struct((s["sum"] + y).alias("sum"), F.when(s["sum"] / whole > uniform, s["at"]).otherwise(s["at"] + 1).alias("at"))
+
+        return F.aggregate(p, begin, step)["at"]
+
+    return let(F.transform(logits, lambda y: y / temperature), draw)
+
+
 def argmax(v: Column) -> Column:
     """From 1; of equals the first."""
     return F.array_position(v, F.array_max(v))
@@ -68,6 +86,11 @@ def close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8)
     return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
+def mix_by(df: DataFrame, keys: list[str], vector: str, factor: str, size: int) -> DataFrame:
+    """keys, mix: the sum of vectors, each times its row's factor; one accumulator a dimension."""
+    return df.groupBy(*keys).agg(F.array(*(F.sum(F.col(vector)[i] * F.col(factor)) for i in range(size))).alias("mix"))
+
+
 def mean_by(df: DataFrame, keys: list[str], vector: str, size: int) -> DataFrame:
     """keys, mean (array), n: one pass with partial aggregation, an accumulator for each dimension; no vector is exploded."""
     means = F.array(*(F.avg(F.col(vector)[i].cast("double")) for i in range(size)))

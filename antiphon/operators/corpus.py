@@ -9,11 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Numbers of the ordering column that ranked() numbers in one task at most.
+SPAN = 1 << 16
+
+
 def first_seen(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key, with the number of rows it stands for. One aggregation: a hot key is combined before the shuffle."""
-    names = df.columns
-    best = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*names), order).alias("r"), F.count("*").alias("copies"))
-    return best.select("r.*", "copies")
+    """The least value of `order` for each key, and how many rows have the key. Keys are shuffled as hashes, and a hot one is combined before."""
+    best = df.groupBy(F.sha2(key, 256).alias("_key")).agg(F.min(order).alias(order), F.count("*").alias("copies"))
+    return best.drop("_key")
+
+
+def ranked(df: DataFrame, key: str, order: str, name: str = "rn") -> DataFrame:
+    """df with each row's number, from 1, among those with its key, in the order of a column of whole numbers.
+
+    A key's rows are numbered in spans of the ordering column, each a group of its own, from the counts of the spans before: a
+    key that a third of all rows have is no single task's work.
+    """
+    span = F.floor(F.col(order) / SPAN)
+    counts = df.groupBy(F.col(key).alias("_k"), span.alias("_s")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("_k", "_s", before.alias("_before"))
+    own = df.withColumn("_own", span).withColumn("_at", F.row_number().over(W.partitionBy(key, "_own").orderBy(order)))
+    both = own.join(bases, F.col(key).eqNullSafe(F.col("_k")) & F.col("_own").eqNullSafe(F.col("_s")))
+    return both.withColumn(name, F.col("_at") + F.col("_before")).drop("_own", "_at", "_k", "_s", "_before")
 
 
 def last_write(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -49,6 +67,15 @@ def shared_sample(sizes: list[int], wanted: list[int], seed: int) -> list[list[i
     return [rng.sample(range(n), k) for n, k in zip(sizes, wanted)]
 
 
+def shared_sample_of(df: DataFrame, pool: str, order: str, n: int, seed: int) -> DataFrame:
+    """pool, order, place (in the sample): n rows of each pool (all of a smaller one), drawn by one generator over the pools in their order. place and source_at tell where a row stands in the sample and in its pool. Pools are few."""
+    sizes = {r[0]: r[1] for r in df.groupBy(pool).count().orderBy(pool).collect()}
+    drawn = shared_sample(list(sizes.values()), [min(n, m) for m in sizes.values()], seed)
+    picks = [(name, k, at) for name, own in zip(sizes, drawn) for k, at in enumerate(own)]
+    table = df.sparkSession.createDataFrame(picks, f"{pool} string, place int, source_at int")
+    return ranked(df.select(pool, order), pool, order).withColumn("source_at", (F.col("rn") - 1).cast("int")).join(table, [pool, "source_at"]).select(pool, order, "place", "source_at")
+
+
 def balanced_slots(domains: int, slots: int, seed: int) -> list[tuple[int, int, str]]:
     """(domain, slot, split): domain d holds out the shuffled slots 2d, 2d + 1 for validation, and those half a round on for test."""
     order = list(range(slots))
@@ -74,6 +101,23 @@ def longest_runs(df: DataFrame, key: str, order: list[str], value: str) -> DataF
     return runs.groupBy(key).agg(F.max("run").alias("run"))
 
 
+def first_long_run(df: DataFrame, key: str, order: list[str], value: str, least: int) -> DataFrame:
+    """df's rows at which, by key, a value has first stood so often in a row, with run."""
+    w = W.partitionBy(key).orderBy(*order)
+    new = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
+    island = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = island.withColumn("run", F.row_number().over(W.partitionBy(key, "_island").orderBy(*order)).cast("long")).where(F.col("run") >= least)
+    best = runs.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*df.columns, "run"), F.struct(*order)).alias("r"))
+    return best.select("r.*")
+
+
+def loops(df: DataFrame, key: str, order: list[str], value: str, run: int = 8, repetitions: int = 8, span: int = 12) -> DataFrame:
+    """key, degenerate: a value so often in a row, or a stretch with a period of one to four that has so many of them and is so long."""
+    own = period_spans(df, key, order, value)
+    by_period = own.groupBy(key).agg(F.bool_or((F.floor(F.col("span") / F.col("period")) >= repetitions) & (F.col("span") >= span)).alias("_loops"))
+    return longest_runs(df, key, order, value).join(by_period, key).select(key, ((F.col("run") >= run) | F.col("_loops")).alias("degenerate"))
+
+
 def period_spans(df: DataFrame, key: str, order: list[str], value: str, periods: int = 4) -> DataFrame:
     """key, period, span: the longest stretch that repeats with that period, if it's two periods long at least, else 0."""
     w = W.partitionBy(key).orderBy(*order)

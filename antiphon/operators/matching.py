@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from antiphon.functions import text as T
+from antiphon.operators.corpus import ranked
 
 
 def condition_grid(traits: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
@@ -57,14 +57,36 @@ def matched_reasons(positive: Column, negative: Column) -> Column:
     return F.concat(*sides, F.when(missing, F.array(F.lit("missing_judge_score"))).otherwise(limits))
 
 
+def class_consistent(degenerate: Column, thinks: Column, refusal: Column, harmful: Column) -> Column:
+    return ~degenerate & ~thinks & (refusal == harmful)
+
+
+def terms(text: Column, names: tuple[str, ...]) -> Column:
+    """Those of the names that the text has as words, sorted."""
+    return F.array_sort(F.filter(F.array(*map(F.lit, names)), lambda n: F.rlike(F.lower(text), F.concat(F.lit(r"(?U)\b"), n, F.lit(r"\b")))))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of both sides by key; raises where a key is on one side only."""
+    a, b = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
+    both = a.join(b, key, "full_outer")
+    message = F.concat(F.lit("on one side only: "), F.col(key).cast("string"))
+    fine = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return both.where(fine).drop("_l", "_r")
+
+
+def batch_order() -> list[Column]:
+    """Positive conditions first, then by pair."""
+    return [F.col("polarity") != "positive", F.col("pair")]
+
+
 def zero_filled(dimension: DataFrame, counts: DataFrame, key: str, column: str = "n") -> DataFrame:
     return dimension.join(counts, key, "left").withColumn(column, F.coalesce(column, F.lit(0)))
 
 
 def accepted_vector_pairs(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """grp, pos, neg: vectors of the n-th place of both classes of a group, if both are accepted (quality 1). One shuffle by place brings both sides together."""
-    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
-    ranked = vectors.withColumn("rn", place).join(labels.select(F.col("doc_id").alias("vec_id"), "quality"), "vec_id", "left")
-    ok = F.col("quality") == 1
-    sides = ranked.groupBy(F.floor(F.col("label") / 2).alias("grp"), "rn").agg(*(F.max(F.when(ok & (F.col("label") % 2 == k), F.col("embedding"))).alias(name) for k, name in ((1, "pos"), (0, "neg"))))
+    # Ids alone are ranked; the vectors of accepted ones come after.
+    places = ranked(vectors.select("vec_id", "label"), "label", "vec_id").join(labels.where("quality = 1").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    sides = vectors.select("vec_id", "embedding").join(places, "vec_id").groupBy(F.floor(F.col("label") / 2).alias("grp"), "rn").agg(*(F.max(F.when(F.col("label") % 2 == k, F.col("embedding"))).alias(name) for k, name in ((1, "pos"), (0, "neg"))))
     return sides.where("pos IS NOT NULL AND neg IS NOT NULL").select("grp", "pos", "neg")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antiphon.functions import vectors as V
+from antiphon.operators.corpus import ranked
 
 #: Vectors that distinct_directions() keeps on the driver at most.
 MOST_DIRECTIONS = 4096
@@ -43,6 +44,19 @@ def distinct_directions(df: DataFrame, key: str, vector: str, order: list[Column
     return kept
 
 
+def increments(vectors: DataFrame, size: int) -> DataFrame:
+    """vec_id, label, v, step: a vector less the one before it in its label (of the first, less nothing).
+
+    Ids are ranked alone; then each vector goes to its own place and to the next one, so that no label is one task's work.
+    """
+    places = ranked(vectors.select("vec_id", "label"), "label", "vec_id").select("vec_id", "rn")
+    placed = vectors.join(places, "vec_id")
+    sides = placed.select("label", "rn", F.struct("vec_id", "v").alias("now"), F.lit(None).cast("array<double>").alias("past")).union(placed.select("label", F.col("rn") + 1, F.lit(None).cast("struct<vec_id:bigint,v:array<double>>"), "v"))
+    both = sides.groupBy("label", "rn").agg(F.max("now").alias("now"), F.max("past").alias("past")).where("now IS NOT NULL")
+    step = V.subtract(F.col("now.v"), F.coalesce("past", F.array_repeat(F.lit(0.0), size)))
+    return both.select("now.vec_id", "label", "now.v", step.alias("step"))
+
+
 def generated_guards(base: dict[str, Column], now: dict[str, Column]) -> Column:
     """Strictly fewer refusals, no more degenerate answers, none of either added, no probe lost, no unexpected reasoning."""
     return (now["refusals"] < base["refusals"]) & (now["degenerate"] <= base["degenerate"]) & (now["added_refusals"] == 0) & (now["added_degenerate"] == 0) & (now["lost_probes"] == 0) & (now["unexpected"] == 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from antiphon.plans import chats, corpus, journals, matching, selection
+from antiphon.plans import audits, chats, corpus, journals, matching, prompts, selection, tensors
 from antiphon.plans.registry import ORACLE, QUERIES, Query
 
-__all__ = ["ORACLE", "QUERIES", "Query", "chats", "corpus", "journals", "matching", "selection"]
+__all__ = ["ORACLE", "QUERIES", "Query", "audits", "chats", "corpus", "journals", "matching", "prompts", "selection", "tensors"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -13,37 +13,79 @@ from antiphon.plans.registry import Tables, query
 from antiphon.streaming import admission
 
 _BARE = r"regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), '**', ''), '__', ''), '^[*_]', ''), '^$', '')"
-_MARKED = "CASE WHEN doc_id % 10 = 0 THEN 'I''m sorry, but I cannot help. ' WHEN doc_id % 10 = 1 THEN '**As an AI model, I must decline.** ' WHEN doc_id % 10 = 2 THEN 'Sorry. The answer: ' ELSE '' END || text"
+#: Put before texts, so that every way to refuse is met, and some that only look like one.
+_OPENINGS = (
+    "I'm sorry, but I cannot help. ", "**As an AI model, I must decline.** ", "Sorry. The answer: ", "_I am unable to say._ ", "I do not assist with this. ", "I'm not allowed to. ", "This request is something I can't do. ",
+    "I'm afraid I won't. ", "Apologies; I have to refuse. ", "He said: I cannot help. ", "",
+)
+_TASKS = ("I cannot help you. ", "Sorry, I won't write: ", "I cannot stop thinking. ", "As an AI of sorts, I must decline to discuss it. ", "")
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_MARKED} AS text FROM documents)
-SELECT doc_id, trim(regexp_extract({_BARE}, '(?i)^\\s*(?:as\\s+an?\\s+(?:ai(?:\\s+(?:language\\s+)?model|\\s+assistant)?|language\\s+model|assistant)\\s*[,;:]\\s*)?(?:(?:i\\s*(?:am|''m|’m)\\s+sorry|sorry|apologies)\\s*[,!.:;—–-]*\\s*(?:but\\s+)?)*(?:i\\s+(?:cannot|can\\s*not|can''t|can’t|won''t|won’t|will\\s+not)\\b|i\\s*(?:am|''m|’m)\\s+(?:unable|not\\s+able)\\s+to\\b|i\\s+(?:(?:must|have\\s+to|need\\s+to)\\s+)?(?:decline|refuse)\\b)')) AS matched FROM d""")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _opened_sql(openings: tuple[str, ...], key: str) -> str:
+    return f"[{', '.join(map(_quoted, openings))}][1 + {key} % {len(openings)}] || text"
+
+
+def _opened(openings: tuple[str, ...], key: str) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, openings)), (F.col(key) % len(openings) + 1).cast("int")), "text")
+
+
+def _sql_pattern(pattern: str) -> str:
+    """The same pattern for an engine that has no \\A."""
+    return _quoted("(?i)" + pattern.replace(r"\A", "^"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {_opened_sql(_OPENINGS, 'doc_id')} AS text FROM documents) SELECT doc_id, trim(regexp_extract({_BARE}, {_sql_pattern(T.REFUSAL_OPENING)})) AS matched FROM d")
 def c01_refusal_opening(t: Tables) -> DataFrame:
     """Refusals at an answer's opening, through emphasis; an apology alone is none."""
-    start = F.when(F.col("doc_id") % 10 == 0, "I'm sorry, but I cannot help. ").when(F.col("doc_id") % 10 == 1, "**As an AI model, I must decline.** ").when(F.col("doc_id") % 10 == 2, "Sorry. The answer: ").otherwise("")
-    return t("documents").select("doc_id", T.refusal_match(F.concat(start, "text")).alias("matched"))
+    return t("documents").select("doc_id", T.refusal_match(_opened(_OPENINGS, "doc_id")).alias("matched"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_matches(text || ' ' || CASE WHEN turn % 2 = 0 THEN 'x' ELSE 'y' END, '^\s*I\s+(?:cannot|can''t|won''t)\s+(?:help|write)\b', 'i') AS refusal, turn % 3 = 0 AS helped FROM conversations""")
+@query(f"SELECT conv_id, turn, regexp_matches({_opened_sql(_TASKS, 'conv_id')}, {_sql_pattern(T.TASK_REFUSAL)}) AS refusal FROM conversations")
 def c02_task_refusal(t: Tables) -> DataFrame:
-    return t("conversations").select("conv_id", "turn", T.task_refusal(F.col("text")).alias("refusal"), (F.col("turn") % 3 == 0).alias("helped"))
+    return t("conversations").select("conv_id", "turn", T.task_refusal(_opened(_TASKS, "conv_id")).alias("refusal"))
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[a-z0-9]+')"
+_REPETITION = "CASE WHEN len(w) > 2 THEN 1 - len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / (len(w) - 2) ELSE 0 END"
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, len(w) AS n, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM w)
-SELECT doc_id, n::BIGINT AS n_words, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS repetition FROM g""")
-def c22_degenerate(t: Tables) -> DataFrame:
+@query(f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_words, round({_REPETITION}, 6) AS repetition FROM w")
+def j09_trigram_repetition(t: Tables) -> DataFrame:
     """Share of trigrams (of plain words) that are repeats."""
     w = t("documents").select("doc_id", T.plain_words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), T.trigram_repetition(F.col("w")).alias("repetition"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.round(T.trigram_repetition(F.col("w")), 6).alias("repetition"))
 
 
-@query()
+def _runs_sql(least: int) -> str:
+    """Runs of one character, spelled out for each, as the SQL engine's patterns have no back references."""
+    letters = [chr(c) for c in (*range(33, 127), *range(0xA1, 0x180))]
+    return _quoted("|".join(f"{'' if c.isalnum() else chr(92) if c.isascii() else ''}{c}{{{least},}}" for c in letters))
+
+
+_RUN = "coalesce(list_max(list_transform(regexp_extract_all({}, {}), lambda x: length(x))), 0)"
+_LOOPS = "[repeat('x', 40) || left(text, 15), repeat('so it goes on ', 20), ' ', left(text, 400) || repeat('=', 300)]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, trim(CASE WHEN doc_id % 9 < 4 THEN {_LOOPS}[1 + doc_id % 9] ELSE text END, e' \\t\\n\\r') AS text FROM documents),
+r AS (SELECT doc_id, text, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+') AS w, {_RUN.format('text', _runs_sql(32))} AS run FROM d),
+m AS (SELECT doc_id, text, w, run, {_REPETITION} AS repetition, CASE WHEN text = '' THEN 0 ELSE run / length(text) END AS share FROM r)
+SELECT doc_id, text = '' OR (len(w) >= 24 AND greatest(repetition, share) >= 0.65) OR (run >= 32 AND share >= 0.65) AS degenerate FROM m""")
+def c22_degenerate(t: Tables) -> DataFrame:
+    """Empty, repeated words, or one character for most of it: some texts are made so."""
+    loops = F.array(F.concat(F.lit("x" * 40), F.left("text", F.lit(15))), F.lit("so it goes on " * 20), F.lit(" "), F.concat(F.left("text", F.lit(400)), F.lit("=" * 300)))
+    at = (F.col("doc_id") % 9).cast("int")
+    d = t("documents").select("doc_id", F.when(at < 4, F.get(loops, at)).otherwise(F.col("text")).alias("text"))
+    return d.select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
+
+
+@query(f"SELECT doc_id, {_RUN.format('text', _runs_sql(3))}::BIGINT AS run FROM documents")
 def e23_character_runs(t: Tables) -> DataFrame:
-    """Longest run of 32 equal characters or more, and the whole degenerate rule (the SQL engine's patterns have no back references)."""
-    return t("documents").select("doc_id", T.longest_character_run(F.col("text"), 3).cast("long").alias("run"), T.degenerate(F.col("text")).alias("degenerate"))
+    """Longest run of equal characters, of three or more."""
+    return t("documents").select("doc_id", T.longest_character_run(F.col("text"), 3).cast("long").alias("run"))
 
 
 @query("""WITH h AS (SELECT conv_id, list(struct_pack(r := role, n := length(text), b := trim(text, e' \\t\\n\\r') = '') ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
@@ -58,13 +100,18 @@ def f07_role_alternation(t: Tables) -> DataFrame:
     return H.histories(t("conversations")).select("conv_id", H.same_role_neighbours(F.col("messages")).alias("repeats_role"))
 
 
-@query(r"""SELECT doc_id, 'email' AS kind FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]') UNION ALL SELECT doc_id, 'token' FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{16,}"')
-UNION ALL SELECT doc_id, 'credential' FROM documents WHERE regexp_matches(text, 'hf_[A-Za-z0-9]{24,}|sk-or-v1-[A-Za-z0-9_-]{16,}|-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----')""")
+_KEYS_OUT = "CASE doc_id % 5 WHEN 0 THEN ' hf_' || repeat('a1B2', 6) WHEN 1 THEN ' -----BEGIN RSA PRIVATE KEY-----' WHEN 2 THEN ' sk-or-v1-short' ELSE '' END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text || {_KEYS_OUT} AS text FROM documents) SELECT doc_id, 'email' AS kind FROM d WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]') UNION ALL SELECT doc_id, 'token' FROM d WHERE regexp_matches(text, 'token = "[0-9a-f]{{16,}}"')
+UNION ALL SELECT doc_id, 'credential' FROM d WHERE regexp_matches(text, '{T.SECRET_TEXT}')""")
 def c24_privacy_scan(t: Tables) -> DataFrame:
-    """What must not be published, one scan for all kinds."""
+    """What must not be published, one scan for all kinds; some texts are given a credential, or what only looks like one."""
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]", "token": 'token = "[0-9a-f]{16,}"', "credential": T.SECRET_TEXT}
+    at = F.col("doc_id") % 5
+    end = F.when(at == 0, " hf_" + "a1B2" * 6).when(at == 1, " -----BEGIN RSA PRIVATE KEY-----").when(at == 2, " sk-or-v1-short").otherwise("")
     found = F.array_compact(F.array(*(F.when(F.rlike("text", F.lit(p)), k) for k, p in kinds.items())))
-    return t("documents").select("doc_id", F.explode(found).alias("kind"))
+    return t("documents").select("doc_id", F.concat("text", end).alias("text")).select("doc_id", F.explode(found).alias("kind"))
 
 
 @query(r"SELECT page_id, path, NOT regexp_matches(path, '^/|\\') AND len(list_filter(string_split(path, '/'), lambda p: p IN ('', '.', '..'))) = 0 AS safe FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+/', CASE WHEN page_id % 3 = 0 THEN '../' WHEN page_id % 3 = 1 THEN '' ELSE '/' END) AS path FROM pages)")
@@ -97,14 +144,17 @@ def f08_span_mask(t: Tables) -> DataFrame:
     return m.groupBy("user_id").agg(F.count_if(F.col("tag").isNull() & ~inside).alias("kept"), (F.count("tag") > 0).alias("unexpected"))
 
 
+_ENDS = ("purchase", "error")
+
+
 @query("""WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id)
-SELECT user_id, len(ids)::BIGINT AS n, coalesce(list_position(ids, 'purchase'), len(ids))::BIGINT AS kept FROM e""")
+SELECT user_id, len(ids)::BIGINT AS n, coalesce(least(list_position(ids, 'purchase'), list_position(ids, 'error')), len(ids))::BIGINT AS kept FROM e""")
 def b13_trim_at_end(t: Tables) -> DataFrame:
-    """Up to the first end marker, itself included; all where there is none."""
-    e = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("ids"))
-    at = F.array_position("ids", "purchase")
-    kept = F.when(at > 0, F.slice("ids", F.lit(1), at.cast("int"))).otherwise(F.col("ids"))
-    return e.select("user_id", F.size("ids").cast("long").alias("n"), F.size(kept).cast("long").alias("kept"))
+    """Up to the first of the end markers, itself included; all where there is none. A long log is never one task's list."""
+    place = F.struct("ts", "event_id")
+    ends = t("events").where(F.col("event_type").isin(*_ENDS)).groupBy("user_id").agg(F.min(place).alias("end"))
+    own = t("events").select("user_id", place.alias("place")).join(ends, "user_id", "left")
+    return own.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("end").isNull() | (F.col("place") <= F.col("end"))).alias("kept"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 21599999999 PRECEDING AND 1 PRECEDING)::BIGINT AS prior FROM events")
@@ -180,7 +230,11 @@ def b18_left_padding(t: Tables) -> DataFrame:
 
 @query()
 def l01_admission_exact(t: Tables) -> DataFrame:
-    """Every arrival's decision, by the state machine itself: later decisions depend on earlier ones."""
+    """Every arrival's decision, by the state machine itself: later decisions depend on earlier ones. A gate is one service; users are dealt over GATES of them."""
     seconds = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6
-    arrivals = t("events").select(F.lit("all").alias("gate"), seconds.alias("now"), F.col("user_id").cast("string").alias("client"), F.col("event_id").cast("string").alias("request"), F.when(F.col("event_type") == "error", "leave").otherwise("enter").alias("what"))
+    gate = F.pmod(F.xxhash64("user_id"), F.lit(_GATES)).cast("string")
+    arrivals = t("events").select(gate.alias("gate"), seconds.alias("now"), F.col("user_id").cast("string").alias("client"), F.col("event_id").cast("string").alias("request"), F.when(F.col("event_type") == "error", "leave").otherwise("enter").alias("what"))
     return admission.decide(arrivals)
+
+
+_GATES = 64

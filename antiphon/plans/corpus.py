@@ -14,11 +14,11 @@ _KEY = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _U32 = "('0x' || substr(sha256('{}|' || {}), 1, 8))::BIGINT"
 
 
-@query("SELECT doc_id, lang || ':' || lpad((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::VARCHAR, 3, '0') AS prompt_id, sha256(text) AS sha FROM documents")
+@query("SELECT doc_id, lang || ':' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR)), '0') AS prompt_id, sha256(text) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents)")
 def b01_row_enrichment(t: Tables) -> DataFrame:
-    at = F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1
-    place = F.when(at < 1000, F.lpad(at.cast("string"), 3, "0")).otherwise(F.substring(at.cast("string"), 1, 3))
-    return t("documents").select("doc_id", F.concat_ws(":", "lang", place).alias("prompt_id"), F.sha2("text", 256).alias("sha"))
+    """Places are padded to three digits, and longer where they need more."""
+    hashed = K.ranked(t("documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha")), "lang", "doc_id")
+    return hashed.select("doc_id", F.concat_ws(":", "lang", T.padded(F.col("rn") - 1, 3)).alias("prompt_id"), "sha")
 
 
 @query("SELECT doc_id, ('0x' || substr(sha256('20261004|' || source || '|' || doc_id), 1, 8))::BIGINT AS seed FROM documents")
@@ -57,9 +57,11 @@ def c14_terms(t: Tables) -> DataFrame:
     return t("benchmark").select("item_id", found.alias("f")).where(F.size("f") > 0).select("item_id", F.array_join("f", ",").alias("terms"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(^|[^\p{L}\p{N}_])(?:depression|curiosity|paranoia|sexual arousal|narcissism|euphoria)($|[^\p{L}\p{N}_])', 'i') AS leaks, regexp_matches(text, '(^|[^\p{L}\p{N}_])(?:license|apache|mit)($|[^\p{L}\p{N}_])', 'i') AS licensed FROM documents")
+@query(r"SELECT doc_id, regexp_matches(text, '(^|[^\p{L}\p{N}_])(?:depression|curiosity|paranoia|sexual arousal|narcissism|euphoria)($|[^\p{L}\p{N}_])', 'i') AS leaks, regexp_matches(text, '(^|[^\p{L}\p{N}_])(?:license|apache|mit)($|[^\p{L}\p{N}_])', 'i') AS licensed FROM (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' of Sexual Arousal.' WHEN 1 THEN ' narcissism' WHEN 2 THEN ' euphorias' ELSE '' END AS text FROM documents)")
 def c15_label_leak(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.rlike("text", F.lit(f"(?i){T.CLASS_NAMES}")).alias("leaks"), F.rlike("text", F.lit(r"(?i)\b(?:license|apache|mit)\b")).alias("licensed"))
+    """Names are put at the end of some texts; one of them only looks like a name."""
+    end = F.when(F.col("doc_id") % 7 == 0, " of Sexual Arousal.").when(F.col("doc_id") % 7 == 1, " narcissism").when(F.col("doc_id") % 7 == 2, " euphorias").otherwise("")
+    return t("documents").select("doc_id", F.concat("text", end).alias("text")).select("doc_id", F.rlike("text", F.lit(f"(?i){T.CLASS_NAMES}")).alias("leaks"), F.rlike("text", F.lit(r"(?i)\b(?:license|apache|mit)\b")).alias("licensed"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\s]+'))::BIGINT AS words, len(regexp_extract_all(text, '[^\s]+')) BETWEEN 12 AND 50 AS words_ok, length(text) <= 2000 AS chars_ok FROM documents")
@@ -68,17 +70,23 @@ def c16_length_bounds(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", words.alias("words"), words.between(12, 50).alias("words_ok"), (F.length("text") <= 2000).alias("chars_ok"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' AND text NOT IN (SELECT text FROM documents WHERE lang <> 'en') AND text NOT IN (SELECT text FROM documents WHERE lang = 'en' AND doc_id % 2 = 1 AND doc_id < 400) AND doc_id % 2 = 0")
+_SPLIT = f"CASE WHEN {_U32.format('7', 'doc_id')} < 2576980377 THEN 'train' WHEN {_U32.format('7', 'doc_id')} < 3435973836 THEN 'validation' ELSE 'test' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {_SPLIT} AS split FROM documents)
+SELECT doc_id, split FROM d WHERE split = 'train' AND text NOT IN (SELECT text FROM d WHERE split <> 'train') OR split = 'validation' AND text NOT IN (SELECT text FROM d WHERE split = 'test')""")
 def d11_exact_overlap(t: Tables) -> DataFrame:
-    """Training texts that stand in no later set."""
-    d = t("documents")
-    later = d.where("lang <> 'en'").select("text").union(d.where("lang = 'en' AND doc_id % 2 = 1 AND doc_id < 400").select("text"))
-    return d.where("lang = 'en' AND doc_id % 2 = 0").join(later, "text", "left_anti").select("doc_id")
+    """Training and validation texts that stand in no later set. One aggregation by the text's hash tells the last set of each text."""
+    split = K.hash_split(F.col("doc_id"), "7", {"train": 0.6, "validation": 0.2, "test": 0.2})
+    place = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2)
+    d = t("documents").select("doc_id", F.sha2("text", 256).alias("sha"), split.alias("split")).withColumn("place", place)
+    last = d.groupBy("sha").agg(F.max("place").alias("last"))
+    return d.where("place < 2").join(last, "sha").where("place = last").select("doc_id", "split")
 
 
 @query(f"SELECT doc_id FROM documents WHERE source <> 'src0' AND {_KEY} NOT IN (SELECT {_KEY} FROM documents WHERE source = 'src0')")
 def d12_normalised_overlap(t: Tables) -> DataFrame:
-    d = t("documents").withColumn("key", T.text_key(F.col("text")))
+    d = t("documents").select("doc_id", "source", F.sha2(T.text_key(F.col("text")), 256).alias("key"))
     return d.where("source <> 'src0'").join(d.where("source = 'src0'").select("key"), "key", "left_anti").select("doc_id")
 
 
@@ -87,13 +95,13 @@ SELECT (SELECT count(*) FROM a)::BIGINT AS n_left, (SELECT count(*) FROM b)::BIG
 def d13_split_overlap_counts(t: Tables) -> DataFrame:
     """In one aggregation: which sides each key is on."""
     side = (F.col("doc_id") % 2).cast("int")
-    keys = t("documents").groupBy(T.text_key(F.col("text")).alias("k")).agg(F.max((side == 0).cast("int")).alias("l"), F.max((side == 1).cast("int")).alias("r"))
+    keys = t("documents").groupBy(F.sha2(T.text_key(F.col("text")), 256).alias("k")).agg(F.max((side == 0).cast("int")).alias("l"), F.max((side == 1).cast("int")).alias("r"))
     return keys.agg(F.sum("l").cast("long").alias("n_left"), F.sum("r").cast("long").alias("n_right"), F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("n_both"), F.count("*").alias("n_any"))
 
 
 @query(f"SELECT doc_id, copies::BIGINT AS copies FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY {_KEY}) AS copies FROM documents) WHERE rn = 1")
 def f02_first_seen(t: Tables) -> DataFrame:
-    return K.first_seen(t("documents").select("doc_id", "text"), T.text_key(F.col("text")), "doc_id").select("doc_id", "copies")
+    return K.first_seen(t("documents"), T.text_key(F.col("text")), "doc_id")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -103,8 +111,8 @@ def f03_last_write(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 8)::BIGINT AS batch FROM orders")
 def f10_fixed_chunks(t: Tables) -> DataFrame:
-    at = F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
-    return t("orders").select("o_orderkey", F.floor(at / 8).alias("batch"))
+    placed = K.ranked(t("orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+    return placed.select("o_orderkey", F.floor((F.col("rn") - 1) / 8).alias("batch"))
 
 
 @query("SELECT lang AS name, 'lang' AS kind, count(*)::BIGINT AS n FROM documents GROUP BY 1 UNION ALL SELECT source, 'source', count(*) FROM documents GROUP BY 1")
@@ -164,7 +172,11 @@ def e06_ranges(t: Tables) -> DataFrame:
 
 @query(f"SELECT lang, count(*)::BIGINT AS n, count(DISTINCT text)::BIGINT AS texts, count(DISTINCT {_KEY})::BIGINT AS keys FROM documents GROUP BY lang")
 def e07_distinct(t: Tables) -> DataFrame:
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct(T.text_key(F.col("text"))).alias("keys"))
+    """Equal texts have equal keys, so counting goes up by levels, of hashes: texts, keys, languages."""
+    d = t("documents").select("lang", F.sha2("text", 256).alias("sha"), F.sha2(T.text_key(F.col("text")), 256).alias("k"))
+    texts = d.groupBy("lang", "k", "sha").agg(F.count("*").alias("n"))
+    keys = texts.groupBy("lang", "k").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    return keys.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.count("*").alias("keys"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, regexp_replace(split_part(text, e'\\n', 1), '[.]$', '') AS line, length(text)::BIGINT AS chars, upper(left(source, 1)) || substr(source, 2) AS title FROM documents")
@@ -188,7 +200,7 @@ def j24_time_stamps(t: Tables) -> DataFrame:
     return t("events").select("event_id", seconds.alias("seconds"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.datediff(F.lit("2030-01-01").cast("date"), F.col("ts").cast("date")).cast("long").alias("days"))
 
 
-@query("SELECT text, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT sha256(text) AS sha, count(*)::BIGINT AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
 def n03_uniqueness(t: Tables) -> DataFrame:
-    """Violations as rows: texts that are there more than once."""
-    return t("documents").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    """Violations as rows: texts, by their hash, that are there more than once."""
+    return t("documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")

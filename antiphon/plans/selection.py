@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from antiphon.functions import text as T
 from antiphon.functions import vectors as V
 from antiphon.operators import selection as S
+from antiphon.operators.corpus import ranked
 from antiphon.plans.matching import DIM
 from antiphon.plans.registry import Tables, query
 
@@ -40,15 +41,19 @@ def c08_divergence_guard(t: Tables) -> DataFrame:
     return k.select("vec_id", F.round("kl", 8).alias("kl"), F.when(F.col("kl") < 0.015, F.round(F.col("r")[0], 8)).alias("delta"))
 
 
-@query("""WITH b AS (SELECT l_suppkey, count_if(l_returnflag = 'R' AND l_linenumber % 2 = 0)::BIGINT AS base, count_if(l_returnflag = 'R' AND l_linenumber % 2 = 1)::BIGINT AS now, count_if(l_tax > 0.07 AND l_linenumber % 2 = 0)::BIGINT AS dbase, count_if(l_tax > 0.07 AND l_linenumber % 2 = 1)::BIGINT AS dnow FROM lineitem GROUP BY 1)
-SELECT l_suppkey, now < base AND dnow <= dbase AS passes FROM b""")
+_GUARDED = {
+    "base refusals": "l_returnflag = 'R' AND NOT odd", "now refusals": "l_returnflag = 'R' AND odd", "base degenerate": "l_tax > 0.06 AND NOT odd", "now degenerate": "l_tax > 0.06 AND odd",
+    "now added_refusals": "odd AND l_returnflag = 'R' AND l_tax > 0.05", "now added_degenerate": "odd AND l_tax > 0.06 AND l_discount > 0.08", "now lost_probes": "odd AND l_quantity > 45", "now unexpected": "odd AND l_discount < 0.01 AND l_quantity < 5",
+}
+
+
+@query(f"""WITH o AS (SELECT *, l_linenumber % 2 = 1 AS odd FROM lineitem), c AS (SELECT l_orderkey, {', '.join(f'count_if({x}) AS "{k}"' for k, x in _GUARDED.items())} FROM o GROUP BY l_orderkey)
+SELECT l_orderkey, "now refusals" < "base refusals" AND "now degenerate" <= "base degenerate" AND "now added_refusals" + "now added_degenerate" + "now lost_probes" + "now unexpected" = 0 AS passes FROM c""")
 def c09_generated_guards(t: Tables) -> DataFrame:
-    even, zero = F.col("l_linenumber") % 2 == 0, F.lit(0)
-    count = lambda c, side: F.count_if(c & side)
-    refused, broken = F.col("l_returnflag") == "R", F.col("l_tax") > 0.07
-    g = t("lineitem").groupBy("l_suppkey").agg(count(refused, even).alias("r0"), count(refused, ~even).alias("r1"), count(broken, even).alias("d0"), count(broken, ~even).alias("d1"))
-    none = {k: zero for k in ("added_refusals", "added_degenerate", "lost_probes", "unexpected")}
-    return g.select("l_suppkey", S.generated_guards({"refusals": F.col("r0"), "degenerate": F.col("d0")}, {"refusals": F.col("r1"), "degenerate": F.col("d1"), **none}).alias("passes"))
+    """Odd lines of an order stand for the answers now, even ones for those before."""
+    g = t("lineitem").withColumn("odd", F.col("l_linenumber") % 2 == 1).groupBy("l_orderkey").agg(*(F.count_if(F.expr(x)).alias(k) for k, x in _GUARDED.items()))
+    base, now = ({k.split()[1]: F.col(k) for k in _GUARDED if k.startswith(side)} for side in ("base", "now"))
+    return g.select("l_orderkey", S.generated_guards(base, now).alias("passes"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS f, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
@@ -64,19 +69,9 @@ def d09_added_and_lost(t: Tables) -> DataFrame:
 _DIRECTIONS = 40
 
 
-@query(f"""WITH RECURSIVE {_E}, o AS (SELECT vec_id, v, row_number() OVER (ORDER BY v[1], vec_id) AS rn FROM e ORDER BY v[1], vec_id LIMIT {_DIRECTIONS}),
-g(rn, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.rn, CASE WHEN NOT EXISTS (SELECT 1 FROM o q WHERE list_contains(g.kept, q.vec_id) AND abs(list_cosine_similarity(q.v, o.v)) > 0.3) THEN list_append(g.kept, o.vec_id) ELSE g.kept END FROM g JOIN o ON o.rn = g.rn + 1)
-SELECT unnest(kept) AS vec_id FROM g WHERE rn = {_DIRECTIONS}""")
-def d17_cosine_dedup(t: Tables) -> DataFrame:
-    """Of the first rows only, as in the SQL; d17_whole_cosine_dedup goes through the whole table."""
-    order = [F.col("v")[0], F.col("vec_id")]
-    kept = S.distinct_directions(S.rank(_vectors(t), *order, n=_DIRECTIONS), "vec_id", "v", order, _DIRECTIONS, 0.3)
-    return t("embeddings").sparkSession.createDataFrame([(k,) for k in kept], "vec_id long")
-
-
 @query()
-def d17_whole_cosine_dedup(t: Tables) -> DataFrame:
-    """The limit counts the directions kept."""
+def d17_cosine_dedup(t: Tables) -> DataFrame:
+    """All vectors in the order of their first value, until the stated number is kept: each decision needs those before it."""
     kept = S.distinct_directions(_vectors(t), "vec_id", "v", [F.col("v")[0], F.col("vec_id")], _DIRECTIONS, 0.3)
     return t("embeddings").sparkSession.createDataFrame([(k,) for k in kept], "vec_id long")
 
@@ -137,22 +132,23 @@ def e25_projection_energy(t: Tables) -> DataFrame:
     return g.select(F.col("label").cast("long"), F.round(F.col("sq") - F.col("rest"), 7).alias("removed"), F.round("rest", 7).alias("left_over"), F.round("sq", 7).alias("energy"))
 
 
-@query("SELECT vec_id, i::BIGINT AS dim, round(v[i] - coalesce(b[i], 0), 8) AS step FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, lag(list_transform(embedding, lambda x: x::DOUBLE)) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), range(1, 5) r(i)")
+_STEPS = "s AS (SELECT vec_id, label, i, x, x - lag(x, 1, 0) OVER (PARTITION BY label, i ORDER BY vec_id) AS step FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::BIGINT AS i FROM embeddings))"
+
+
+@query(f"WITH {_STEPS} SELECT vec_id, i AS dim, round(step, 8) AS step FROM s")
 def f01_layer_increments(t: Tables) -> DataFrame:
-    """The first of a label counts from zero; four dimensions are shown."""
-    before = F.lag("v").over(W.partitionBy("label").orderBy("vec_id"))
-    steps = _vectors(t).withColumn("b", F.coalesce(before, F.array_repeat(F.lit(0.0), DIM))).select("vec_id", F.posexplode(F.slice(V.subtract(F.col("v"), F.col("b")), 1, 4)).alias("at", "s"))
+    """Each vector less the one before it in its label; the first of a label counts from zero."""
+    steps = S.increments(_vectors(t), DIM).select("vec_id", F.posexplode("step").alias("at", "s"))
     return steps.select("vec_id", (F.col("at") + 1).cast("long").alias("dim"), F.round("s", 8).alias("step"))
 
 
-@query("SELECT label::BIGINT AS label, count(*)::BIGINT AS n, true AS telescopes FROM embeddings GROUP BY label")
+@query(f"""WITH {_STEPS}, t AS (SELECT label, i, count(*) AS n, sum(step) AS total, last(x ORDER BY vec_id) AS final FROM s GROUP BY ALL)
+SELECT label::BIGINT AS label, max(n)::BIGINT AS n, bool_and(abs(total - final) <= greatest(1e-5 * greatest(abs(total), abs(final)), 1e-8)) AS telescopes, round(sum(total), 6) AS checksum FROM t GROUP BY label""")
 def f17_telescoping(t: Tables) -> DataFrame:
     """The steps' sum is the last vector."""
-    w = W.partitionBy("label").orderBy("vec_id")
-    e = _vectors(t)
-    steps = e.withColumn("s", V.subtract(F.col("v"), F.coalesce(F.lag("v").over(w), F.array_repeat(F.lit(0.0), DIM))))
-    g = steps.groupBy("label").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("s")[i]) for i in range(DIM))).alias("total"), F.max_by("v", "vec_id").alias("last"))
-    return g.select(F.col("label").cast("long"), "n", F.forall(F.zip_with("total", "last", lambda a, b: V.close(a, b)), lambda x: x).alias("telescopes"))
+    steps = S.increments(_vectors(t), DIM)
+    g = steps.groupBy("label").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("step")[i]) for i in range(DIM))).alias("total"), F.max_by("v", "vec_id").alias("final"))
+    return g.select(F.col("label").cast("long"), "n", F.forall(F.zip_with("total", "final", lambda a, b: V.close(a, b)), lambda x: x).alias("telescopes"), F.round(V.total(F.col("total")), 6).alias("checksum"))
 
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE p_size < 10 ORDER BY p_retailprice, p_size, p_partkey LIMIT 24")
@@ -190,22 +186,22 @@ def k02_projection(t: Tables) -> DataFrame:
     return p.select("vec_id", F.round(V.dot(F.col("r"), F.col("u")), 8).alias("along"), F.round(V.project_out(F.col("r"), F.col("u"))[0], 8).alias("first_left"))
 
 
-@query(f"WITH {_E}, w AS (SELECT vec_id // 10 AS layer, v, (0.25 - 0.125 * (label % 5)) AS c FROM e), u AS (SELECT layer, unnest(v) * c AS x, generate_subscripts(v, 1)::BIGINT AS i FROM w) SELECT layer, i AS dim, round(sum(x), 8) AS offset_value FROM u WHERE i <= 4 GROUP BY ALL")
+@query(f"WITH {_E}, w AS (SELECT vec_id // 10 AS layer, v, (0.25 - 0.125 * (label % 5)) AS c FROM e), u AS (SELECT layer, unnest(v) * c AS x, generate_subscripts(v, 1)::BIGINT AS i FROM w) SELECT layer, i AS dim, round(sum(x), 8) AS offset_value FROM u GROUP BY ALL")
 def d18_weighted_mix(t: Tables) -> DataFrame:
     """Coefficients by vectors, summed by layer; one accumulator a dimension."""
-    c = 0.25 - 0.125 * (F.col("label") % 5)
-    w = _vectors(t).select(F.floor(F.col("vec_id") / 10).alias("layer"), F.transform("v", lambda x: x).alias("v"), c.alias("c"))
-    mixed = w.groupBy("layer").agg(F.array(*(F.sum(F.col("v")[i] * F.col("c")) for i in range(4))).alias("m"))
-    return mixed.select("layer", F.posexplode("m").alias("at", "x")).select("layer", (F.col("at") + 1).cast("long").alias("dim"), F.round("x", 8).alias("offset_value"))
+    own = _vectors(t).select(F.floor(F.col("vec_id") / 10).alias("layer"), "v", (0.25 - 0.125 * (F.col("label") % 5)).alias("c"))
+    mixed = V.mix_by(own, ["layer"], "v", "c", DIM)
+    return mixed.select("layer", F.posexplode("mix").alias("at", "x")).select("layer", (F.col("at") + 1).cast("long").alias("dim"), F.round("x", 8).alias("offset_value"))
 
 
-@query(f"WITH {_E}, p AS (SELECT vec_id, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM e) SELECT vec_id, round(CASE WHEN pos = 3 OR (pos > 3 AND vec_id % 2 = 0) THEN v[1] + 0.25 * v[2] ELSE v[1] END, 8) AS x FROM p")
+@query(f"WITH {_E}, p AS (SELECT vec_id, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM e), u AS (SELECT vec_id, pos, unnest(v) AS x, generate_subscripts(v, 1)::BIGINT AS i FROM p) SELECT vec_id, i AS dim, round(CASE WHEN pos = 3 OR (pos > 3 AND vec_id % 2 = 0) THEN x + 0.01 * i ELSE x END, 8) AS x FROM u")
 def k08_masked_add(t: Tables) -> DataFrame:
-    """An offset at the final prompt place, and at content places after it."""
-    at = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
-    shifted = F.zip_with("v", F.slice("v", 2, 1), lambda x, y: x + 0.25 * F.coalesce(y, F.lit(0.0)))
-    p = _vectors(t).withColumn("at", at)
-    return p.select("vec_id", F.round(F.when((F.col("at") == 3) | ((F.col("at") > 3) & (F.col("vec_id") % 2 == 0)), shifted).otherwise(F.col("v"))[0], 8).alias("x"))
+    """An offset vector at the final prompt place, and at content places after it."""
+    offset = F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda i: i * F.lit(0.01).cast("double"))
+    places = ranked(t("embeddings").select("vec_id", "label"), "label", "vec_id", "at").select("vec_id", "at")
+    steered = (F.col("at") == 3) | ((F.col("at") > 3) & (F.col("vec_id") % 2 == 0))
+    p = _vectors(t).join(places, "vec_id").select("vec_id", F.posexplode(F.when(steered, V.add(F.col("v"), offset)).otherwise(F.col("v"))).alias("at", "x"))
+    return p.select("vec_id", (F.col("at") + 1).cast("long").alias("dim"), F.round("x", 8).alias("x"))
 
 
 @query(f"WITH {_PAIR} SELECT vec_id, round(abs(list_cosine_similarity(r, c)), 8) AS cosine, abs(sqrt(list_dot_product(r, r)) - sqrt(list_dot_product(c, c))) <= greatest(0.01 * greatest(sqrt(list_dot_product(r, r)), sqrt(list_dot_product(c, c))), 1e-8) AS norms_close FROM p")

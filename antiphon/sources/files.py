@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,11 +54,20 @@ def read_strict_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, document string")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
+def any_files(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False, key: str | None = None) -> DataFrame:
     """Rows of JSON lines. Blank lines are skipped and a file's last line may be torn if nothing ends it; any other bad line raises. With strict, blank and torn lines raise, too.
 
     Files are cut into lines whole, as only then it's known which line is the last: a journal is one sequential writer's file.
+    A path without files has no rows. With `key`, a row without that text is an error as well.
     """
+    if not any_files(spark, path):
+        return spark.createDataFrame([], schema)
     lines = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
     numbered = lines.select("path", F.posexplode(F.split("t", "\n")).alias("at", "line"), F.size(F.split("t", "\n")).alias("n"))
     last = F.col("at") == F.col("n") - 1
@@ -63,7 +75,94 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict:
     blank, bad = F.trim("line") == "", F.col("r").isNull() | F.col("r._bad").isNotNull()
     allowed = F.lit(False) if strict else blank | (last & bad)
     checked = parsed.withColumn("ok", F.when(~(blank | bad), F.lit(True)).when(allowed, F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("bad line "), F.col("at").cast("string"), F.lit(" of "), "path")).cast("boolean")))
-    return checked.where("ok").select(*(F.col(f"r.{f.name}") for f in schema))
+    rows = checked.where("ok").select(*(F.col(f"r.{f.name}") for f in schema))
+    if key is None:
+        return rows
+    named = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+    return rows.where(F.when(named, F.lit(True)).otherwise(F.raise_error(F.lit(f"a row without {key}")).cast("boolean")))
+
+
+def mended(path: str) -> int:
+    """Ends a journal's last line: with a new line if it is whole, else by cutting it off. Returns how many bytes were cut."""
+    with open(path, "rb+") as f:
+        data = f.read()
+        begin = data.rfind(b"\n") + 1
+        tail = data[begin:]
+        if not tail.strip():
+            return 0
+        try:
+            json.loads(tail)
+        except ValueError:
+            f.truncate(begin)
+            return len(tail)
+        f.write(b"\n")
+        return 0
+
+
+def append_record(path: str, record: dict) -> None:
+    """One sequential writer's line, on disk when this returns; what an earlier crash left torn is mended first."""
+    if os.path.exists(path):
+        mended(path)
+    with open(path, "ab") as f:
+        f.write(json.dumps(record, ensure_ascii=False, allow_nan=False).encode() + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def write_document(path: str, value: object, exclusive: bool = False) -> None:
+    """A JSON document, whole or not at all, under a draft's name first. Exclusive: raises FileExistsError where there is one, also if another writer was faster."""
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    try:
+        with open(draft, "x", encoding="utf-8") as f:
+            json.dump(value, f, ensure_ascii=False, allow_nan=False, sort_keys=True)
+            f.flush()
+            os.fsync(f.fileno())
+        if exclusive:
+            os.link(draft, path)
+        else:
+            os.replace(draft, path)
+    finally:
+        if os.path.exists(draft):
+            os.unlink(draft)
+
+
+def read_pool(spark: SparkSession, path: str, sha256: str, expected: int, column: str = "instruction") -> DataFrame:
+    """The rows of a JSON list (a file of prompts, read on the driver), after its checksum, their number, and that no text is blank."""
+    with open(path, "rb") as f:
+        data = f.read()
+    if hashlib.sha256(data).hexdigest() != sha256:
+        raise BadDocument(f"{path}: another checksum")
+    rows = json.loads(data)
+    if not isinstance(rows, list) or len(rows) != expected:
+        raise BadDocument(f"{path}: not a list of {expected}")
+    if not all(isinstance(r, dict) and isinstance(r.get(column), str) and r[column].strip() for r in rows):
+        raise BadDocument(f"{path}: a row without {column}")
+    return spark.createDataFrame([(i, r[column], json.dumps(r, ensure_ascii=False, sort_keys=True)) for i, r in enumerate(rows)], f"place int, {column} string, record string")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line: the lines of text files that aren't blank, without white space at the ends."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\A\s+|\s+\z", "").alias("line"))
+    return lines.where("line <> ''")
+
+
+def write_json_by(df: DataFrame, path: str, key: str, order: str) -> None:
+    """JSON lines in a folder for each key, and all of them in one folder, ordered."""
+    df.sortWithinPartitions(order).write.partitionBy(key).json(f"{path}/by-{key}")
+    df.orderBy(order).write.json(f"{path}/all")
+
+
+def record_path(root: str, group: str, key: str) -> str:
+    """Where a record of a store with a file for each row stands: a name that the key fixes and that is safe in any file system."""
+    return f"{root}/{group}/{hashlib.sha256(key.encode()).hexdigest()}.json"
+
+
+def insert_new(df: DataFrame, path: str, key: str) -> None:
+    """Appends the rows whose key isn't there yet: nothing that was written is written again."""
+    spark = df.sparkSession
+    if any_files(spark, path):
+        df = df.join(spark.read.schema(df.schema).parquet(path).select(key), key, "left_anti")
+    df.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
 def append_json_lines(df: DataFrame, path: str) -> None:

@@ -51,6 +51,37 @@ def write_tensors(path: str, tensors: dict[str, np.ndarray]) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+def copy_missing(source: list[str], export: list[str], path: str, prefix: str) -> list[str]:
+    """Writes the tensors named prefix... that source files have and exported ones lack, byte by byte, as one more file; their names."""
+    have = {name for p in export for name in read_header(p)[1]}
+    wanted = [(name, p, begin, t) for p in source for begin, tensors in [read_header(p)] for name, t in sorted(tensors.items()) if name.startswith(prefix) and name not in have]
+    header, at = {}, 0
+    for name, _, _, t in wanted:
+        size = t["data_offsets"][1] - t["data_offsets"][0]
+        header[name] = {"dtype": t["dtype"], "shape": t["shape"], "data_offsets": [at, at + size]}
+        at += size
+    text = json.dumps(header).encode()
+    with open(f"{path}.tmp", "wb") as out:
+        out.write(struct.pack("<Q", len(text)) + text)
+        for _, p, begin, t in wanted:
+            with open(p, "rb") as f:
+                f.seek(begin + t["data_offsets"][0])
+                left = t["data_offsets"][1] - t["data_offsets"][0]
+                while left:
+                    part = f.read(min(left, 8 << 20))
+                    out.write(part)
+                    left -= len(part)
+    os.replace(f"{path}.tmp", path)
+    return [name for name, *_ in wanted]
+
+
+def check_bank(path: str, shape: list[int]) -> None:
+    """A bank has one tensor, "vectors", of that shape, in 32-bit floats."""
+    tensors = read_header(path)[1]
+    if list(tensors) != ["vectors"] or tensors["vectors"]["dtype"] != "F32" or tensors["vectors"]["shape"] != shape:
+        raise BadDocument(f"{path}: not a bank of shape {shape}")
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, name: str):
         self.path, self.name = path, name

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from antiphon.operators.chats import Admission, replay
+from antiphon.operators.chats import Gate, replay
 
 DECISIONS = "request string, decision string"
 
@@ -24,12 +23,12 @@ def decide(arrivals: DataFrame) -> DataFrame:
     ordered = arrivals.repartition("gate").sortWithinPartitions("gate", "now", "request")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate, state = None, Admission()
+        gate, state = None, Gate()
         for b in batches:
             out = []
             for g, now, client, request, what in zip(b["gate"], b["now"], b["client"], b["request"], b["what"]):
                 if g != gate:
-                    gate, state = g, Admission()
+                    gate, state = g, Gate()
                 if what == "leave":
                     state.leave(request)
                 else:
@@ -39,23 +38,11 @@ def decide(arrivals: DataFrame) -> DataFrame:
     return ordered.select("gate", "now", "client", "request", "what").mapInPandas(run, DECISIONS)
 
 
-def _dump(gate: Admission) -> str:
-    return json.dumps([list(map(list, gate.leases.items())), {k: list(v) for k, v in gate.times.items()}, list(gate.hour)])
-
-
-def _load(text: str) -> Admission:
-    gate, (leases, times, hour) = Admission(), json.loads(text)
-    gate.leases = {k: tuple(v) for k, v in leases}
-    gate.times = {k: deque(v) for k, v in times.items()}
-    gate.hour = deque(hour)
-    return gate
-
-
 def decide_stream(arrivals: DataFrame) -> DataFrame:
     """The same on a stream: each gate's state is kept from batch to batch. Rows of one batch are taken in their order of time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = _load(state.get[0]) if state.exists else Admission()
+        gate = Gate(json.loads(state.get[0]) if state.exists else None)
         rows = pd.concat(list(frames)).sort_values(["now", "request"])
         out = []
         for now, client, request, what in zip(rows["now"], rows["client"], rows["request"], rows["what"]):
@@ -63,7 +50,7 @@ def decide_stream(arrivals: DataFrame) -> DataFrame:
                 gate.leave(request)
             else:
                 out.append((request, gate.enter(now, client, request)))
-        state.update((_dump(gate),))
+        state.update((json.dumps(gate.state()),))
         yield pd.DataFrame(out, columns=["request", "decision"])
 
     return arrivals.groupBy("gate").applyInPandasWithState(step, DECISIONS, "state string", "append", GroupStateTimeout.NoTimeout)
