@@ -40,10 +40,10 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/antiphon/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: it's computed once, and lost executors cost nothing after it."""
     place = new_place(df.sparkSession, name)
-    df.write.parquet(place)
+    df.write.option("compression", codec).parquet(place)
     out = df.sparkSession.read.schema(df.schema).parquet(place)
     out._antiphon_place = place
     return out

@@ -127,17 +127,39 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "class", "bucket", "n"])
 
 
+def pack_rows(rows: list[list[int]]) -> pa.Array:
+    """Rows of ascending numbers below 2^24, each as the steps between them: all low bytes, all middle ones, all high ones (which compress well so)."""
+    sizes = np.array([len(x) for x in rows], np.int64)
+    flat = np.fromiter((y for x in rows for y in x), np.int64, int(sizes.sum()))
+    begin = np.cumsum(sizes) - sizes
+    step = np.diff(flat, prepend=0)
+    full = begin[sizes > 0]
+    step[full] = flat[full]
+    at = np.arange(len(flat)) + 2 * np.repeat(begin, sizes)
+    out = np.zeros(3 * len(flat), np.uint8)
+    for plane in range(3):
+        out[at + plane * np.repeat(sizes, sizes)] = (step >> (8 * plane)) & 255
+    ends = np.concatenate([[0], np.cumsum(3 * sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def unpack_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of pack_rows(), and the row of each."""
+    raw, ends = C.buffers(column)
+    sizes = np.diff(ends) // 3
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(int(sizes.sum())) + 2 * begin[row]
+    step = sum(raw[at + plane * sizes[row]].astype(np.int64) << (8 * plane) for plane in range(3))
+    total = np.concatenate([[0], np.cumsum(step)])
+    return total[1:] - total[begin][row], row
+
+
 def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = _Grams()
     for batch in C.chunks(batches):
         rows = [sorted(grams.present(C.split_words(text))) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "lang", "version", "row", "buckets"])
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a column of lists, and the row of each."""
-    sizes = np.array([len(x) for x in column], np.int64) if column.null_count else np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pack_rows(rows)], names=["doc_id", "lang", "version", "row", "buckets"])
 
 
 def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +167,7 @@ def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, labelled = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        buckets, row = _flat(batch.column(1))
+        buckets, row = unpack_rows(batch.column(1))
         for lang in set(langs.tolist()):
             own = total.setdefault(lang, np.zeros((2, BUCKETS), np.int64))
             mine = (langs == lang)[row]
@@ -239,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, present: DataFrame, max_train: int =
     chosen = C.keep(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "chosen")
     train = C.text_frame(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
     train = kept = C.keep(train.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "class"), "train")
-    per_language = {(r.lang, r["class"]): r.n for r in train.groupBy("lang", "class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "class").limit(1000).collect()}
+    # At most max_train rows.
+    per_language = {(r.lang, r["class"]): r.n for r in train.groupBy("lang", "class").agg(F.count("*").alias("n")).collect()}
     enough = {lang for lang, _ in per_language if lang and all(per_language.get((lang, k), 0) >= (LEAST_DOCS if k == 0 else 1) for k in range(N_CLASSES))}
     train = train.withColumn("lang", F.when(F.col("lang").isin(*enough), F.col("lang")).otherwise("") if enough else F.lit(""))
     seen = _by_class(train.mapInArrow(_document_counts, "lang string, class int, bucket int, n int"), F.col("n")).where(F.col("n0") + F.col("n1") + F.col("n2") >= LEAST_COUNT)
@@ -301,7 +324,7 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 10_000, bins: int
 def importance(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, temperature: float = TEMPERATURE, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, version (hash of the text), log_weight, key (log weight and noise), kept."""
     texts = C.text_frame(docs, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.xxhash64("text").alias("version"), F.monotonically_increasing_id().alias("row"))
-    present = C.keep(texts.mapInArrow(_present, "doc_id long, lang string, version long, row long, buckets array<int>"), "present")
+    present = C.keep(texts.mapInArrow(_present, "doc_id long, lang string, version long, row long, buckets binary"), "present", "zstd")
     model, share = fit(docs, labels, present, max_train)
     n = N_CLASSES + 1
 
@@ -309,7 +332,7 @@ def importance(docs: DataFrame, labels: DataFrame, floor: float = FLOOR, tempera
         tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            flat, row = _flat(batch.column(3))
+            flat, row = unpack_rows(batch.column(3))
             q = np.zeros((len(langs), n))
             for lang in set(langs.tolist()):
                 name = lang if lang in model.of else ""
