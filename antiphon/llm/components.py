@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 from antiphon.llm import _common as C
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: At most so many nodes have the links that make one a hub; their rows are sent to every task.
+HUBS = 1_000
+
+
+def _with_least(links: DataFrame, n_links: int) -> DataFrame:
+    """a, b, m: the least neighbour of each link's a, itself excluded.
+
+    A node with more than 2 * n_links / HUBS links is a hub. As every link has two ends there are fewer than HUBS of them, so
+    their least neighbours are broadcast, and no task gets all links of one; those of other nodes come by a join.
+    """
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    bound = max(1 << 14, 2 * n_links // HUBS)
+    hubs = least.where(F.col("n") > bound).select("a", F.col("m").alias("h"))
+    marked = links.join(F.broadcast(hubs), "a", "left")
+    rest = marked.where("h IS NULL").select("a", "b").join(least.where(F.col("n") <= bound).select("a", "m"), "a")
+    return rest.select("a", "b", "m").union(marked.where("h IS NOT NULL").select("a", "b", "h"))
+
+
+def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    near = _with_least(both, n_links)
+    return near.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n_links: int) -> DataFrame:
     down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+    near = _with_least(down, n_links)
+    return near.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     before = mark(now)
     while before[0]:
-        after = C.keep(_small_star(_large_star(now)), "links")
+        after = C.keep(_small_star(_large_star(now, before[0]), before[0]), "links")
         C.forget(now)
         now, last, before = after, before, mark(after)
         if last == before:

@@ -1,5 +1,8 @@
 """Benchmark decontamination: Smith-Waterman alignment of every document with every test item that it may hold.
 
+Rare n-gram seeds join passages to items, and n is 1: a copy in which every other word is changed or followed by another can
+still reach the score, and has no longer n-gram in common with the item, so longer seeds would lose it.
+
 Texts are compared as words of lower-case letters and digits (ASCII capitals are lowered, ASCII marks are white space). A
 passage's score is that of its local alignment with the item (2 for equal words, -1 for different ones and for a gap),
 divided by that of a whole copy. Two bounds leave out what can't reach the least score, and nothing else: so many of an
@@ -13,7 +16,8 @@ one more scan of the documents.
 
 Edge cases: null texts are empty. Items of fewer than `gram` words mark nothing (they can't be told from chance); items of
 fewer than `least_words` words need a score of 1. Repeated rows are treated alike, also those of equal doc_id with different
-texts (each for itself). Empty documents give an empty result; an empty benchmark marks nothing. Other columns are left out.
+texts (each for itself). Items with a null id count as one. Of items with equal scores the one with the least id is named. Empty
+documents give an empty result; an empty benchmark marks nothing. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -138,7 +142,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = GRA
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
     """doc_id, n_items, item_id (of the best score, then the least id), score, contaminated, for every row of docs."""
     hits = C.keep(contaminated_passages(docs, benchmark, **how), "contaminated")
-    best = hits.distinct().groupBy("doc_id", "version").agg(F.countDistinct("item_id").alias("n_items"), F.max(F.struct("score", (-F.col("item_id")).alias("less"))).alias("best"))
+    best = hits.distinct().groupBy("doc_id", "version").agg(F.countDistinct(F.struct("item_id")).alias("n_items"), F.max(F.struct("score", (-F.col("item_id")).alias("less"))).alias("best"))
     own = C.text_frame(docs, F.xxhash64("text").alias("version")).select("doc_id", "version").alias("a")
     joined = own.join(best.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.version") == F.col("b.version")), "left")
     return joined.select("a.doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), (-F.col("best.less")).alias("item_id"), F.coalesce("best.score", F.lit(0.0)).alias("score"), F.col("n_items").isNotNull().alias("contaminated"))

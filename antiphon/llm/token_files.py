@@ -26,6 +26,8 @@ from antiphon.llm import _files
 from antiphon.llm.encoding import WORD_LEVEL, encoder
 
 END_ID, SEQUENCE, BATCH = 2, 2048, 64
+#: Text for one file, about; there are no fewer files than spark.sql.shuffle.partitions.
+FILE_BYTES = 512 << 20
 INDEX = "doc_id long, part int, at long, n_tokens long"
 
 
@@ -73,7 +75,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, place: str, sequence: int
                 flush(b"".join(waiting), size // width)
 
     ordered = C.text_frame(docs).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    size = ordered.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    ordered = ordered.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return C.keep(ordered.mapInArrow(write, INDEX), "token-index")
 
 
@@ -89,6 +93,13 @@ class TokenFile:
         self.source = _files.open_file(uri)
         self.reader = pa.ipc.open_file(self.source)
         self.sequence = self.reader.schema.field("ids").type.list_size
+        self.last: tuple[int, pa.RecordBatch] | None = None
+
+    def _batch(self, i: int) -> pa.RecordBatch:
+        """The last one is held: who reads in order fetches each batch once."""
+        if self.last is None or self.last[0] != i:
+            self.last = i, self.reader.get_batch(i)
+        return self.last[1]
 
     def __len__(self) -> int:
         n = self.reader.num_record_batches
@@ -96,7 +107,7 @@ class TokenFile:
 
     def sequence_at(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids (a view of the file) and the mask of one sequence."""
-        batch, row = self.reader.get_batch(i // BATCH), i % BATCH
+        batch, row = self._batch(i // BATCH), i % BATCH
         mask = np.frombuffer(batch.column("mask").buffers()[1], np.uint8).reshape(-1, self.sequence // 8)[row]
         return self._ids(batch)[row * self.sequence : (row + 1) * self.sequence], np.unpackbits(mask, bitorder="little").astype(bool)
 
@@ -110,7 +121,7 @@ class TokenFile:
         while n:
             batch, within = divmod(at, size)
             take = min(n, size - within)
-            out.append(self._ids(self.reader.get_batch(batch))[within : within + take])
+            out.append(self._ids(self._batch(batch))[within : within + take])
             at, n = at + take, n - take
         return out[0] if len(out) == 1 else np.concatenate(out)
 

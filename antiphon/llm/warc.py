@@ -1,9 +1,10 @@
 """WARC archives with Zstandard: a dictionary in a leading skippable frame, then one frame for each record.
 
-Writing: each task writes one archive. Its dictionary is trained on the payloads at its start (a bounded sample,
-DICTIONARY_SAMPLES of SAMPLE_BYTES each). Of records with equal payloads of at least `least_bytes` bytes, the one with the
+Writing: each task writes an archive, and goes on in a new one once it has ARCHIVE_BYTES. Its dictionary is trained on the
+payloads at its start (a bounded sample, DICTIONARY_SAMPLES of SAMPLE_BYTES each). Of records with equal payloads of at least `least_bytes` bytes, the one with the
 largest page_id is a response; the others are revisits, which refer to it and have HTTP headers only. Payloads are matched
-by their SHA-1, aggregated before the shuffle.
+by their SHA-1, aggregated before the shuffle, and come to their records by page_id and SHA-1: a payload that a third of all
+records share stays spread.
 
 Reading: the dictionary is taken from the skippable frame, frames are decoded one by one, and for each record the version,
 the headers, both lengths, the digests and the end are checked; a record that fails raises BadRecord.
@@ -40,6 +41,8 @@ DICTIONARY_SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 400, 4096, 32 << 10,
 #: The upper halves of record ids: pages, and rows without a page_id.
 OF_PAGE, OF_NOTHING = 0x616E7469_70686F6E, 0x6E6F7061_67656964
 READ_BYTES = 32 << 10
+#: Bytes of an archive, about.
+ARCHIVE_BYTES = 1 << 30
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -164,31 +167,33 @@ def with_referrals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("sha", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
     largest = base.where("sha IS NOT NULL").groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
-    return base.join(largest, "sha", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    # Narrow rows alone meet by payload; payloads are dealt by page as well.
+    own = base.where("sha IS NOT NULL").select("page_id", "sha").distinct().join(largest, "sha").where(~F.col("page_id").eqNullSafe(F.col("largest")))
+    own = own.select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), F.col("largest").alias("refers_to"))
+    both = base.join(own, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
+    return both.select("page_id", "url", "payload", "refers_to")
 
 
-def write_archives(pages: DataFrame, place: str, least_bytes: int = 0) -> DataFrame:
-    """Writes one archive a task; returns file, n_records."""
+def write_archives(pages: DataFrame, place: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes the archives; returns file, n_records."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, number = TaskContext.get().partitionId(), 0, 0
         small = C.chunks(batches, "payload")
-        first = next(small, None)
-        if first is None:
-            return
-        samples = [x[:SAMPLE_BYTES] for x in first.column("payload")[:DICTIONARY_SAMPLES].to_pylist()]
-        dictionary = train(samples)
-        compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True).compress
-        part, n = TaskContext.get().partitionId(), 0
-        uri = f"{place}/part-{part:06d}.warc.zst"
-        with _files.whole_file(uri) as out:
-            out.write(dictionary_frame(dictionary))
-            while first is not None:
-                for page_id, url, payload, refers in zip(*(x.to_pylist() for x in first.columns)):
-                    out.write(compress(record(page_id, url, payload, refers, refers is not None, part << 40 | n)))
-                    n += 1
-                first = next(small, None)
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["file", "n_records"])
+        batch = next(small, None)
+        while batch is not None:
+            uri, n = f"{place}/part-{part:06d}-{number:04d}.warc.zst", 0
+            dictionary = train([x[:SAMPLE_BYTES] for x in batch.column("payload")[:DICTIONARY_SAMPLES].to_pylist()])
+            compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True).compress
+            with _files.whole_file(uri) as out:
+                out.write(dictionary_frame(dictionary))
+                while batch is not None and out.tell() < archive_bytes:
+                    for page_id, url, payload, refers in zip(*(x.to_pylist() for x in batch.columns)):
+                        out.write(compress(record(page_id, url, payload, refers, refers is not None, part << 40 | rows)))
+                        rows, n = rows + 1, n + 1
+                    batch = next(small, None)
+            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["file", "n_records"])
 
     return C.keep(with_referrals(pages, least_bytes).mapInArrow(write, "file string, n_records long"), "archives")
 
