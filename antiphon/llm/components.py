@@ -8,27 +8,15 @@ from pyspark.sql import functions as F
 from antiphon.llm import _common as C
 
 
-#: At most so many nodes have the links that make one a hub; their rows are sent to every task.
-HUBS = 1_000
-
-
 def _with_least(links: DataFrame, n_links: int) -> DataFrame:
-    """a, b, m: the least neighbour of each link's a, itself excluded.
-
-    A node with more than 2 * n_links / HUBS links is a hub. As every link has two ends there are fewer than HUBS of them, so
-    their least neighbours are broadcast, and no task gets all links of one; those of other nodes come by a join.
-    """
+    """a, b, m: the least neighbour of each link's a. No task gets all links of a hub."""
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    bound = max(1 << 14, 2 * n_links // HUBS)
-    hubs = least.where(F.col("n") > bound).select("a", F.col("m").alias("h"))
-    marked = links.join(F.broadcast(hubs), "a", "left")
-    rest = marked.where("h IS NULL").select("a", "b").join(least.where(F.col("n") <= bound).select("a", "m"), "a")
-    return rest.select("a", "b", "m").union(marked.where("h IS NOT NULL").select("a", "b", "h"))
+    return C.split_join(links, least, ["a"], "n", n_links).select("a", "b", "m")
 
 
 def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = _with_least(both, n_links)
+    near = _with_least(both, 2 * n_links)
     return near.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 

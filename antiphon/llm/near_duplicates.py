@@ -171,11 +171,11 @@ def _compare_cells(least: float):
     return compare
 
 
-def large_buckets(signed: DataFrame) -> DataFrame:
+def large_buckets(signed: DataFrame, n_texts: int) -> DataFrame:
     """node, band, key, n: the texts of buckets in which not every pair has a representative."""
     rows = signed.select("node", F.posexplode("bands").alias("band", "key"))
     large = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > REPRESENTATIVES + 1)
-    return rows.join(large, ["band", "key"]).select("node", "band", "key", "n")
+    return C.split_join(rows, large.withColumn("size", F.col("n")), ["band", "key"], "size", BANDS * n_texts).select("node", "band", "key", "n")
 
 
 def joined_in_buckets(members: DataFrame, linked: DataFrame, sets: DataFrame, least: float, cell: int) -> DataFrame:
@@ -199,15 +199,15 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
+def candidates(signed: DataFrame, n_texts: int) -> DataFrame:
     """Pairs (a, b) of nodes, a < b, that share a short fingerprint with a representative of the bucket."""
     rows = signed.select("node", "fp", F.posexplode("bands").alias("band", "key"))
     me, order = F.struct("node", "fp"), lambda k: F.xxhash64("node", "band", F.lit(k))
     heads = [F.min(me), F.max(me), *(F.min(F.struct(order(k).alias("o"), "node", "fp")).alias(f"h{k}") for k in range(REPRESENTATIVES - 2))]
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), heads[0].alias("r0"), heads[1].alias("r1"), *heads[2:]).where("n > 1")
     reps = F.array(F.col("r0"), F.col("r1"), *(F.struct(F.col(f"h{k}.node").alias("node"), F.col(f"h{k}.fp").alias("fp")) for k in range(REPRESENTATIVES - 2)))
-    buckets = buckets.select("band", "key", F.array_distinct(reps).alias("reps"))
-    pairs = rows.join(buckets, ["band", "key"]).select("node", "fp", F.explode("reps").alias("r"))
+    buckets = buckets.select("band", "key", F.array_distinct(reps).alias("reps"), "n")
+    pairs = C.split_join(rows, buckets, ["band", "key"], "n", BANDS * n_texts).select("node", "fp", F.explode("reps").alias("r"))
     pairs = pairs.where((F.col("node") != F.col("r.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("r.fp"))) <= FAR))
     return pairs.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
 
@@ -229,8 +229,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, cell:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     distinct = signed.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     distinct = C.keep(distinct.select("digest", F.col("first.doc_id").alias("first"), "fp", "bands", F.monotonically_increasing_id().alias("node")), "distinct")
-    pairs = C.keep(candidates(distinct).union(tree_candidates(distinct)).distinct(), "candidates")
-    members = C.keep(large_buckets(distinct), "large-buckets")
+    n_texts = distinct.count()
+    pairs = C.keep(candidates(distinct, n_texts).union(tree_candidates(distinct)).distinct(), "candidates")
+    members = C.keep(large_buckets(distinct, n_texts), "large-buckets")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     chosen = distinct.join(wanted, "node", "left_semi").select("node", F.col("first"), F.col("digest").alias("own"))
     sets = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("own"))).select("node", "text").mapInArrow(_sets(shingle), "node long, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles"))

@@ -8,8 +8,9 @@ shared but the blocks differ, the windows themselves are looked up one by one. A
 stands, so no shared window is missed; a factor is at least a window long, and its words are duplicates.
 
 Everything is a hash aggregation that keeps the smallest doc_id, so a passage that a third of all documents share is
-combined before the shuffle, and no pairs within a group are made. Blocks and windows are told apart by 128 bits of hash
-(anchor and content); the words are never compared as such.
+combined before the shuffle, rows of hot anchors and blocks are never gathered in one task, and no pairs within a group are
+made. Windows and blocks are told apart by 64 bits of hash of all their words within one anchor, whose 64 bits are of another,
+independent hash; the words are never compared as such.
 
 Edge cases: a null text has no words. A null doc_id is neither source nor target: nothing is removed from it. Rows with one
 doc_id don't count as earlier than each other; those with equal text are treated alike, those with different text each for
@@ -158,21 +159,22 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """doc_id, version (hash of the text), begin, n_windows, source, source_begin: windows that stand in a document with a smaller id, too."""
     texts = C.text_frame(docs, F.xxhash64("text").alias("version")).where("doc_id IS NOT NULL")
     blocks = C.keep(texts.mapInArrow(_blocks(window, gram), BLOCKS), "blocks")
-    shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    blocks_shared = C.keep(blocks.join(shared, "anchor", "left_semi"), "shared-blocks")
+    shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
+    blocks_shared = C.keep(C.split_join(blocks, shared, ["anchor"], "n", blocks.count(), "left_semi"), "shared-blocks")
+    n_shared = blocks_shared.count()
     place = F.struct("doc_id", "begin")
-    classes = C.keep(blocks_shared.groupBy("anchor", "block").agg(F.min(place).alias("first")), "block-classes")
+    classes = C.keep(blocks_shared.groupBy("anchor", "block").agg(F.min(place).alias("first"), F.count("*").alias("n")), "block-classes")
     C.forget(blocks)
     source = [F.col("first.doc_id").alias("source"), F.col("first.begin").alias("source_begin")]
-    marked = blocks_shared.join(classes.select("anchor", "block", *source), ["anchor", "block"])
+    marked = C.split_join(blocks_shared, classes.select("anchor", "block", *source, "n"), ["anchor", "block"], "n", n_shared)
     whole = marked.where("doc_id > source").select("doc_id", "version", "begin", "n_windows", "source", "source_begin")
     # Anchors with different blocks: in the first document of each block, the windows are looked up.
-    several = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("top")).where("n > 1 AND lo < top").select("anchor")
-    edges = marked.where("doc_id = source").join(several, "anchor", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "n_windows")).alias("wanted"))
+    several = classes.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("top")).where("blocks > 1 AND lo < top").select("anchor", "n")
+    edges = C.split_join(marked.where("doc_id = source"), several, ["anchor"], "n", n_shared, "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "n_windows")).alias("wanted"))
     at_edges = texts.join(edges, ["doc_id", "version"]).select("doc_id", "text", "version", "wanted").mapInArrow(_windows(window, gram), WINDOWS)
     at_edges = C.keep(at_edges, "edge-windows")
-    firsts = at_edges.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.max("doc_id").alias("hi")).where("hi > first.doc_id").select("anchor", "content", *source)
-    single = at_edges.join(firsts, ["anchor", "content"]).where("doc_id > source").select("doc_id", "version", "begin", F.lit(1).alias("n_windows"), "source", "source_begin")
+    firsts = at_edges.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("hi > first.doc_id").select("anchor", "content", *source, "n")
+    single = C.split_join(at_edges, firsts, ["anchor", "content"], "n", at_edges.count()).where("doc_id > source").select("doc_id", "version", "begin", F.lit(1).alias("n_windows"), "source", "source_begin")
     return whole.unionByName(single)
 
 
