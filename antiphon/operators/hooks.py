@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import inspect
 import json
@@ -65,6 +66,14 @@ def stage_fingerprint(stage: Callable, settings: dict) -> str:
     return fingerprint_of({"name": stage.__qualname__, "source": inspect.getsource(stage), "settings": settings})
 
 
+def slice_fingerprint(source: str, names: list[str]) -> str:
+    """Of the named functions and classes of a module's source, as syntax: comments and layout make no difference. Raises where one is missing."""
+    found = {n.name: ast.dump(n) for n in ast.parse(source).body if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)}
+    if missing := [n for n in names if n not in found]:
+        raise BadDocument(f"not in the source: {', '.join(missing)}")
+    return fingerprint_of({n: found[n] for n in names})
+
+
 def _same(a: object, b: object) -> bool:
     """Equal in value and type, at any depth: 1, 1.0 and True all differ."""
     if type(a) is not type(b):

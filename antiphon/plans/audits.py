@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from antiphon.functions import vectors as V
 from antiphon.operators import audits as A
 from antiphon.operators import corpus as K
 from antiphon.operators import journals as J
@@ -208,6 +209,23 @@ def n13_recovery_laws(t: Tables) -> DataFrame:
     return A.failed_rules(m, ["user_id"], {k: F.expr(x) for k, x in _LAWS.items()})
 
 
+_BANK = {"two sides at most": "greatest(pos, neg) <= pairs", "no more pairs than sides": "pairs <= least(total, pos + neg)", "all norms": "least_norm > 1e-8 AND most_norm < 1e6", "dimensions": "narrow = 64 AND wide = 64", "ids once": "ids = total", "both sides": "pos > 0 AND neg > 30"}
+
+
+@query(f"""WITH v AS (SELECT label, vec_id, quality, len(embedding) AS n, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings LEFT JOIN labels ON doc_id = vec_id),
+m AS (SELECT label, count(*) AS total, count(quality) AS pairs, count_if(quality = 1) AS pos, count_if(quality = 0) AS neg, min(norm) AS least_norm, max(norm) AS most_norm, min(n) AS narrow, max(n) AS wide, count(DISTINCT vec_id) AS ids FROM v GROUP BY label)
+SELECT label::BIGINT AS label, rule FROM (SELECT label, unnest([{', '.join(f"CASE WHEN NOT ({x}) THEN '{k}' END" for k, x in _BANK.items())}]) AS rule FROM m) WHERE rule IS NOT NULL""")
+def n12_bank_laws(t: Tables) -> DataFrame:
+    """Laws that a bank's counts, shapes and norms obey, by label; the last one is too strict for most."""
+    norm = V.norm(V.doubles(F.col("embedding")))
+    v = t("embeddings").select("vec_id", "label", F.size("embedding").alias("n"), norm.alias("norm")).join(t("labels").select(F.col("doc_id").alias("vec_id"), "quality"), "vec_id", "left")
+    m = v.groupBy(F.col("label").cast("long").alias("label")).agg(
+        F.count("*").alias("total"), F.count("quality").alias("pairs"), F.count_if(F.col("quality") == 1).alias("pos"), F.count_if(F.col("quality") == 0).alias("neg"),
+        F.min("norm").alias("least_norm"), F.max("norm").alias("most_norm"), F.min("n").alias("narrow"), F.max("n").alias("wide"), F.count_distinct("vec_id").alias("ids"),
+    )
+    return A.failed_rules(m, ["label"], {k: F.expr(x) for k, x in _BANK.items()})
+
+
 @query("""WITH b AS (SELECT o_orderpriority AS p, o_orderkey AS k, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 8 AS batch FROM orders), m AS (SELECT p, batch, k, k % 5 = 0 AS gone, k % 7 = 0 AS moved FROM b)
 SELECT p AS priority, batch::BIGINT AS batch, count_if(NOT gone)::BIGINT AS listed, count_if(gone)::BIGINT AS unlisted, count_if(NOT gone AND moved)::BIGINT AS elsewhere, count_if(gone) = 0 AND count_if(moved) = 0 AS holds FROM m GROUP BY ALL""")
 def n14_batch_provenance(t: Tables) -> DataFrame:

@@ -14,7 +14,7 @@ _KEY = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _U32 = "('0x' || substr(sha256('{}|' || {}), 1, 8))::BIGINT"
 
 
-@query("SELECT doc_id, lang || ':' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR)), '0') AS prompt_id, sha256(text) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents)")
+@query("SELECT doc_id, lang || ':' || lpad(pos::VARCHAR, greatest(3, length(pos::VARCHAR))::INTEGER, '0') AS prompt_id, sha256(text) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents)")
 def b01_row_enrichment(t: Tables) -> DataFrame:
     """Places are padded to three digits, and longer where they need more."""
     hashed = K.ranked(t("documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha")), "lang", "doc_id")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from antiphon.sources.blocks import FileBlocks
+
 # Fixed value: the columns of a results file, in order.
 RESULT_COLUMNS = ("prompt_id", "instruction", "category", "response", "heuristic_refusal", "refusal_matches", "generated_tokens", "finish_reason", "model_id", "source_revision", "thinking", "max_new_tokens", "run_id", "status")
 
@@ -204,9 +206,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def inventory(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
     """path, bytes, sha256 of each file under a folder; with a block size also block, at: a row for each block."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    spark.dataSource.register(FileBlocks)
     if block is None:
-        return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("length") / block).cast("int") - 1, F.lit(0)))
-    cut = files.select("path", "content", F.explode(starts).alias("block")).withColumn("part", F.substring("content", F.col("block") * block + 1, F.lit(block)))
-    return cut.select("path", "block", (F.col("block").cast("long") * block).alias("at"), F.octet_length("part").cast("long").alias("bytes"), F.sha2("part", 256).alias("sha256"))
+        return spark.read.format("file_blocks").load(path).select("path", "bytes", "sha256")
+    return spark.read.format("file_blocks").option("block", block).load(path).where("bytes > 0")

@@ -7,10 +7,13 @@ import math
 import os
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
+import pyarrow.fs as pf
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from antiphon.sources.blocks import place_of
 from antiphon.sources.files import BadDocument, strict_json
 
 # Bytes of a value.
@@ -18,13 +21,21 @@ WIDTHS = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2,
 MOST_HEADER = 100 << 20
 
 
+def opened(path: str) -> BinaryIO:
+    """For reading, in any file system that pyarrow knows by a URI."""
+    fs, place = place_of(path)
+    return fs.open_input_file(place)
+
+
 def read_header(path: str) -> tuple[int, dict[str, dict]]:
     """Where the values begin, and the tensors; their spans must cover the values without a gap or an overlap."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         raw = f.read(8)
         if len(raw) < 8 or not 0 < (size := struct.unpack("<Q", raw)[0]) <= MOST_HEADER:
             raise BadDocument(f"{path}: no header")
         tensors = strict_json(f.read(size).decode())
+        f.seek(0, os.SEEK_END)
+        whole = f.tell()
     tensors.pop("__metadata__", None)
     at = 0
     for name, t in sorted(tensors.items(), key=lambda x: x[1]["data_offsets"]):
@@ -32,7 +43,7 @@ def read_header(path: str) -> tuple[int, dict[str, dict]]:
         if begin != at or end - begin != math.prod(t["shape"]) * WIDTHS[t["dtype"]]:
             raise BadDocument(f"{path}: the span of {name} is wrong")
         at = end
-    if os.path.getsize(path) != 8 + size + at:
+    if whole != 8 + size + at:
         raise BadDocument(f"{path}: values are missing, or something follows them")
     return 8 + size, tensors
 
@@ -64,7 +75,7 @@ def copy_missing(source: list[str], export: list[str], path: str, prefix: str) -
     with open(f"{path}.tmp", "wb") as out:
         out.write(struct.pack("<Q", len(text)) + text)
         for _, p, begin, t in wanted:
-            with open(p, "rb") as f:
+            with opened(p) as f:
                 f.seek(begin + t["data_offsets"][0])
                 left = t["data_offsets"][1] - t["data_offsets"][0]
                 while left:
@@ -90,7 +101,11 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         folder = options["path"]
-        self.paths = [os.path.join(folder, x) for x in sorted(os.listdir(folder)) if x.endswith(".safetensors")] if os.path.isdir(folder) else [folder]
+        fs, place = place_of(folder)
+        scheme = folder[: folder.index(place)] if ":/" in folder and place in folder else ""
+        info = fs.get_file_info(place)
+        inside = [x.path for x in fs.get_file_info(pf.FileSelector(place)) if x.path.endswith(".safetensors")] if info.type == pf.FileType.Directory else [place]
+        self.paths = [scheme + x for x in sorted(inside)]
         self.vectors = options.get("table", "headers") == "vectors"
 
     def partitions(self) -> list[InputPartition]:
@@ -107,7 +122,7 @@ class _Reader(DataSourceReader):
         if t["dtype"] != "F32" or not t["shape"]:
             raise BadDocument(f"{partition.name} has no vectors of 32-bit floats")
         width = t["shape"][-1]
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             f.seek(start + t["data_offsets"][0])
             for row, at in enumerate(np.ndindex(*t["shape"][:-1])):
                 v = np.frombuffer(f.read(4 * width), "<f4")

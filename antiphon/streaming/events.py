@@ -7,9 +7,12 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Fixed value: what ends a frame.
 _BOUNDARY = re.compile(r"\r\n\r\n|\n\n|\r\r")
 
 
@@ -33,8 +36,13 @@ def _frame(text: str) -> tuple[str, str] | None:
 class Decoder:
     """Frames of a byte stream. A character or a boundary may be cut between chunks."""
 
-    def __init__(self):
-        self.text, self.bytes = "", codecs.getincrementaldecoder("utf-8")()
+    def __init__(self, text: str = "", pending: bytes = b""):
+        self.text, self.bytes = text, codecs.getincrementaldecoder("utf-8")("replace")
+        self.bytes.setstate((pending, 0))
+
+    def state(self) -> tuple[str, bytes]:
+        """What another Decoder goes on from."""
+        return self.text, self.bytes.getstate()[0]
 
     def feed(self, chunk: bytes, final: bool = False) -> Iterator[tuple[str, str]]:
         self.text += self.bytes.decode(chunk, final)
@@ -66,6 +74,27 @@ def decode(chunks: Iterable[bytes]) -> Iterator[tuple[str, str]]:
         raise InterruptedError("the stream ended early")
 
 
+def frames_stream(chunks: DataFrame) -> DataFrame:
+    """From a stream of request_id, seq, chunk (bytes), last: request_id, event, data of every frame, and an event "interrupted" where the last chunk ends without a "done" or an "error"."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, pending, last = state.get if state.exists else ("", b"", "")
+        decoder, out = Decoder(text, bytes(pending)), []
+        rows = pd.concat(list(batches)).sort_values("seq")
+        over = False
+        for chunk, final in zip(rows["chunk"], rows["last"]):
+            for event, data in decoder.feed(bytes(chunk), final=bool(final)):
+                last = event
+                out.append((key[0], event, data))
+            over = over or bool(final)
+        if over and last not in ("done", "error"):
+            out.append((key[0], "interrupted", ""))
+        state.update((*decoder.state(), last))
+        yield pd.DataFrame(out, columns=["request_id", "event", "data"])
+
+    return chunks.groupBy("request_id").applyInPandasWithState(step, "request_id string, event string, data string", "text string, pending binary, last string", "append", GroupStateTimeout.NoTimeout)
+
+
 def replies(events: DataFrame) -> DataFrame:
     """From request_id, seq, event, data: the reply's text in order, how it ended, and the number of tokens."""
     log = F.array_sort(F.collect_list(F.struct("seq", "event", "data")))

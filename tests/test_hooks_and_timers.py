@@ -14,7 +14,7 @@ from pyspark.sql import types as Ty
 from antiphon.functions import vectors as V
 from antiphon.operators import audits, chats, corpus, hooks, matching, tensors
 from antiphon.sources import files, safetensors
-from antiphon.streaming import timers
+from antiphon.streaming import events, timers
 
 
 def test_journals(spark, tmp_path):
@@ -89,6 +89,31 @@ def test_freezing(tmp_path):
     assert hooks.phases({"a": lambda: 1})("a") == 1
 
 
+def test_slices_of_source():
+    source = "def a():\n    return 1\n\n\ndef b():\n    return 2\n"
+    assert hooks.slice_fingerprint(source, ["a"]) == hooks.slice_fingerprint("# said\ndef a():\n\n    return 1  # one\n", ["a"]) != hooks.slice_fingerprint(source, ["b"])
+    with pytest.raises(files.BadDocument):
+        hooks.slice_fingerprint(source, ["c"])
+
+
+def test_inventories(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a").write_bytes(bytes(range(256)) * 5)
+    (tmp_path / "x/empty").write_bytes(b"")
+    whole = {r.path.rpartition("/")[2]: (r.bytes, r.sha256) for r in files.inventory(spark, str(tmp_path / "x")).collect()}
+    assert whole == {"a": (1280, hashlib.sha256(bytes(range(256)) * 5).hexdigest()), "empty": (0, hashlib.sha256(b"").hexdigest())}
+    rows = files.inventory(spark, f"file://{tmp_path}/x", 500).orderBy("at").collect()
+    assert [(r.block, r.at, r.bytes) for r in rows] == [(0, 0, 500), (1, 500, 500), (2, 1000, 280)] and rows[2].sha256 == hashlib.sha256((bytes(range(256)) * 5)[1000:]).hexdigest()
+
+
+def test_frames_of_a_stream(spark, tmp_path):
+    raw = (events.encode("token", {"t": "é"}) + events.encode("done", {})).encode()
+    cut = raw.index("é".encode()) + 1
+    frames = [[("a", 1, raw[:cut], False), ("b", 1, raw[:10], False)], [("a", 2, raw[cut:], True), ("b", 2, raw[10:cut], False)], [("b", 3, b"", True)]]
+    got = results(spark, "frames", events.frames_stream(stream_of(spark, tmp_path, frames, "request_id string, seq long, chunk binary, last boolean")), tmp_path)
+    assert [r[1] for r in got if r[0] == "a"] == ["token", "done"] and ("a", "token", '{"t":"é"}') in got and [r[1] for r in got if r[0] == "b"][-1] == "interrupted"
+
+
 def test_scorers_and_draws(spark):
     df = spark.range(20).withColumn("logits", F.array(F.lit(0.0), F.lit(1.0), F.lit(-1.0))).withColumn("seed", F.col("id") * 7)
     out, seen = hooks.observed(hooks.scored(df.select("id"), lambda b: pd.DataFrame({"score": b["id"] * 2}), "score long"), "p", n=F.count(F.lit(1)))
