@@ -36,7 +36,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents")).drop("factors")
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents")).drop("factors", "n_factors")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

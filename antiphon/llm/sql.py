@@ -20,3 +20,36 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest
 FROM d JOIN m USING (hex) JOIN b USING (hex)
 """
 
+
+# Windows of 50 words, joined by blanks (words have none).
+ORACLE["op5_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+hit AS (SELECT DISTINCT doc_id, i FROM g JOIN f USING (h) WHERE least < doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+c AS (SELECT u.doc_id, word, j, coalesce(max(hit.i) OVER (PARTITION BY u.doc_id ORDER BY j) >= j - 49, false) AS covered FROM u LEFT JOIN hit ON hit.doc_id = u.doc_id AND hit.i = u.j),
+k AS (SELECT doc_id, count(*) AS n_words, count_if(covered) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT covered) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+# Every set of tokens of every labelled url is counted, as FP-growth would find it.
+ORACLE["op7_url_rules"] = r"""
+WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM p),
+b AS (SELECT page_id, url, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h),
+given(kind, rule_host, rule_path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fit AS (SELECT page_id, url, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(kind ORDER BY length(rule_host || rule_path) DESC) AS kind
+  FROM b JOIN given ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, url),
+t AS (SELECT DISTINCT url, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '')), '[^a-z0-9]+'), lambda x: x <> ''))) AS items FROM pages WHERE url IS NOT NULL),
+bad AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id HAVING bad IS NOT NULL),
+basket AS (SELECT row_number() OVER () AS k, items, bad FROM pages JOIN t USING (url) JOIN bad USING (page_id)),
+n AS (SELECT count(*) AS n, sum(bad) AS n_bad, ceil(greatest(0.002, 20 / greatest(1, count(*))) * count(*)) AS least FROM basket),
+one AS (SELECT item FROM (SELECT unnest(items) AS item FROM basket) GROUP BY item HAVING count(*) >= (SELECT least FROM n)),
+few AS (SELECT k, bad, list_sort(list(item)) AS items FROM (SELECT k, bad, unnest(items) AS item FROM basket) JOIN one USING (item) GROUP BY k, bad),
+sub AS (SELECT bad, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items FROM (SELECT bad, items, unnest(range(1, 1 << len(items))) AS m FROM few)),
+mined AS (SELECT items FROM sub, n GROUP BY items, n.n, n_bad, least HAVING sum(bad) >= least AND sum(bad) / count(*) >= 0.6 AND sum(bad) / count(*) / (n_bad / n.n) >= 1.5),
+held AS (SELECT DISTINCT url FROM t JOIN mined ON list_has_all(t.items, mined.items))
+SELECT b.page_id, host, path, rule, coalesce(kind, CASE WHEN held.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, rule IS NULL AND held.url IS NOT NULL AS mined
+FROM b LEFT JOIN fit ON fit.page_id = b.page_id AND fit.url = b.url LEFT JOIN held ON held.url = b.url
+"""

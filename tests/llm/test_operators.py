@@ -442,7 +442,8 @@ def test_sql_of_this_folder(spark):
     import duckdb
 
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for table in ("documents", "labels", "pages"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in __spark_entry__.oracle_sql().items():
         if not name.startswith("op"):
             continue
