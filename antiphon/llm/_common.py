@@ -49,16 +49,18 @@ def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-#: Keys that split_join() sends to every task at most.
-HOT_KEYS = 1_000
+#: Keys that split_join() sends to every task at most, and rows that any one task may get.
+HOT_KEYS, FEW_ROWS = 1_000, 1 << 15
 
 
 def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, n_rows: int, how: str = "inner") -> DataFrame:
     """rows joined to a table with one row a key, which says in `count` how many of the n_rows rows have the key.
 
     Keys of more than 2 * n_rows / HOT_KEYS rows are fewer than HOT_KEYS, whatever the input: they are broadcast, so that no task
-    gets all rows of one. All other keys are joined by a shuffle.
+    gets all rows of one. All other keys are joined by a shuffle, and all are if there are no more than FEW_ROWS rows at all.
     """
+    if n_rows <= FEW_ROWS:
+        return rows.join(table.drop(count), keys, how)
     bound = max(64, 2 * n_rows // HOT_KEYS)
     hot, cool = table.where(F.col(count) > bound).drop(count), table.where(F.col(count) <= bound).drop(count)
     others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")

@@ -182,9 +182,9 @@ def joined_in_buckets(members: DataFrame, linked: DataFrame, sets: DataFrame, le
     """linked (node, root) with the groups joined whose texts have a link in a large bucket."""
     rooted = members.join(linked.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = C.keep(rooted, "members")
-    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    apart = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "key", "size")
     h = F.ceil(F.col("n") / cell)
-    cells = rooted.join(apart, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), h))
+    cells = C.split_join(rooted, apart, ["band", "key"], "size", rooted.count()).withColumn("own", F.pmod(F.xxhash64("node"), h))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), h - 1)))
     cells = cells.select("node", "root", "band", "key", "own", F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj")).join(sets, "node")
     new = components(cells.groupBy("band", "key", "ci", "cj").applyInArrow(_compare_cells(least), "a long, b long"))
