@@ -149,6 +149,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFr
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
-    """The rows of docs, all their columns, that hold no test item."""
+    """The rows of docs, all their columns, that hold no test item.
+
+    A null or empty text holds none and stays. Equal rows share their fate; different texts of one doc_id, or of none, are judged
+    each for itself. An empty benchmark takes nothing out; empty documents give an empty result.
+    """
     hits = C.keep(contaminated_passages(docs, benchmark, **how).select("doc_id", "version").distinct(), "contaminated")
     return C.without(docs, hits, F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
