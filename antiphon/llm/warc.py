@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, place: str, least_bytes: int = 0, archive_b
             compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True).compress
             with _files.whole_file(uri) as out:
                 out.write(dictionary_frame(dictionary))
-                while batch is not None and out.tell() < archive_bytes:
+                while batch is not None and (not n or out.tell() < archive_bytes):
                     for page_id, url, payload, refers in zip(*(x.to_pylist() for x in batch.columns)):
                         out.write(compress(record(page_id, url, payload, refers, refers is not None, part << 40 | rows)))
                         rows, n = rows + 1, n + 1
