@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from antiphon.llm import _common as C
 from antiphon.llm import importance, pii, url_rules
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def plain_tokens(url):

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from antiphon.llm import components, decontamination, importance, near_duplicates, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_rules, warc
+from antiphon.llm import _common as C
 from antiphon.llm.encoding import BYTE_LEVEL, WORD_LEVEL, Encoder
 from antiphon.llm.queries import tokenizer_path
 
@@ -451,3 +452,18 @@ def test_sql_of_this_folder(spark):
         columns = sorted(df.columns)
         want = db.sql(sql).select(*columns).fetchall()
         assert sorted(map(str, map(tuple, df.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def test_warc_edges(spark):
+    """Columns whose names clash, a very long page, equal rows, and archives that are rolled after a few bytes."""
+    draw = random.Random(14)
+    long = "".join(draw.choice("abcdefgh <>") for _ in range(3_000_000))
+    rows = [(1, "http://a/", long), (2, "http://b/", long), (2, "http://b/", long), (3, None, ""), (None, "http://c/", long)] + [(10 + i, f"http://d/{i}", f"page {i % 7}") for i in range(40)]
+    pages = spark.createDataFrame([(*r, "s", "p", "l", 5, "x") for r in rows], "page_id long, url string, html string, sha string, payload string, largest string, refers_to long, _page string").coalesce(1)
+    place = C.new_place(spark, "test-warc")
+    files = warc.write_archives(pages, place, archive_bytes=500)
+    assert files.count() > 3
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(files).collect())
+    n = len(long)
+    assert got[1, n, "revisit", 2] == 1 and got[2, n, "response", None] == 2 and got[None, n, "revisit", 2] == 1 and got[3, 0, "response", None] == 1
+    assert sum(got.values()) == len(rows) and sum(c for (_, _, kind, _), c in got.items() if kind == "response") == 2 + 1 + 7
