@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from antiphon.llm import _common as C
 from antiphon.llm import decontamination, near_duplicates, packing, quality_rules, substring_dedup
 
@@ -158,3 +160,26 @@ def test_near_duplicates_of_one_id(spark):
     docs = spark.createDataFrame([(d, None if w is None else " ".join(w)) for d, w in rows], "doc_id long, text string")
     got = [(r.doc_id, (r.text or "").split(" ")[0]) for r in near_duplicates.one_of_each(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, "a0"), (2, "b0"), (None, "c0"), (3, "")], key=str)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 15])
+def test_split_joins(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW_ROWS", few)
+    rows = spark.createDataFrame([(k % 40 if k % 3 else 7, k) for k in range(900)], "key long, v long")
+    counts = {r.key: r["count"] for r in rows.groupBy("key").count().collect()}
+    table = spark.createDataFrame([(k, f"t{k}", n) for k, n in counts.items() if k % 2], "key long, name string, n long")
+    assert max(counts.values()) > 64
+    got = sorted((r.key, r.v, r.name) for r in C.split_join(rows, table, ["key"], "n", 900).collect())
+    assert got == sorted((r.key, r.v, f"t{r.key}") for r in rows.collect() if r.key % 2)
+    semi = C.split_join(rows, table.drop("name"), ["key"], "n", 900, "left_semi")
+    assert sorted(r.v for r in semi.collect()) == sorted(v for _, v, _ in got)
+
+
+def test_split_joins_of_near_duplicates(spark, monkeypatch):
+    """A large bucket that stays apart, with every join split."""
+    monkeypatch.setattr(C, "FEW_ROWS", 0)
+    shared = [f"h{i}" for i in range(100)]
+    rows = [(k, shared + [f"u{k // 2}x{i}" for i in range(80)]) for k in range(160)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = near_duplicates.groups(docs.withColumn("text", F.concat("text", F.lit(" end"), F.col("doc_id").cast("string"))), cell=32).where("stays").collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 160, 2))
