@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from antiphon.llm import decontamination, importance, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_rules, warc
+from antiphon.llm import decontamination, fingerprints, importance, lexical, packing, pii, quality_rules, simhash, substring_dedup, token_files, url_rules, vector_codes, warc
 from antiphon.llm._common import read_table
 from antiphon.llm.sql import ORACLE
 
@@ -59,8 +59,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_with_errors(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_quality_rules, op2_best_fit_packing, op3_decontamination, op4_token_files, op5_substring_dedup, op6_simhash, op7_url_rules, op8_pii, op9_importance, op10_warc)
+    own = (op1_quality_rules, op2_best_fit_packing, op3_decontamination, op4_token_files, op5_substring_dedup, op6_simhash, op7_url_rules, op8_pii, op9_importance, op10_warc, op11_lexical_search, op12_fingerprints, op13_vector_codes)
     return {f.__name__: f for f in own}
 
 

@@ -53,3 +53,47 @@ held AS (SELECT DISTINCT url FROM t JOIN mined ON list_has_all(t.items, mined.it
 SELECT b.page_id, host, path, rule, coalesce(kind, CASE WHEN held.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, rule IS NULL AND held.url IS NOT NULL AS mined
 FROM b LEFT JOIN fit ON fit.page_id = b.page_id AND fit.url = b.url LEFT JOIN held ON held.url = b.url
 """
+
+# Terms are those of the whole text; impacts and weights as in the operator, scores summed over the item's terms with repeats.
+ORACLE["op11_lexical_search"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+a AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, a GROUP BY term, n_docs),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), a GROUP BY item_id, doc_id),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+# Two rounds over whole numbers; the floor of a mean is taken in whole numbers as well.
+_ROUND = """
+d{0} AS (SELECT x.vec_id, x.part, e.entry, (x.c0 - e.c0) ** 2 + (x.c1 - e.c1) ** 2 + (x.c2 - e.c2) ** 2 + (x.c3 - e.c3) ** 2 AS d FROM x JOIN e{0} e USING (part)),
+a{0} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := d, entry := entry)) AS best FROM d{0} GROUP BY vec_id, part)"""
+_MOVE = """
+s{0} AS (SELECT part, best.entry AS entry, count(*) AS n, sum(c0) AS c0, sum(c1) AS c1, sum(c2) AS c2, sum(c3) AS c3 FROM a{0} JOIN x USING (vec_id, part) GROUP BY part, best.entry),
+e{1} AS MATERIALIZED (SELECT part, entry, """ + ", ".join(f"coalesce((s.c{j} - ((s.c{j} % n) + n) % n) // n, e.c{j})::BIGINT AS c{j}" for j in range(4)) + """ FROM e{0} e LEFT JOIN s{0} s USING (part, entry))"""
+ORACLE["op13_vector_codes"] = (
+    """
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p AS part, v[4 * p + 1] AS c0, v[4 * p + 2] AS c1, v[4 * p + 3] AS c2, v[4 * p + 4] AS c3 FROM k, range(16) r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64),
+e0 AS MATERIALIZED (SELECT part, entry, c0, c1, c2, c3 FROM x JOIN first USING (vec_id)),"""
+    + _ROUND.format(0)
+    + ","
+    + _MOVE.format(0, 1)
+    + ","
+    + _ROUND.format(1)
+    + ","
+    + _MOVE.format(1, 2)
+    + ","
+    + _ROUND.format(2)
+    + """,
+c AS (SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(concat_ws(',', c0, c1, c2, c3), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e2)
+SELECT c.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h
+"""
+)
