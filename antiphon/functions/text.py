@@ -207,8 +207,37 @@ PRIVATE_KEYS = (
 )
 
 
+def _decoded(string: Column) -> Column:
+    """What a JSON string stands for, escapes and all."""
+    return F.from_json(F.concat(F.lit("["), string, F.lit("]")), "array<string>")[0]
+
+
+def _strings(document: Column, keys: bool) -> Column:
+    """The strings of a JSON text that are keys, or those that aren't.
+
+    Escaped backslashes and quotation marks are put aside first (as control characters, which no string may hold), so that what is
+    left of quotation marks are ends of strings, and a string of any length is one simple run.
+    """
+    bare = F.replace(F.replace(document, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    all_of = F.regexp_extract_all(bare, F.lit(r'"[^"]*+"(?:\s*:)?'), 0)
+    own = F.filter(all_of, lambda s: F.endswith(s, F.lit(":")) if keys else ~F.endswith(s, F.lit(":")))
+    whole = lambda s: F.replace(F.replace(F.regexp_extract(s, r'\A"[^"]*+"', 0), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.transform(own, lambda s: _decoded(whole(s)))
+
+
 def private_keys(document: Column) -> Column:
-    """Those of PRIVATE_KEYS that an object of a JSON text has, at any depth, sorted. Strings are read whole, so what stands inside of one is no key."""
-    strings = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), 0)
-    keys = F.transform(F.filter(strings, lambda s: F.endswith(s, F.lit(":"))), lambda s: F.lower(F.regexp_extract(s, r'\A"((?:[^"\\]|\\.)*)"', 1)))
+    """Those of PRIVATE_KEYS that an object of a JSON text has, at any depth and however they are written, sorted. Strings are read whole, so what stands inside of one is no key."""
+    keys = F.transform(_strings(document, True), F.lower)
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isin(*PRIVATE_KEYS))))
+
+
+def holds_credential(document: Column) -> Column:
+    """Whether a string of a JSON text, but for keys, has what looks like a credential."""
+    return F.exists(_strings(document, False), lambda s: F.coalesce(F.rlike(s, F.lit(SECRET_TEXT)), F.lit(False)))
+
+
+def publication_faults(document: Column) -> Column:
+    """Why a JSON text must not be published, in order: "malformed" alone if it's no JSON object (one with a key twice is none), else "credential" and "key <name>" for each private key."""
+    whole = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(document)), F.lit("OBJECT")), F.lit(False))
+    found = F.concat(F.when(holds_credential(document), F.array(F.lit("credential"))).otherwise(F.array().cast("array<string>")), F.transform(private_keys(document), lambda k: F.concat(F.lit("key "), k)))
+    return F.when(whole, found).otherwise(F.array(F.lit("malformed")))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from antiphon.operators.ranks import numbered, placed
+
 
 def markdown(df: DataFrame, title: str, order: str) -> DataFrame:
     """report: a table of few rows (an aggregate) as one text, ordered by a column."""
@@ -51,6 +53,63 @@ def canonical_fingerprint(df: DataFrame, order: str) -> DataFrame:
     return rows.select(F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ", "), F.lit("]")), 256).alias("fingerprint"))
 
 
+def merkle_fingerprint(df: DataFrame, row: Column, order: list[str], fan: int = 256) -> DataFrame:
+    """fingerprint, n: the root of a hash tree over the rows' texts in their order, `fan` neighbours under each node; null for an empty table.
+
+    Whatever the partitioning, it's the same, and no task holds more than `fan` hashes of a level. Rows equal in order must be equal in text.
+    """
+    kept = placed(df.select(F.sha2(F.concat(F.lit("0:"), row), 256).alias("hash"), *order), order, "merkle-leaves")
+    level = numbered(kept).select((F.col("rank") - 1).alias("at"), "hash")
+    n = left = kept.count()
+    while left > 1:
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]), "")
+        level = level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(F.sha2(F.concat(F.lit("1:"), children), 256).alias("hash"))
+        left = -(-left // fan)
+    return level.agg(F.max("hash").alias("fingerprint")).withColumn("n", F.lit(n).cast("long"))
+
+
+def tensor_problems(tensors: DataFrame, shards: DataFrame, index: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """shard, tensor (null for a whole shard), problem, from an inventory of tensor headers.
+
+    tensors: shard, tensor, dtype, shape, begin, end. shards: shard, header_bytes, tensor_bytes, file_bytes, header_sha256. index: tensor, shard, as
+    declared. A tensor's span is as long as its shape and type say, spans cover a shard's values without a gap or an overlap, a
+    shard's sums agree with its file, its header's checksum is one, and index and headers name the same tensors in the same shards.
+    Spans are ordered by shard, so a shard is one task's work: a header has as many tensors as fit into one.
+    """
+    width = F.create_map(*(F.lit(x) for pair in widths.items() for x in pair))
+    size = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x) * F.try_element_at(width, F.col("dtype"))
+    before = F.lag("end", 1, 0).over(W.partitionBy("shard").orderBy("begin", "end", "tensor"))
+    spans = tensors.select("shard", "tensor", F.filter(F.array(
+        F.when(F.try_element_at(width, F.col("dtype")).isNull(), "unknown type"), F.when(F.exists("shape", lambda x: x < 0), "negative shape"),
+        F.when(size != F.col("end") - F.col("begin"), "span and shape differ"), F.when(F.col("begin") > before, "gap before it").when(F.col("begin") < before, "overlap"),
+    ), lambda x: x.isNotNull()).alias("problems"))
+    totals = tensors.groupBy("shard").agg(F.max("end").alias("last"), F.sum(F.col("end") - F.col("begin")).alias("sum"))
+    sums = shards.join(totals, "shard", "full_outer")
+    whole = sums.select("shard", F.lit(None).cast("string").alias("tensor"), F.array_compact(F.array(
+        F.when(F.col("header_bytes").isNull(), "no such shard"), F.when(F.coalesce("sum", F.lit(0)) != F.col("tensor_bytes"), "tensor bytes differ"),
+        F.when(F.coalesce("last", F.lit(0)) < F.col("tensor_bytes"), "values after the last tensor"), F.when(F.col("header_bytes") < 10, "no header"),
+        F.when(F.col("file_bytes") != F.col("tensor_bytes") + F.col("header_bytes"), "file bytes differ"), F.when(~F.coalesce(F.col("header_sha256").rlike(r"\A[0-9a-f]{64}\z"), F.lit(False)) & F.col("header_bytes").isNotNull(), "no checksum"),
+    )).alias("problems"))
+    own, told = tensors.select("tensor", F.col("shard").alias("own")), index.select("tensor", F.col("shard").alias("told"))
+    named = own.join(told, "tensor", "full_outer").select(F.coalesce("own", "told").alias("shard"), "tensor", F.array_compact(F.array(
+        F.when(F.col("told").isNull(), "not in the index").when(F.col("own").isNull(), "not in its shard").when(F.col("own") != F.col("told"), "in another shard"),
+    )).alias("problems"))
+    return functools.reduce(DataFrame.unionByName, [spans, whole, named]).select("shard", "tensor", F.explode("problems").alias("problem"))
+
+
+def conversion_problems(before: DataFrame, after: DataFrame, expected: DataFrame) -> DataFrame:
+    """tensor, problem: changes from one inventory (tensor, dtype, shape, bytes) to another that aren't exactly those expected (tensor, shape, old, new: types; reduction in bytes)."""
+    a, b = before.select("tensor", F.struct("dtype", "shape", "bytes").alias("a")), after.select("tensor", F.struct("dtype", "shape", "bytes").alias("b"))
+    both = a.join(b, "tensor", "full_outer").join(expected.select("tensor", F.struct(F.col("shape"), "old", "new", "reduction").alias("e")), "tensor", "full_outer")
+    right = (F.col("a.dtype") == F.col("e.old")) & (F.col("b.dtype") == F.col("e.new")) & (F.col("a.shape") == F.col("e.shape")) & (F.col("b.shape") == F.col("e.shape")) & (F.col("a.bytes") - F.col("b.bytes") == F.col("e.reduction"))
+    problem = (
+        F.when(F.col("a").isNull() & F.col("b").isNull(), "expected tensor is missing").when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
+        .when(F.col("e").isNull() & (F.col("a") != F.col("b")), "unexpected change").when(F.col("e").isNotNull() & (F.col("a") == F.col("b")), "expected change is missing")
+        .when(F.col("e").isNotNull() & ~right, "another change than expected")
+    )
+    return both.select("tensor", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def covers(ranges: DataFrame, key: str, begin: str, end: str, start: int) -> DataFrame:
     """key, covers, last: whether a key's ranges, in order, cover all from the start without a gap or an overlap, and where they end."""
     before = F.lag(end, 1, start).over(W.partitionBy(key).orderBy(begin, end))
@@ -63,9 +122,9 @@ def united(sets: dict[str, DataFrame], name: str) -> DataFrame:
 
 
 def resume(planned: DataFrame, saved: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """key, state: done, run, or mismatch (saved under other settings, which must stop a run)."""
-    both = planned.join(saved.select(key, F.col("fingerprint").alias("_f")), key, "left")
-    return both.select(key, F.when(F.col("_f").isNull(), "run").when(F.col("_f") != fingerprint, "mismatch").otherwise("done").alias("state"))
+    """key, state: done, run, or mismatch (saved under other settings, which must stop a run). Of several saved rows of a key any other fingerprint, or none, is a mismatch."""
+    own = saved.groupBy(key).agg(F.bool_and(F.coalesce(F.col("fingerprint") == fingerprint, F.lit(False))).alias("_same"))
+    return planned.join(own, key, "left").select(key, F.when(F.col("_same").isNull(), "run").when(F.col("_same"), "done").otherwise("mismatch").alias("state"))
 
 
 def count_rules(rules: list[tuple[str, int, DataFrame]]) -> DataFrame:

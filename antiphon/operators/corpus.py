@@ -90,41 +90,3 @@ def balanced_slots(domains: int, slots: int, seed: int) -> list[tuple[int, int,
 def at_most_each(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """n rows of each group at most. Spark keeps only the n best of a partition's groups before the shuffle (a group limit)."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
-
-
-def longest_runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """key, run: the most equal values in a row."""
-    w = W.partitionBy(key).orderBy(*order)
-    new = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    island = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
-    runs = df.withColumn("_new", new).withColumn("_island", island).groupBy(key, "_island").agg(F.count("*").alias("run"))
-    return runs.groupBy(key).agg(F.max("run").alias("run"))
-
-
-def first_long_run(df: DataFrame, key: str, order: list[str], value: str, least: int) -> DataFrame:
-    """df's rows at which, by key, a value has first stood so often in a row, with run."""
-    w = W.partitionBy(key).orderBy(*order)
-    new = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
-    island = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = island.withColumn("run", F.row_number().over(W.partitionBy(key, "_island").orderBy(*order)).cast("long")).where(F.col("run") >= least)
-    best = runs.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*df.columns, "run"), F.struct(*order)).alias("r"))
-    return best.select("r.*")
-
-
-def loops(df: DataFrame, key: str, order: list[str], value: str, run: int = 8, repetitions: int = 8, span: int = 12) -> DataFrame:
-    """key, degenerate: a value so often in a row, or a stretch with a period of one to four that has so many of them and is so long."""
-    own = period_spans(df, key, order, value)
-    by_period = own.groupBy(key).agg(F.bool_or((F.floor(F.col("span") / F.col("period")) >= repetitions) & (F.col("span") >= span)).alias("_loops"))
-    return longest_runs(df, key, order, value).join(by_period, key).select(key, ((F.col("run") >= run) | F.col("_loops")).alias("degenerate"))
-
-
-def period_spans(df: DataFrame, key: str, order: list[str], value: str, periods: int = 4) -> DataFrame:
-    """key, period, span: the longest stretch that repeats with that period, if it's two periods long at least, else 0."""
-    w = W.partitionBy(key).orderBy(*order)
-    numbered = df.withColumns({"_at": F.row_number().over(w), **{f"_s{p}": F.col(value) == F.lag(value, p).over(w) for p in range(1, periods + 1)}})
-    shifted = numbered.select(key, "_at", F.inline(F.array(*(F.struct(F.lit(p).alias("period"), F.col(f"_s{p}").alias("same")) for p in range(1, periods + 1)))))
-    v = W.partitionBy(key, "period").orderBy("_at")
-    breaks = F.sum(F.when(F.coalesce("same", F.lit(False)), 0).otherwise(1)).over(v.rowsBetween(W.unboundedPreceding, 0))
-    runs = shifted.withColumn("_island", breaks).groupBy(key, "period", "_island").agg(F.count_if("same").alias("n"))
-    best = runs.groupBy(key, "period").agg(F.max("n").alias("n"))
-    return best.select(key, "period", F.when(F.col("n") >= F.col("period"), F.col("n") + F.col("period")).otherwise(0).alias("span"))

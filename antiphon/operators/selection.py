@@ -1,17 +1,13 @@
-"""Screening candidates: guards, rankings, near-equal directions, the winner."""
+"""Screening candidates: guards, rankings, the winner."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antiphon.functions import vectors as V
 from antiphon.operators.corpus import ranked
 
-#: Vectors that distinct_directions() keeps on the driver at most.
-MOST_DIRECTIONS = 4096
-
 
 def usable(layer: Column, layers: int, vector: Column, depth: float = 0.8) -> Column:
     return (layer < depth * layers) & V.finite(vector) & (V.norm(vector) > V.LEAST_NORM)
@@ -22,28 +18,6 @@ def rank(df: DataFrame, *order: Column, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def distinct_directions(df: DataFrame, key: str, vector: str, order: list[Column], limit: int, most_cosine: float = 0.995) -> list:
-    """Keys in order of rank, without those whose absolute cosine to one kept before exceeds the limit. One that is left out keeps no other out.
-
-    Each decision needs those before it, so the driver goes through all ranked rows, a partition at a time, until `limit` are kept.
-    """
-    if limit > MOST_DIRECTIONS:
-        raise ValueError(f"at most {MOST_DIRECTIONS} directions")
-    kept, vectors = [], np.zeros((0, 0))
-    for row in df.orderBy(*order).select(key, vector).toLocalIterator():
-        if len(kept) == limit:
-            break
-        v = np.array(row[1], float)
-        length = np.linalg.norm(v)
-        if not np.isfinite(length) or length <= V.LEAST_NORM:
-            continue
-        v /= length
-        if not len(kept) or np.abs(vectors @ v).max() <= most_cosine:
-            vectors = v[None] if not len(kept) else np.vstack([vectors, v])
-            kept.append(row[0])
-    return kept
-
-
 def increments(vectors: DataFrame, size: int) -> DataFrame:
     """vec_id, label, v, step: a vector less the one before it in its label (of the first, less nothing).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from antiphon.functions import text as T
 from antiphon.operators import chats as H
-from antiphon.operators import corpus as K
+from antiphon.operators import scans as X
 from antiphon.plans.registry import Tables, query
 from antiphon.streaming import admission
 
@@ -123,14 +123,14 @@ def c25_safe_paths(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, max(n)::BIGINT AS run FROM (SELECT user_id, g, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id")
 def f04_longest_run(t: Tables) -> DataFrame:
-    return K.longest_runs(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    return X.longest_runs(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
 
 
 @query("""WITH s AS (SELECT user_id, p::INTEGER AS period, nr, coalesce(event_type = prev, false) AS same FROM (SELECT user_id, p, row_number() OVER (PARTITION BY user_id, p ORDER BY ts, event_id) AS nr, event_type, lag(event_type, p) OVER (PARTITION BY user_id, p ORDER BY ts, event_id) AS prev FROM events, range(1, 5) r(p))),
 g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, period ORDER BY nr) AS island FROM s), r AS (SELECT user_id, period, island, count_if(same) AS n FROM g GROUP BY ALL)
 SELECT user_id, period, CASE WHEN max(n) >= period THEN max(n) + period ELSE 0 END::BIGINT AS span FROM r GROUP BY user_id, period""")
 def f05_period_loops(t: Tables) -> DataFrame:
-    return K.period_spans(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+    return X.period_spans(t("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
 
 
 @query("""WITH m AS (SELECT user_id, event_id, event_type, last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tag FROM events)

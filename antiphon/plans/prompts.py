@@ -115,39 +115,56 @@ _NAMES = ("idiot", "clown", "license", "worthless", "that")
 _FOUND = "list_filter([" + ", ".join(f"'{n}'" for n in _NAMES) + r"], lambda n: regexp_matches(lower({}), '(^|[^\p{{L}}\p{{N}}_])' || n || '($|[^\p{{L}}\p{{N}}_])'))"
 
 
-@query(f"WITH d AS (SELECT doc_id // 2 AS pair, max(CASE WHEN doc_id % 2 = 0 THEN left(text, 200) END) AS a, max(CASE WHEN doc_id % 2 = 1 THEN left(text, 200) END) AS b FROM documents GROUP BY 1) SELECT pair, list_aggregate(list_sort({_FOUND.format('a')}), 'string_agg', ',') AS terms FROM d WHERE len({_FOUND.format('a')}) > 0 AND list_sort({_FOUND.format('a')}) = list_sort({_FOUND.format('b')})")
+@query(f"WITH d AS (SELECT doc_id // 2 AS pair, max(CASE WHEN doc_id % 2 = 0 THEN text END) AS a, max(CASE WHEN doc_id % 2 = 1 THEN text END) AS b FROM documents GROUP BY 1) SELECT pair, list_aggregate(list_sort({_FOUND.format('a')}), 'string_agg', ',') AS terms FROM d WHERE len({_FOUND.format('a')}) > 0 AND list_sort({_FOUND.format('a')}) = list_sort({_FOUND.format('b')})")
 def c14_terms_match(t: Tables) -> DataFrame:
-    """Both sides of a pair name the same things, and at least one (looked for in their openings)."""
-    side = lambda k: F.max(F.when(F.col("doc_id") % 2 == k, F.left("text", F.lit(200))))
+    """Both sides of a pair name the same things, and at least one."""
+    side = lambda k: F.max(F.when(F.col("doc_id") % 2 == k, F.col("text")))
     pairs = t("documents").groupBy(F.floor(F.col("doc_id") / 2).alias("pair")).agg(side(0).alias("a"), side(1).alias("b"))
     own = pairs.select("pair", M.terms(F.col("a"), _NAMES).alias("x"), M.terms(F.col("b"), _NAMES).alias("y"))
     return own.where((F.size("x") > 0) & (F.col("x") == F.col("y"))).select("pair", F.array_join("x", ",").alias("terms"))
 
 
 @query("""WITH m AS (SELECT conv_id, conv_id // 10 AS browser, 'c' || conv_id % 7 AS id, count(*) AS n, count_if(role <> 'user' AND turn % 3 = 0) AS streaming, count_if(role <> 'user' AND turn % 3 = 1) AS errors FROM conversations GROUP BY conv_id),
-v AS (SELECT *, row_number() OVER (PARTITION BY browser, id ORDER BY conv_id) AS rn FROM m WHERE conv_id % 11 <> 0 AND conv_id % 13 <> 0 AND browser % 5 <> 0)
-SELECT browser, id, n::BIGINT AS n, streaming::BIGINT AS interrupted, errors::BIGINT AS errors, CASE WHEN browser % 2 = 0 THEN 0.0 ELSE 0.125 END::DOUBLE AS mood FROM v WHERE rn = 1""")
+v AS (SELECT *, row_number() OVER (PARTITION BY browser, id ORDER BY conv_id) AS rn FROM m WHERE conv_id % 11 <> 0 AND conv_id % 13 <> 0 AND conv_id % 17 <> 0 AND conv_id % 19 <> 0 AND conv_id % 23 <> 0 AND browser % 5 <> 0)
+SELECT browser, id, n::BIGINT AS n, streaming::BIGINT AS interrupted, errors::BIGINT AS errors, CASE WHEN browser % 2 = 0 THEN '0,0,0,0,0,0' ELSE '2,-1,0,0,0,' || conv_id % 3 END AS mood, id = 'c' || browser % 7 AS active FROM v WHERE rn = 1""")
 def c20_saved_chats(t: Tables) -> DataFrame:
-    """Saved states as JSON text, of which only valid chats come back: one of each id, with a date, known speakers only; what was streaming is interrupted, and the first version's moods are dropped."""
-    who = F.when(F.col("role") == "user", "you").otherwise("mooody")
-    who = F.when((F.col("conv_id") % 13 == 0) & (F.col("turn") == 0), "ghost").otherwise(who)
+    """Saved states as JSON text, of which only valid chats come back: one of each id, with a date, texts where texts must be (not numbers or objects) and known speakers only; what was streaming is interrupted, levels out of range are 0, and the first version's moods are dropped."""
+    key = F.col("conv_id")
+    who = F.when(F.col("role") == "user", "you").otherwise("assistant")
+    who = F.when((key % 13 == 0) & (F.col("turn") == 0), "ghost").otherwise(who)
     status = F.when(F.col("role") != "user", F.element_at(F.array(F.lit("streaming"), F.lit("error"), F.lit("odd")), (F.col("turn") % 3 + 1).cast("int")))
-    chat = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", who.alias("who"), "text", status.alias("status")))), lambda m: F.struct(m["who"].alias("who"), m["text"].alias("text"), m["status"].alias("status"))).alias("messages"))
-    chat = chat.select(F.floor(F.col("conv_id") / 10).alias("browser"), F.struct("conv_id", F.concat(F.lit("c"), (F.col("conv_id") % 7).cast("string")).alias("id"), F.lit("title").alias("title"), F.when(F.col("conv_id") % 11 != 0, F.lit(1.5e12)).alias("createdAt"), F.array_repeat(F.lit(0.125), 6).alias("mood"), "messages").alias("c"))
-    saved = chat.groupBy("browser").agg(F.array_sort(F.collect_list("c")).alias("conversations"))
-    version = F.when(F.col("browser") % 5 == 0, 3).otherwise(F.col("browser") % 2 + 1)
-    raw = saved.select("browser", F.to_json(F.struct(version.alias("version"), F.array_repeat(F.lit(0.0), 6).alias("mood"), "conversations")).alias("raw"))
-    chats = H.restored(raw, "raw").select("browser", "chat.*")
+    quoted = lambda x: F.coalesce(F.regexp_extract(F.to_json(F.array(x)), r"(?s)\A\[(.*)\]\z", 1), F.lit("null"))
+    text = F.when((key % 23 == 0) & (F.col("turn") == 1), F.lit('{"x":1}')).otherwise(quoted(F.col("text")))
+    line = F.concat(F.lit('{"who":'), quoted(who), F.lit(',"text":'), text, F.coalesce(F.concat(F.lit(',"status":'), quoted(status)), F.lit("")), F.lit("}"))
+    messages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda m: m["line"]), ",")
+    chat = t("conversations").groupBy("conv_id").agg(messages.alias("messages"))
+    title, date = F.when(key % 17 == 0, "5").otherwise('"title"'), F.when(key % 11 == 0, '"1500000000000"').otherwise("1.5e12")
+    name = F.when(key % 19 == 0, "7").otherwise(F.concat(F.lit('"c'), (key % 7).cast("string"), F.lit('"')))
+    mood = F.concat(F.lit('[2,-1,9,0.5,"1",'), (key % 3).cast("string"), F.lit(",1]"))
+    whole = F.concat(F.lit('{"id":'), name, F.lit(',"title":'), title, F.lit(',"createdAt":'), date, F.lit(',"mood":'), mood, F.lit(',"messages":['), F.col("messages"), F.lit("]}"))
+    saved = chat.groupBy(F.floor(key / 10).alias("browser")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", whole.alias("c")))), lambda c: c["c"]), ",").alias("chats"))
+    version = F.when(F.col("browser") % 5 == 0, 3).otherwise(F.col("browser") % 2 + 1).cast("string")
+    raw = saved.select("browser", F.concat(F.lit('{"version":'), version, F.lit(',"activeId":"c'), (F.col("browser") % 7).cast("string"), F.lit('","conversations":['), "chats", F.lit("]}")).alias("raw"))
+    states = raw.select("browser", H.restored_state(F.col("raw")).alias("s"))
+    chats = states.select("browser", F.col("s.activeId").alias("active"), F.explode("s.conversations").alias("c")).select("browser", "active", "c.*")
     count = lambda s: F.size(F.filter("messages", lambda m: m["status"] == s)).cast("long")
-    return chats.select("browser", "id", F.size("messages").cast("long").alias("n"), count("interrupted").alias("interrupted"), count("error").alias("errors"), F.element_at("mood", 1).alias("mood"))
+    return chats.select("browser", "id", F.size("messages").cast("long").alias("n"), count("interrupted").alias("interrupted"), count("error").alias("errors"), F.array_join(F.transform("mood", lambda x: x.cast("string")), ",").alias("mood"), F.coalesce(F.col("active") == F.col("id"), F.lit(False)).alias("active"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'messages,response' WHEN 2 THEN 'authorization' ELSE '' END AS keys FROM events")
+_FIELDS = ("note", "Messages", "say", r"\u0061uthorization", "API_key", r"raw\u005Fresponse", r"res\/ponse")
+
+
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 8 AS k, text || CASE doc_id % 5 WHEN 0 THEN ' hf_' || repeat('a1B2', 6) WHEN 2 THEN ' sk-or-v1-short' ELSE '' END AS text FROM documents)
+SELECT doc_id, CASE WHEN k = 7 THEN 'malformed' ELSE concat_ws(',', CASE WHEN regexp_matches(text, '{T.SECRET_TEXT}') THEN 'credential' END, CASE k WHEN 1 THEN 'key messages' WHEN 3 THEN 'key authorization' WHEN 4 THEN 'key api_key' WHEN 5 THEN 'key raw_response' END) END AS faults FROM d""")
 def c24_forbidden_keys(t: Tables) -> DataFrame:
-    """Keys at any depth of a JSON text that must not be published; texts that look like keys inside of strings are none."""
-    docs = ['{"a":[{"Messages":1}],"response":"x"}', r'{"say":"\"api_key\": 1"}', '{"a":{"b":{"Authorization":null}}}', '{"k":[1,2]}']
-    raw = F.element_at(F.array(*map(F.lit, docs)), (F.col("event_id") % 4 + 1).cast("int"))
-    return t("events").select("event_id", F.array_join(T.private_keys(raw), ",").alias("keys"))
+    """What a JSON text that is to be published holds at any depth: private keys, also written with escapes, and credentials within strings; what looks like a key inside of a string is none."""
+    at = F.col("doc_id") % 5
+    text = F.concat("text", F.when(at == 0, " hf_" + "a1B2" * 6).when(at == 2, " sk-or-v1-short").otherwise(""))
+    value = F.regexp_extract(F.to_json(F.array(text, F.lit('"api_key": 1'))), r"(?s)\A\[(.*)\]\z", 1)
+    k = (F.col("doc_id") % 8).cast("int")
+    field = F.coalesce(F.get(F.array(*map(F.lit, _FIELDS)), k), F.lit("note"))
+    raw = F.concat(F.lit('{"a":[{"b":{"'), field, F.lit('" : ['), value, F.when(k == 7, '],"b":').otherwise("]}"), F.lit('}],"n":1}'))
+    return t("documents").select("doc_id", F.array_join(T.publication_faults(raw), ",").alias("faults"))
 
 
 @query(r"""WITH r AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN CASE conv_id % 3 WHEN 0 THEN 'Ready. ' WHEN 1 THEN 'Already. ' ELSE '<think>READY ' END || text END) AS a, max(CASE WHEN turn = 1 THEN CASE WHEN conv_id % 2 = 0 THEN 'It is four. ' ELSE '44 ' END || text END) AS b FROM conversations GROUP BY conv_id)
@@ -243,12 +260,19 @@ def j28_finish_reasons(t: Tables) -> DataFrame:
     return t("events").select("event_id", H.finish_reason(kind == "error", kind == "signup", kind == "purchase", F.col("value"), F.lit(20)).alias("reason"), H.stop_reason(kind == "purchase").alias("stop_reason"))
 
 
-@query("SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'fields' WHEN conv_id % 4 = 1 THEN 'mood' WHEN conv_id % 4 = 2 THEN 'output' END AS error FROM (SELECT DISTINCT conv_id FROM conversations)")
-def c21_request_settings(t: Tables) -> DataFrame:
-    """Requests with good messages, but unknown fields, a mood out of range, or too long an output."""
-    at, message = F.col("conv_id") % 4, F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("Hello").alias("text")))
-    mood = F.when(at == 1, F.array(*map(F.lit, (0.0, 0.3, 0.0, 0.0, 0.0, 0.0)))).otherwise(F.array_repeat(F.lit(-0.25), 6))
-    fields = F.when(at == 0, F.array(F.lit("messages"), F.lit("model"))).otherwise(F.array(F.lit("messages"), F.lit("mood"), F.lit("max_new_tokens")))
-    return t("conversations").select("conv_id").distinct().select("conv_id", H.chat_error(message, mood, F.when(at == 2, 2049).otherwise(2048), fields).alias("error"))
+_MOOD = "list_transform(range(1, 7), lambda i: round(0.12 * ((conv_id * 7 + i * 3) % 9 - 4) * CASE WHEN conv_id % 2 = 0 THEN 0.5 ELSE 1 END, 3))"
 
 
+@query(f"""WITH h AS (SELECT conv_id, list(struct_pack(r := role, n := length(text), b := trim(text, {_SPACE}) = '') ORDER BY turn) AS m, sum(length(text)) AS chars FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, m, chars, {_MOOD} AS mood, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN m[i].r NOT IN ('user', 'assistant') THEN 'role' WHEN m[i].b THEN 'blank' WHEN m[i].n > CASE WHEN m[i].r = 'user' THEN 2000 ELSE 10000 END THEN 'too_long' WHEN i > 1 AND m[i].r = m[i - 1].r THEN 'alternation' END) AS codes FROM h)
+SELECT conv_id, CASE WHEN conv_id % 6 = 5 THEN 'fields' WHEN len(m) > 32 THEN 'count' WHEN len(list_filter(codes, lambda x: x IS NOT NULL)) > 0 THEN list_filter(codes, lambda x: x IS NOT NULL)[1] WHEN m[-1].r <> 'user' THEN 'last_role' WHEN chars > 32000 THEN 'history_too_long'
+  WHEN len(list_filter(mood, lambda x: abs(x) > 0.25)) > 0 THEN 'mood' WHEN chars * 3 NOT BETWEEN 1 AND 2048 THEN 'output' END AS error FROM f""")
+def c21_request_settings(t: Tables) -> DataFrame:
+    """Requests whole: each conversation's own messages, with a mood by its id, an output by its length, and some with a field that isn't known."""
+    h = H.histories(t("conversations"))
+    scale = F.when(F.col("conv_id") % 2 == 0, 0.5).otherwise(1.0)
+    mood = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.round(F.lit(0.12).cast("double") * ((F.col("conv_id") * 7 + i * 3) % 9 - 4) * scale, 3))
+    known = F.array(F.lit("messages"), F.lit("mood"), F.lit("max_new_tokens"))
+    fields = F.when(F.col("conv_id") % 6 == 5, F.array_append(known, "model")).otherwise(known)
+    chars = F.aggregate("messages", F.lit(0), lambda a, m: a + F.length(m["text"]))
+    return h.select("conv_id", H.chat_error(F.col("messages"), mood, chars * 3, fields).alias("error"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from antiphon.functions import text as T
 from antiphon.functions import vectors as V
+from antiphon.operators import directions as D
 from antiphon.operators import selection as S
 from antiphon.operators.corpus import ranked
 from antiphon.plans.matching import DIM
@@ -66,14 +67,14 @@ def d09_added_and_lost(t: Tables) -> DataFrame:
     return pairs.groupBy("o_custkey").agg(F.count_if(F.col("new") & ~F.col("old")).alias("added"), F.count_if(F.col("old") & ~F.col("new")).alias("lost"))
 
 
-_DIRECTIONS = 40
-
-
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY embedding[1], vec_id) AS rn, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+c AS MATERIALIZED (SELECT a.rn, list(b.rn) AS earlier FROM e a JOIN e b ON b.rn < a.rn AND abs(list_cosine_similarity(a.v, b.v)) > 0.3 GROUP BY a.rn),
+g(rn, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.rn + 1, CASE WHEN list_has_any(kept, coalesce(earlier, [])) THEN kept ELSE list_append(kept, g.rn + 1) END FROM g LEFT JOIN c ON c.rn = g.rn + 1 WHERE g.rn < (SELECT count(*) FROM e)),
+k AS (SELECT unnest(kept) AS rn, generate_subscripts(kept, 1)::BIGINT AS rank FROM g WHERE g.rn = (SELECT count(*) FROM e))
+SELECT vec_id, rank FROM k JOIN e USING (rn)""")
 def d17_cosine_dedup(t: Tables) -> DataFrame:
-    """All vectors in the order of their first value, until the stated number is kept: each decision needs those before it."""
-    kept = S.distinct_directions(_vectors(t), "vec_id", "v", [F.col("v")[0], F.col("vec_id")], _DIRECTIONS, 0.3)
-    return t("embeddings").sparkSession.createDataFrame([(k,) for k in kept], "vec_id long")
+    """All vectors in the order of their first value, each kept unless it is too close to one kept before."""
+    return D.distinct_directions(_vectors(t), "vec_id", "v", [F.col("v")[0]], None, 0.3)
 
 
 @query(r"""WITH d AS (SELECT d.lang, l.quality = 0 AS refusal, trim(text, e' \t\n\r') = '' AS empty, coalesce(l.toxic = 1, false) AS degenerate FROM documents d JOIN labels l USING (doc_id))

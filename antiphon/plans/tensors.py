@@ -93,10 +93,10 @@ def k16_snapshots(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_U}, s AS (SELECT vec_id, label, i, x, x - lag(x, 1, 0) OVER (PARTITION BY label, i ORDER BY vec_id) AS step, row_number() OVER (PARTITION BY label, i ORDER BY vec_id) AS rn FROM x), v AS (SELECT *, unnest(['direct', 'direct zero first', 'steps', 'steps zero first']) AS variant FROM s)
-SELECT variant, rn::BIGINT AS layer, i AS dim, round(sum((0.25 - 0.05 * label) * CASE WHEN variant LIKE '%zero first' AND rn = 1 THEN 0 WHEN variant LIKE 'direct%' THEN x ELSE step END), 6) AS x FROM v WHERE rn <= 4 GROUP BY ALL""")
+SELECT variant, rn::BIGINT AS layer, i AS dim, round(sum((0.25 - 0.05 * label) * CASE WHEN variant LIKE '%zero first' AND rn = 1 THEN 0 WHEN variant LIKE 'direct%' THEN x ELSE step END), 6) AS x FROM v GROUP BY ALL""")
 def k17_diagnostic_offsets(t: Tables) -> DataFrame:
-    """Offsets of the first layers by four variants: vectors as they are or their steps, and with the first layer as zero."""
-    steps = ranked(t("embeddings").select("vec_id", "label"), "label", "vec_id", "layer").where("layer <= 4").select("vec_id", "layer").join(S.increments(_vectors(t), DIM), "vec_id")
+    """Offsets of all layers by four variants: vectors as they are or their steps, and with the first layer as zero."""
+    steps = ranked(t("embeddings").select("vec_id", "label"), "label", "vec_id", "layer").select("vec_id", "layer").join(S.increments(_vectors(t), DIM), "vec_id")
     variants = X.offset_variants(steps, F.col("layer") == 1, "v", "step").withColumn("c", 0.25 - 0.05 * F.col("label"))
     return _by_dim(V.mix_by(variants, ["variant", "layer"], "x", "c", DIM), F.transform("mix", lambda y: F.round(y, 6)), "variant", "layer")
 
