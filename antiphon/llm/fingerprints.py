@@ -1,6 +1,7 @@
 """Document fingerprints: bottom-k sketches of five-word shingles, by DataFrame functions only.
 
-A sketch is the k least distinct 64-bit hashes (xxhash64) of a text's shingles, ascending. Sketches of parts merge: that of a
+A sketch is the k least distinct 64-bit hashes (the first 16 hexadecimal digits of MD5) of a text's shingles, ascending; any
+engine can make it, so sketches of different systems compare. Sketches of parts merge: that of a
 union is the k least of its parts' sketches. The share of a union's k least hashes that both sketches hold estimates
 resemblance, the share of those of one that the other holds too estimates containment, and the k-th least hash tells the
 number of distinct shingles. Texts of up to k + 4 words are compared exactly.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from antiphon.llm import _common as C
 
 WORDS_OF_SHINGLE = 5
+#: Digits of a hash.
+DIGITS = 16
 #: Hashes of a sketch: an estimate of resemblance errs by 0.06 (one standard error) at most.
 K = 64
 _SPACE = " \t\n\x0b\x0c\r"
@@ -35,10 +38,10 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(words_of_text: Column) -> Column:
-    """One hash for each shingle. Words that aren't there are null, and so the hash is that of all that are."""
+    """One hash for each shingle: of its words with a blank between."""
     n = F.size(words_of_text)
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - WORDS_OF_SHINGLE)), lambda i: F.xxhash64(*(F.get(words_of_text, i + j) for j in range(WORDS_OF_SHINGLE))))
-    return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (WORDS_OF_SHINGLE - 1))), lambda i: F.left(F.md5(F.array_join(F.slice(words_of_text, i, WORDS_OF_SHINGLE), " ")), F.lit(DIGITS)))
+    return F.when(n > 0, hashes).otherwise(F.array().cast("array<string>"))
 
 
 def least(hashes: Column, k: int = K) -> Column:
@@ -71,14 +74,13 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def distinct_shingles(sketch: Column, k: int = K) -> Column:
-    """Exact below k; else k - 1 over the k-th least hash as a share of all."""
-    share = (F.element_at(sketch, -1).cast("double") + 2.0**63) / 2.0**64
+    """Exact below k; else k - 1 over the k-th least hash as a share of all (13 digits, which a double holds)."""
+    share = F.conv(F.left(F.element_at(sketch, -1), F.lit(13)), 16, 10).cast("double") / 2.0**52
     return F.when(F.size(sketch) < k, F.size(sketch).cast("double")).otherwise((k - 1) / share)
 
 
 def as_text(sketch: Column) -> Column:
-    """16 hexadecimal digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    return F.array_join(sketch, "")
 
 
 def _longs(values: list[int]) -> Column:

@@ -97,3 +97,20 @@ h AS (SELECT sha256(string_agg(concat_ws(',', c0, c1, c2, c3), ',' ORDER BY part
 SELECT c.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h
 """
 )
+
+_SKETCH = r"list_sort(list_distinct(list_transform(range(1, greatest(1, len({0}) - 4) + 1), lambda i: left(md5(array_to_string({0}[i : i + 4], ' ')), 16))))[:64]"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_UNION = "list_sort(list_distinct(list_concat({}, {})))[:64]"
+# Every document's sketch, that of its edited text, and that of the document after it.
+ORACLE["op12_fingerprints"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS next FROM documents WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, text, n, next, left(text, n - n // 2) || left(next, n // 2) AS edited FROM d),
+w AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, {_WORDS.format('text')} AS a, {_WORDS.format('edited')} AS b, {_WORDS.format('next')} AS c FROM e),
+s AS (SELECT doc_id, n, edited_sha256, """ + ", ".join(f"CASE WHEN len({x}) = 0 THEN [] ELSE {_SKETCH.format(x)} END AS s{x}" for x in "abc") + f""" FROM w),
+u AS (SELECT *, {_UNION.format('sa', 'sb')} AS uab, {_UNION.format('sa', 'sc')} AS uac FROM s)
+SELECT doc_id, n AS n_chars, edited_sha256, array_to_string(sa, '') AS fingerprint, array_to_string(sb, '') AS edited_fingerprint,
+  CASE WHEN len(uab) = 0 THEN 1 ELSE len(list_filter(uab, lambda x: list_contains(sa, x) AND list_contains(sb, x))) / len(uab) END::DOUBLE AS near_edited,
+  CASE WHEN len(uac) = 0 THEN 1 ELSE len(list_filter(uac, lambda x: list_contains(sa, x) AND list_contains(sc, x))) / len(uac) END::DOUBLE AS near_next,
+  CASE WHEN len(sa) = 0 THEN 1 WHEN len(list_filter(uab, lambda x: list_contains(sa, x))) > 0 THEN len(list_filter(uab, lambda x: list_contains(sa, x) AND list_contains(sb, x))) / len(list_filter(uab, lambda x: list_contains(sa, x))) END::DOUBLE AS held_by_edited,
+  CASE WHEN len(sa) < 64 THEN len(sa) ELSE 63 / (('0x' || left(sa[64], 13))::BIGINT / 4503599627370496) END::DOUBLE AS n_shingles FROM u
+"""

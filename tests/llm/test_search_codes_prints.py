@@ -11,7 +11,6 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -73,16 +72,9 @@ def test_best_takes_ties_by_id(seed):
 
 
 def sketch(text, k=fingerprints.K):
-    """Chained XXH64, the seed of each word being the hash of those before it."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     shingles = [words[i : i + 5] for i in range(max(1, len(words) - 4))] if words else []
-    out = set()
-    for shingle in shingles:
-        h = 42
-        for w in shingle:
-            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
-        out.add(h - (1 << 64) if h >> 63 else h)
-    return sorted(out)[:k]
+    return sorted({hashlib.md5(" ".join(s).encode()).hexdigest()[:16] for s in shingles})[:k]
 
 
 def near(a, b, k=fingerprints.K):
@@ -96,8 +88,7 @@ def plain_prints(docs):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         a, b, c = sketch(text), sketch(edited), sketch(after)
-        digits = lambda s: "".join(f"{h % (1 << 64):016X}" for h in s)
-        yield doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), digits(a), digits(b), near(a, b), near(a, c)
+        yield doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), near(a, b), near(a, c)
 
 
 @pytest.mark.parametrize("spans", [None, 1, 7])
@@ -202,7 +193,7 @@ def test_vectors_that_do_not_fit(spark):
     assert got.keys() == {1, 4} and got[4].error == 0
 
 
-@pytest.mark.parametrize("name", ["op11_lexical_search", "op13_vector_codes"])
+@pytest.mark.parametrize("name", ["op11_lexical_search", "op12_fingerprints", "op13_vector_codes"])
 def test_rows_of_the_sql(spark, name):
     c = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
@@ -210,4 +201,5 @@ def test_rows_of_the_sql(spark, name):
     got, want = __spark_entry__.queries()[name](spark, SF), c.sql(__spark_entry__.oracle_sql()[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.select(*columns).fetchall())
+    plain = lambda rows: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+    assert plain(got.select(*columns).collect()) == plain(want.select(*columns).fetchall())
