@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -38,13 +39,47 @@ def test_mined_rules_are_all_rules(spark):
             own = [b for tokens, b in baskets if set(items) <= tokens]
             if sum(own) >= least and sum(own) / len(own) >= 0.6 and sum(own) / len(own) / share >= 1.5:
                 want[items] = sum(own) / len(own)
-    got = {tuple(sorted(r.antecedent)): r.confidence for r in url_rules.mine(pages, labels, **limits).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and any(len(k) > 1 for k in want)
+    got = {tuple(sorted(x)): r.confidence for r in url_rules.mine(pages, labels, **limits).collect() for x in itertools.product(*r.antecedent)}
+    alone = {k for k in want if len(k) == 1}
+    minimal = {k for k in want if len(k) == 1 or not any((t,) in alone for t in k)}
+    assert got.keys() == minimal and all(abs(got[k] - want[k]) < 1e-9 for k in got) and any(len(k) > 1 for k in want)
     for r in url_rules.url_verdicts(pages, labels, (), **limits).collect():
         tokens = plain_tokens(urls[r.page_id]) if urls[r.page_id] else frozenset()
         assert r.verdict == ("block" if any(set(k) <= tokens for k in want) else "allow"), urls[r.page_id]
 
 
+def plain_verdicts(urls, bad, least_share, least_pages, least_confidence, least_lift):
+    """By every set of tokens of every labelled url."""
+    baskets = [(plain_tokens(urls[i]), b) for i, b in bad.items()]
+    least, share = math.ceil(max(least_share, least_pages / len(baskets)) * len(baskets)), sum(b for _, b in baskets) / len(baskets)
+    count = Counter()
+    for own, b in baskets:
+        for n in range(1, len(own) + 1):
+            for items in itertools.combinations(sorted(own), n):
+                count[items, b] += 1
+    rules = [set(k) for k, b in count if b and count[k, 1] >= least and count[k, 1] / (count[k, 1] + count[k, 0]) >= least_confidence and count[k, 1] / (count[k, 1] + count[k, 0]) / share >= least_lift]
+    return ["block" if any(r <= plain_tokens(u) for r in rules) else "allow" for u in urls]
+
+
+def test_rules_of_a_shared_path(spark):
+    """Twelve tokens that labelled urls share, some of them only in part, against every set of tokens; then forty."""
+    draw = random.Random(6)
+    path = [f"p{i}" for i in range(12)]
+    urls = [f"http://a/{'/'.join(path if i % 3 else path[:7])}" for i in range(60)] + [f"http://b/{draw.choice('uvw')}/{'/'.join(draw.sample(path, draw.choice((0, 0, 1, 5))))}" for _ in range(140)]
+    bad = {i: int(i < 60) for i in range(200) if i % 4}
+    limits = (0.01, 15, 0.6, 1.5)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], "doc_id long, quality int, toxic int")
+    keys = dict(zip(("min_support", "min_pages", "min_confidence", "min_lift"), limits, strict=True))
+    got = {r.page_id: r.verdict for r in url_rules.url_verdicts(pages, labels, (), **keys).collect()}
+    assert [got[i] for i in range(200)] == plain_verdicts(urls, bad, *limits) and len(set(got.values())) == 2
+    urls = [f"http://a/{'/'.join(f'q{i}' for i in range(40))}/{k}" for k in range(60)] + [f"http://b/{k}" for k in range(140)] + ["http://c/q3", "http://c/q39/q1", "http://c"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: r.verdict for r in url_rules.url_verdicts(pages, labels, (), **keys).collect()}
+    assert time.time() - began < 60 and [got[i] for i in range(203)] == ["block"] * 60 + ["allow"] * 140 + ["block", "block", "allow"]
+
+
 def test_given_rules_on_odd_pages(spark):
     schema = "page_id long, url string, host string, token string, items string"
     rows = [(1, "http://a.com/en/" + "x" * 200_000), (1, "http://a.com/en/" + "x" * 200_000), (None, None), (2, ""), (3, "://"), (4, "http://COM/en/?a://b")]
