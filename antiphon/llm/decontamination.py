@@ -1,18 +1,20 @@
-"""Benchmark decontamination: Smith-Waterman alignment of every document with every test item that it may hold.
-
-Rare n-gram seeds join passages to items, and n is 1: a copy in which every other word is changed or followed by another can
-still reach the score, and has no longer n-gram in common with the item, so longer seeds would lose it.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment scores them.
 
 Texts are compared as words of lower-case letters and digits (ASCII capitals are lowered, ASCII marks are white space). A
 passage's score is that of its local alignment with the item (2 for equal words, -1 for different ones and for a gap),
-divided by that of a whole copy. Two bounds leave out what can't reach the least score, and nothing else: so many of an
-item's words must be equal that any set of all but one fewer of its places has one of them (the places whose words are rarest
-in the batch are taken); and words of the passage count 2 at most if the item has them, else -1, so a passage whose best
-run of such counts stays below the least score is none. Which words or grams an edit broke makes no difference, nor how many
-documents hold an item's words.
+divided by that of a whole copy. The result is that of aligning every document with every item:
+
+A seed is a pair of words, one or two places apart, of one or two places apart in the item. Between two matched words that follow
+each other in an alignment lie errors; if at most one, the two are a seed, which starts at an item's word of its own. An alignment of
+m matches and e errors scores 2m - e; were all but g of its m - 1 steps two errors long or more, e would be 2(m - 1 - g) or more,
+and the score 2 + 2g at most. So a score of S takes g = (S - 2) / 2 seeds at least, and of any t of an item's n - 1 starts an alignment
+has t - (n - 1 - g) at least. Document frequencies of all items' seeds are counted over the corpus; each item takes its
+rarest starts, as many as are sure to have one hit, and all others that are rare in themselves, which raises the hits
+that a candidate needs. So long common phrases cost nothing, and whichever words an edit broke makes no difference.
 
-Test items are held by every task in blocks of BLOCK_CHARS characters at most, so their number is not limited: each block is
-one more scan of the documents.
+1. Scan: how many documents hold each seed. 2. Scan: where the chosen seeds stand; joined to the items by seed, and counted
+by document and item. 3. Scan: the words around those hits, for documents with enough of them, which are aligned. A scan
+tests seeds by a bitmap of BITS bits, the same size for any number of items; what passes by chance ends at the join.
 
 Edge cases: null texts are empty. Items of fewer than `gram` words mark nothing (they can't be told from chance); items of
 fewer than `least_words` words need a score of 1. Repeated rows are treated alike, also those of equal doc_id with different
@@ -22,18 +24,23 @@ documents give an empty result; an empty benchmark marks nothing. Other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from antiphon.llm import _common as C
 
 GRAM, LEAST_SCORE, LEAST_WORDS = 3, 0.5, 8
 MATCH, DIFFERENT, GAP = 2, -1, -1
-BLOCK_CHARS = 8_000_000
+#: Bits of a bitmap (a power of 2), and the share of documents, and the number of them, up to which a seed is rare in itself.
+BITS, RARE_SHARE, RARE_DOCS = 26, 1e-4, 10
+#: Pairs of words so many places apart are seeds.
+STEPS = (1, 2)
+_WORD, _PAIR = C.Hashes(31), C.Hashes(37)
 
 
 def _alphabet() -> np.ndarray:
@@ -45,51 +52,120 @@ def _alphabet() -> np.ndarray:
     return out
 
 
-class _Items:
-    """A block of test items as word hashes, with what each needs."""
-
-    def __init__(self, rows: list[tuple[int, str]], gram: int, least_score: float, least_words: int):
-        self.of_word, self.alphabet = C.Hashes(31), _alphabet()
-        words = C.Words(pa.array([t or "" for _, t in rows], pa.string()), self.of_word, alphabet=self.alphabet)
-        long = [k for k, n in enumerate(np.diff(words.rows)) if n >= max(1, gram)]
-        self.ids = [rows[k][0] for k in long]
-        self.words = [words.hash[words.rows[k] : words.rows[k + 1]] for k in long]
-        self.known = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
-        self.n = np.array([len(w) for w in self.words], np.int64)
-        self.least = np.where(self.n >= least_words, least_score, 1.0) * MATCH * self.n
-        #: Places of which an alignment has one at least, and words that it may miss or have too many.
-        self.some = self.n + 1 - np.ceil(self.least / MATCH - 1e-9).astype(np.int64)
-        self.slack = np.ceil(MATCH * self.n - self.least).astype(np.int64)
-        self.item_of = np.repeat(np.arange(len(self.n)), self.n)
-        self.word_of = np.searchsorted(self.known, np.concatenate([*self.words, np.zeros(0, np.uint64)]))
-        self.own = [np.unique(np.searchsorted(self.known, w)) for w in self.words]
-        self.rank = np.arange(len(self.item_of)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-
-    def parse(self, column: pa.Array) -> C.Words:
-        return C.Words(column, self.of_word, alphabet=self.alphabet)
-
-    def passages(self, words: C.Words) -> Iterator[tuple[int, int, int, int]]:
-        """(item, row, begin, end), in words of the batch: passages that hold every alignment that reaches the least score."""
-        if not len(self.known):
-            return
-        at = np.minimum(np.searchsorted(self.known, words.hash), len(self.known) - 1)
-        here = np.flatnonzero(self.known[at] == words.hash)
-        order = np.argsort(at[here], kind="stable")
-        place, row = here[order], words.row_of()
-        edge = np.searchsorted(at[place], np.arange(len(self.known) + 1))
-        held = np.diff(edge)[self.word_of]
-        rarest = np.lexsort((held, self.item_of))[self.rank < self.some[self.item_of]]
-        for i in np.unique(self.item_of[rarest[held[rarest] > 0]]).tolist():
-            hits = np.sort(np.concatenate([place[edge[w] : edge[w + 1]] for w in self.own[i]]))
-            # Texts are set apart, so that no run goes on in the next one for long.
-            gain = (MATCH - GAP) * np.arange(len(hits)) + GAP * (hits + row[hits] * MATCH * self.n[i])
-            ends = hits[gain - np.minimum.accumulate(gain) + MATCH >= self.least[i]]
-            if not len(ends):
+_ALPHABET = _alphabet()
+
+
+def _words(column: pa.Array) -> C.Words:
+    return C.Words(column, _WORD, alphabet=_ALPHABET)
+
+
+def _pairs(words: C.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the batch's words, and the seed (signed) of each pair that begins there."""
+    room, places, seeds = words.room(), [], []
+    for step in STEPS:
+        at = np.flatnonzero(room > step)
+        places.append(at)
+        seeds.append(_PAIR.join(words.hash[at], words.hash[at + step]))
+    return np.concatenate(places), np.concatenate(seeds).view(np.int64)
+
+
+def _of_rows(places: np.ndarray, words: C.Words) -> np.ndarray:
+    return np.searchsorted(words.rows, places, "right") - 1
+
+
+def _items(gram: int, least_score: float, least_words: int):
+    """item_id, n, need (the score), sure (starts of which every alignment has one), reach (words of a document that an alignment spans at most), words, seeds."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = pa.list_(pa.struct([("start", pa.int32()), ("seed", pa.int64())]))
+        for batch in C.chunks(batches):
+            words = _words(batch.column(1))
+            places, pairs = _pairs(words)
+            order = np.argsort(places, kind="stable")
+            places, pairs = places[order], pairs[order]
+            edge = np.searchsorted(places, words.rows)
+            out = {k: [] for k in ("row", "n", "need", "sure", "reach", "words", "seeds")}
+            for row in np.flatnonzero(np.diff(words.rows) >= max(2, gram)).tolist():
+                first, n = int(words.rows[row]), int(words.rows[row + 1] - words.rows[row])
+                need = (least_score if n >= least_words else 1.0) * MATCH * n
+                seeded = math.ceil((need - 2) / 2 - 1e-9)
+                if seeded < 1:
+                    raise ValueError("so low a score can be reached without any seed")
+                own = slice(edge[row], edge[row + 1])
+                values = (row, n, need, n - seeded, math.ceil(3 * n - need), words.hash[first : first + n].tobytes(), [{"start": s - first, "seed": p} for s, p in zip(places[own].tolist(), pairs[own].tolist(), strict=True)])
+                for k, v in zip(out, values, strict=True):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(out["row"], pa.int64())), pa.array(out["n"], pa.int64()), pa.array(out["need"], pa.float64()), pa.array(out["sure"], pa.int64()), pa.array(out["reach"], pa.int64()), pa.array(out["words"], pa.binary()), pa.array(out["seeds"], seed)],
+                names=["item_id", "n", "need", "sure", "reach", "words", "seeds"])
+
+    return items
+
+
+def bitmap(numbers: DataFrame, column: str) -> np.ndarray:
+    """A bit for each of 2^BITS values of a hash's first bits: whether any number begins so. 2^(BITS - 6) rows come to the driver at most."""
+    at = F.shiftrightunsigned(column, 64 - BITS)
+    rows = numbers.select(F.shiftright(at, 6).alias("word"), F.expr("1L").alias("one"), at.alias("at")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, cast(at & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def held(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    at = numbers.view(np.uint64) >> np.uint64(64 - (64 * len(bits)).bit_length() + 1)
+    return ((bits.view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _frequencies(bits: np.ndarray):
+    """seed, df (documents of the batch that hold it), for seeds that the bitmap has."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.chunks(batches):
+            words = _words(batch.column(0))
+            places, seeds = _pairs(words)
+            some = held(bits, seeds)
+            places, seeds = places[some], seeds[some]
+            row = _of_rows(places, words)
+            order = np.lexsort((row, seeds))
+            row, seeds = row[order], seeds[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (seeds[1:] != seeds[:-1])
+            seeds, df = np.unique(seeds[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(df)], ["seed", "df"])
+
+    return count
+
+
+def _hits(bits: np.ndarray):
+    """doc_id, version, seed, place (in the document's words)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.chunks(batches):
+            words = _words(batch.column(1))
+            places, seeds = _pairs(words)
+            some = held(bits, seeds)
+            places, seeds = places[some], seeds[some]
+            row = _of_rows(places, words)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(seeds), pa.array(places - words.rows[row])], ["doc_id", "version", "seed", "place"])
+
+    return find
+
+
+def _word_rows(bits: np.ndarray):
+    """doc_id, version, words of the documents whose version the bitmap has."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            begins = np.maximum(words.rows[row[ends]], ends + 1 - self.n[i] - self.slack[i])
-            new = np.flatnonzero(np.concatenate([[True], begins[1:] > ends[:-1]]))
-            for a, b in zip(new.tolist(), [*(new[1:] - 1).tolist(), len(ends) - 1]):
-                yield i, int(row[ends[a]]), int(begins[a]), int(ends[b]) + 1
+            some = batch.filter(pa.array(held(bits, batch.column(2).to_numpy())))
+            for part in C.chunks(iter([some])):
+                words = _words(part.column(1))
+                own = [words.hash[a:b].tobytes() for a, b in zip(words.rows[:-1], words.rows[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], ["doc_id", "version", "words"])
+
+    return take
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -106,37 +182,70 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _scan(items: _Items):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.chunks(batches):
-            words = items.parse(batch.column(1))
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for i, row, begin, end in items.passages(words):
-                item, passage = items.words[i], words.hash[begin:end]
-                if np.isin(item, passage).sum() * MATCH >= items.least[i]:
-                    score, last = align(item, passage)
-                    if score >= items.least[i]:
-                        best[row, i] = max(best.get((row, i), (0, 0)), (score, begin + last - int(words.rows[row])))
-            out = [(row, items.ids[i], score / (MATCH * int(items.n[i])), end) for (row, i), (score, end) in sorted(best.items())]
-            rows = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64())], names=["doc_id", "version", "item_id", "score", "end_word"])
-
-    return scan
-
-
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc_id, version, first, passage, item_id, n, need, words."""
+    for batch in batches:
+        good, scores, ends = [], [], []
+        columns = [batch.column(i).to_pylist() for i in range(2, 8)]
+        for k, (first, passage, _, n, need, words) in enumerate(zip(*columns, strict=True)):
+            item, passage = np.frombuffer(words, np.uint64), np.frombuffer(passage, np.uint64)
+            if np.isin(item, passage).sum() * MATCH >= need:
+                score, last = align(item, passage)
+                if score >= need:
+                    good.append(k)
+                    scores.append(score / (MATCH * n))
+                    ends.append(first + last)
+        rows = pa.array(good, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(4).take(rows), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())], names=["doc_id", "version", "item_id", "score", "end_word"])
+
+
+def chosen_starts(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """item, hits (that a candidate needs), start, seeds: each item's rarest starts."""
+    seeds = items.select("item", "sure", F.explode("seeds").alias("s")).select("item", "sure", "s.start", "s.seed")
+    df = texts.select("text").mapInArrow(_frequencies(bitmap(seeds, "seed")), "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df"))
+    df = C.keep(df.join(seeds.select("seed").distinct(), "seed", "left_semi"), "seed-frequencies")
+    rare = max(RARE_DOCS, RARE_SHARE * texts.count())
+    starts = seeds.join(df, "seed", "left").groupBy("item", "sure", "start").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"), F.collect_set("seed").alias("seeds"))
+    order = Window.partitionBy("item").orderBy("df", "start")
+    taken = starts.withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("sure")) | (F.col("df") <= rare))
+    return taken.withColumn("hits", F.count("*").over(Window.partitionBy("item")) - F.col("sure") + 1).select("item", "hits", "start", "seeds")
+
+
+def candidates(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, version, item, lo, hi: documents with enough starts of an item, and the places of the first and last of them."""
+    chosen = C.keep(chosen_starts(items, texts), "chosen-seeds")
+    by_seed = chosen.select("item", "hits", "start", F.explode("seeds").alias("seed"))
+    hits = C.keep(texts.mapInArrow(_hits(bitmap(by_seed, "seed")), "doc_id long, version long, seed long, place long"), "seed-hits")
+    n_hits = hits.count()
+    # What the bitmap lets through by chance has no row here; frequent seeds are joined by broadcast.
+    index = by_seed.groupBy("seed").agg(F.collect_list(F.struct("item", "hits", "start")).alias("of"))
+    index = index.join(hits.groupBy("seed").agg(F.count("*").alias("n")), "seed")
+    joined = C.split_join(hits, index, ["seed"], "n", n_hits).select("doc_id", "version", "place", F.explode("of").alias("x"))
+    starts = joined.groupBy("doc_id", "version", "x.item", "x.hits", "x.start").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    found = starts.groupBy("doc_id", "version", "item", "hits").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.where(F.col("n") >= F.col("hits")).select("doc_id", "version", "item", "lo", "hi")
+
+
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least_score: float = LEAST_SCORE, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, version (hash of the text), item_id, score, end_word for every document and item whose score reaches least_score."""
     texts = C.text_frame(docs, F.xxhash64("text").alias("version"))
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-chars * 2 // block_chars)) if chars > block_chars else 1
-    out = None
-    for b in range(n_blocks):
-        rows = tests.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == b).orderBy("item_id", "text").collect()
-        items = _Items([(r.item_id, r.text) for r in rows], gram, least_score, least_words)
-        hits = texts.mapInArrow(_scan(items), "doc_id long, version long, item_id long, score double, end_word long")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    kinds = "item_id long, n long, need double, sure long, reach long, words binary, seeds array<struct<start int, seed long>>"
+    items = C.keep(tests.mapInArrow(_items(gram, least_score, least_words), kinds).withColumn("item", F.monotonically_increasing_id()), "test-items")
+    found = C.keep(candidates(items, texts), "alignment-candidates")
+    n_found = found.count()
+    words = texts.mapInArrow(_word_rows(bitmap(found.select("version"), "version")), "doc_id long, version long, words binary").dropDuplicates(["doc_id", "version"])
+    reach = items.select("item", "reach")
+    counts = found.groupBy("item").agg(F.count("*").alias("times"))
+    placed = C.split_join(found, reach.join(counts, "item"), ["item"], "times", n_found).alias("f")
+    own = words.alias("w")
+    both = placed.join(own, F.col("f.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("f.version") == F.col("w.version")))
+    first = F.greatest(F.col("f.lo") - F.col("f.reach"), F.lit(0))
+    passage = F.substring(F.col("w.words"), (first * 8 + 1).cast("int"), ((F.col("f.hi") + F.col("f.reach") + 3 - first) * 8).cast("int"))
+    passages = both.select("f.doc_id", "f.version", F.col("f.item").alias("item"), first.alias("first"), passage.alias("passage"))
+    sized = items.select("item", "item_id", "n", "need", F.col("words").alias("item_words")).join(counts, "item")
+    whole = C.split_join(passages, sized, ["item"], "times", n_found).select("doc_id", "version", "first", "passage", "item_id", "n", "need", "item_words")
+    return whole.mapInArrow(_align, "doc_id long, version long, item_id long, score double, end_word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:

@@ -267,9 +267,8 @@ def test_decontamination(spark):
     rows = [(1, noise(50)), (2, noise(20) + item + noise(20)), (3, noise(5) + edited + noise(5)), (4, item[:6] + noise(40)), (5, [x.upper() + "," for x in item])]
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     bench = spark.createDataFrame([(9, " ".join(item)), (8, "unrelated words that no document has at all")], "item_id long, text string")
-    for block in (8_000_000, 40):
-        got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench, block_chars=block).collect()}
-        assert {d for d, r in got.items() if r.contaminated} == {2, 3, 5} and got[2].score == 1 and got[3].item_id == 9
+    got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench).collect()}
+    assert {d for d, r in got.items() if r.contaminated} == {2, 3, 5} and got[2].score == 1 and got[3].item_id == 9
     assert {r.doc_id for r in decontamination.clean_documents(docs, bench).collect()} == {1, 4}
 
 
@@ -296,6 +295,40 @@ def test_decontamination_of_edited_copies(spark):
     assert got == want and len({d for d, _ in want}) > 500
 
 
+def test_chosen_seeds_are_rare_and_enough(spark, monkeypatch):
+    """Whatever is edited, an alignment that reaches the score has as many of the chosen starts as a candidate needs; of frequent seeds only as many are taken as must be."""
+    monkeypatch.setattr(decontamination, "RARE_DOCS", 2)
+    draw = random.Random(4)
+    item = [f"r{i}" for i in range(12)] + [f"f{i}" for i in range(12)]
+    rows = [" ".join(item[12:]) for _ in range(50)] + [" ".join(item)]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    kinds = "item_id long, n long, need double, sure long, reach long, words binary, seeds array<struct<start int, seed long>>"
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").mapInArrow(decontamination._items(3, 0.5, 8), kinds).selectExpr("*", "0L AS item")
+    starts = {r.start: (r.hits, set(r.seeds)) for r in decontamination.chosen_starts(items, texts).collect()}
+    need = {h for h, _ in starts.values()}.pop()
+    # 24 words need 11 steps with a seed, so 13 starts are sure to have one; 12 are rare, and the other one is the rarest of the rest.
+    assert set(range(12)) <= set(starts) and len(starts) == 13 and need == 1
+    code = {x: i for i, x in enumerate(item)}
+    for _ in range(3000):
+        copy = []
+        for x in item:
+            copy += draw.choice([[x], [x], [x], [], ["new"], [x, "new"], [x, "new", "more"]])
+        numbers = np.array([code.get(x, -1) for x in copy])
+        if len(copy) and decontamination.align(np.arange(24), numbers)[0] >= 24:
+            near = {(a, b) for j in range(len(copy)) for step in (1, 2) if j + step < len(copy) for a, b in [(copy[j], copy[j + step])]}
+            held = {s for s in starts if any((item[s], item[s + d]) in near for d in (1, 2) if s + d < 24)}
+            assert len(held) >= need
+
+
+def test_seeds_are_joined_whatever_the_bitmap_lets_through(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BITS", 20)
+    draw = random.Random(7)
+    items = [(i, " ".join(f"w{draw.randrange(400)}" for _ in range(draw.randint(8, 30)))) for i in range(3000)]
+    docs = [(i, " ".join(f"w{draw.randrange(400)}" for _ in range(200)) + " " + (items[i * 7][1] if i % 2 else "")) for i in range(60)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("score = 1").collect()}
+    assert {(i, i * 7) for i in range(60) if i % 2} <= got
+
+
 def test_align():
     a = np.array([1, 2, 3, 4, 5])
     assert decontamination.align(a, np.array([9, 1, 2, 3, 4, 5, 9])) == (10, 6)
