@@ -12,6 +12,7 @@ from antiphon.operators import journals as J
 from antiphon.operators import scans as X
 from antiphon.plans.journals import _ATTEMPTS, _attempts
 from antiphon.plans.registry import Tables, query
+from antiphon.sources.safetensors import WIDTHS
 
 
 @query("""WITH g AS (SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY lang)
@@ -182,18 +183,47 @@ def n10_export_gate(t: Tables) -> DataFrame:
     return A.failed_rules(m, ["l_suppkey"], {k: F.expr(x) for k, x in _GATE.items()})
 
 
-_TENSORS = "t AS (SELECT 'layers.' || l || '.' || n AS name, CASE WHEN n IN ('A_log', 'norm') AND (l + 1) % 4 <> 0 THEN 'F32' ELSE 'BF16' END AS was, 'BF16' AS now, l, n FROM range(0, 32) a(l), (VALUES ('A_log'), ('norm'), ('proj')) v(n))"
+_SPANS = "s AS (SELECT vec_id, label, 256 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) + CASE WHEN vec_id % 50 = 15 THEN 4 ELSE 0 END AS b, 256 * row_number() OVER (PARTITION BY label ORDER BY vec_id) AS e FROM embeddings)"
 
 
-@query(f"WITH {_TENSORS} SELECT name, CASE WHEN l = 5 AND n = 'norm' THEN 'expected change is missing' ELSE 'unexpected change' END AS problem FROM t WHERE (l = 5 AND n = 'norm') OR (l = 7 AND n = 'proj')")
+@query(f"""WITH {_SPANS}, n AS (SELECT label, count(*) AS n, count_if(vec_id % 50 = 15) AS gaps FROM s GROUP BY label)
+SELECT 'part-' || label AS shard, 'v' || vec_id AS tensor, unnest(CASE vec_id % 50 WHEN 7 THEN ['unknown type'] WHEN 9 THEN ['span and shape differ'] WHEN 11 THEN ['not in the index'] WHEN 13 THEN ['in another shard'] ELSE ['span and shape differ', 'gap before it'] END) AS problem FROM s WHERE vec_id % 50 IN (7, 9, 11, 13, 15)
+UNION ALL SELECT 'part-' || label, NULL, 'tensor bytes differ' FROM n WHERE gaps > 0 UNION ALL SELECT 'part-' || label, NULL, 'file bytes differ' FROM n WHERE label = 3 UNION ALL SELECT 'part-' || label, 'bias' || label, 'not in its shard' FROM n""")
 def n11_tensor_precision(t: Tables) -> DataFrame:
-    """Changes of tensors' types must be exactly a generated set: two vectors of every layer but each fourth."""
-    layers = t("region").sparkSession.range(32).select(F.col("id").alias("l"), F.explode(F.array(*map(F.lit, ("A_log", "norm", "proj")))).alias("n"))
-    small = F.col("n").isin("A_log", "norm") & ((F.col("l") + 1) % 4 != 0)
-    name = F.concat(F.lit("layers."), F.col("l").cast("string"), F.lit("."), F.col("n")).alias("name")
-    before = layers.select(name, F.when(small | ((F.col("l") == 7) & (F.col("n") == "proj")), "F32").otherwise("BF16").alias("dtype"))
-    after = layers.select(name, F.when((F.col("l") == 5) & (F.col("n") == "norm"), "F32").otherwise("BF16").alias("dtype"))
-    return A.change_problems(before, after, "name", "dtype", layers.where(small).select(name))
+    """Inventory of tensors over headers, here a tensor for each vector and a shard for each label, in which some types, shapes, spans, sums and index entries are wrong."""
+    own = K.ranked(t("embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("n")), "label", "vec_id")
+    kind, shard = F.col("vec_id") % 50, F.concat(F.lit("part-"), F.col("label").cast("string"))
+    width, name = F.col("n") * 4, F.concat(F.lit("v"), F.col("vec_id").cast("string"))
+    begin = width * (F.col("rn") - 1) + F.when(kind == 15, 4).otherwise(0)
+    shape = F.when(kind == 9, F.array(F.lit(3).cast("long"), F.col("n"))).otherwise(F.array(F.col("n")))
+    tensors = own.select(shard.alias("shard"), name.alias("tensor"), F.when(kind == 7, "X9").otherwise("F32").alias("dtype"), shape.alias("shape"), begin.alias("begin"), (width * F.col("rn")).alias("end"))
+    values = own.groupBy("label").agg(F.sum(width).alias("tensor_bytes"))
+    shards = values.select(shard.alias("shard"), F.lit(100).cast("long").alias("header_bytes"), "tensor_bytes", (F.col("tensor_bytes") + F.when(F.col("label") == 3, 101).otherwise(100)).alias("file_bytes"), F.sha2(shard, 256).alias("header_sha256"))
+    told = F.when(kind == 13, F.concat(F.lit("part-"), (F.col("label") + 1).cast("string"))).otherwise(shard)
+    index = own.where(kind != 11).select(name.alias("tensor"), told.alias("shard")).union(values.select(F.concat(F.lit("bias"), F.col("label").cast("string")), shard))
+    return A.tensor_problems(tensors, shards, index, WIDTHS)
+
+
+@query("""SELECT 'v' || vec_id AS tensor, CASE WHEN vec_id % 40 = 5 THEN 'expected change is missing' WHEN vec_id % 40 = 20 THEN 'another change than expected' ELSE 'unexpected change' END AS problem FROM embeddings WHERE vec_id % 40 IN (5, 20) OR vec_id % 40 = 33
+UNION ALL SELECT 'w' || label, 'expected tensor is missing' FROM embeddings GROUP BY label""")
+def n11_exact_conversions(t: Tables) -> DataFrame:
+    """Tensors' types before and after, of which exactly a stated set (here each fifth) goes from 32 to 16 bits."""
+    e, k = t("embeddings"), F.col("vec_id") % 40
+    name, n = F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("tensor"), F.size("embedding").cast("long")
+    small = (((k % 5 == 0) & (k != 5)) | (k == 33)) & (k != 20)
+    before = e.select(name, F.lit("F32").alias("dtype"), F.array(n).alias("shape"), (n * 4).alias("bytes"))
+    after = e.select(name, F.when(k == 20, "F16").when(small, "BF16").otherwise("F32").alias("dtype"), F.array(n).alias("shape"), F.when(small | (k == 20), n * 2).otherwise(n * 4).alias("bytes"))
+    expected = e.where(k % 5 == 0).select(name, F.array(n).alias("shape"), F.lit("F32").alias("old"), F.lit("BF16").alias("new"), (n * 2).alias("reduction"))
+    more = e.select(F.concat(F.lit("w"), F.col("label").cast("string")), F.array(F.lit(1).cast("long")), F.lit("F32"), F.lit("BF16"), F.lit(2).cast("long")).distinct()
+    return A.conversion_problems(before, after, expected.union(more))
+
+
+@query("""WITH RECURSIVE leaf AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, sha256('0:' || o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS h, count(*) OVER () AS n FROM orders),
+lv(pos, h, n) AS (SELECT pos, h, n FROM leaf UNION ALL SELECT pos // 256, sha256('1:' || string_agg(h, '' ORDER BY pos)), max(n + 255) // 256 FROM lv WHERE n > 1 GROUP BY pos // 256)
+SELECT h AS fingerprint, (SELECT count(*) FROM orders)::BIGINT AS n FROM lv WHERE n = 1""")
+def e18_hash_tree(t: Tables) -> DataFrame:
+    """A fingerprint of a whole table in its order that no task makes alone: the root of a tree of hashes."""
+    return A.merkle_fingerprint(t("orders"), F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
 
 
 _SNAPSHOT = "count(*) AS present, count_if(event_type = 'purchase') AS valid, count_if(event_type = 'error') AS eligible, count_if(event_type NOT IN ('purchase', 'error')) AS other"
@@ -240,12 +270,14 @@ def n14_batch_provenance(t: Tables) -> DataFrame:
     return A.batch_provenance(receipts, records, "k", ["priority", "batch"], "told")
 
 
-@query("SELECT name, problem FROM (VALUES ('notes.txt', 'not allowed'), ('LICENSE', 'missing')) v(name, problem)")
+@query("""SELECT 'doc-' || doc_id || '.json' AS name, 'not allowed' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)
+UNION ALL SELECT 'item-' || item_id || '.json', 'missing' FROM benchmark WHERE item_id % 2 = 0""")
 def n15_allowlist(t: Tables) -> DataFrame:
-    """Files that may not be published, and such that are missing."""
-    spark = t("region").sparkSession
-    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
-    return A.allowlist_problems(names("README.md", "manifest.json", "notes.txt"), names("README.md", "manifest.json", "LICENSE"), "name")
+    """Files that may not be published (documents without a label), and such that are missing (half of the test items')."""
+    file = lambda kind, key: F.concat(F.lit(f"{kind}-"), F.col(key).cast("string"), F.lit(".json")).alias("name")
+    items = t("benchmark").select(file("item", "item_id"), "item_id")
+    found = t("documents").select(file("doc", "doc_id")).union(items.where("item_id % 2 = 1").select("name"))
+    return A.allowlist_problems(found, t("labels").where("quality IS NOT NULL").select(file("doc", "doc_id")).union(items.select("name")), "name")
 
 
 _CUT = "SELECT doc_id, n, i::BIGINT AS block, i * 4096 AS pos, least(4096, n - i * 4096) AS bytes FROM (SELECT doc_id, length(text) AS n, unnest(range(0, (length(text) + 4095) // 4096)) AS i FROM documents)"

@@ -44,9 +44,15 @@ def d01_condition_grid(t: Tables) -> DataFrame:
     return M.condition_grid(t("region").select(F.col("r_name").alias("trait")), pairs, 20261004).select("response_id", "contrast_id", "seed")
 
 
-@query("SELECT 'pre_l' || lpad(l::VARCHAR, 2, '0') || '_p' || p AS candidate_id, l::BIGINT AS layer, p::BIGINT AS position FROM range(0, 26) a(l), range(-5, 0) b(p) WHERE l < 0.8 * 32")
+@query("""WITH g AS (SELECT l::BIGINT AS layer, p::BIGINT AS position FROM range(0, 1000) a(l), range(-5, 0) b(p) WHERE l < 0.8 * (SELECT max(label) + 1 FROM embeddings)),
+n AS (SELECT label AS layer, -1 - vec_id % 5 AS position, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY ALL)
+SELECT 'pre_l' || lpad(layer::VARCHAR, 2, '0') || '_p' || position AS candidate_id, layer, position, coalesce(n, 0)::BIGINT AS vectors, first AS first_vector FROM g LEFT JOIN n USING (layer, position)""")
 def d02_candidate_grid(t: Tables) -> DataFrame:
-    return M.candidate_grid(t("region").sparkSession, layers=32, positions=5)
+    """Candidates of the layers (labels) below a share of the depth, at each position (by id), with the vectors that there are for them."""
+    e = t("embeddings")
+    grid = M.candidate_grid(e.sparkSession, layers=e.agg(F.max("label") + 1).first()[0] or 0, positions=5)
+    n = e.groupBy(F.col("label").cast("long").alias("layer"), (-1 - F.col("vec_id") % 5).alias("position")).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_vector"))
+    return grid.join(n, ["layer", "position"], "left").select("candidate_id", "layer", "position", F.coalesce("n", F.lit(0)).alias("vectors"), "first_vector")
 
 
 @query("""

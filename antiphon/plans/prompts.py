@@ -46,16 +46,21 @@ def b08_without_key(t: Tables) -> DataFrame:
 _FORMS = {"plain": "{}", "bold": "**{}**", "ticks": "`{}`", "fence": "```text\n{}\n```", "spoken": "I think it is {}", "blank": " "}
 
 
-def _probes_sql() -> str:
-    return ", ".join(f"({_text(p)}, '{form}', {str(form not in ('spoken', 'blank')).lower()})" for p, _, _, _ in PROBES for form in _FORMS)
-
-
-@query(f"SELECT probe_id, form, passes FROM (VALUES {_probes_sql()}) v(probe_id, form, passes)")
+@query(f"""WITH f AS (SELECT conv_id, turn, [{', '.join(_text(f) for f in _FORMS)}][1 + turn % {len(_FORMS)}] AS form, text FROM conversations)
+SELECT conv_id, turn, form, form NOT IN ('spoken', 'blank') AND NOT (form = 'plain' AND turn >= {len(_FORMS)}) AS passes FROM f""")
 def b09_capability_probes(t: Tables) -> DataFrame:
-    """Twelve fixed probes; each form of the right answer alone passes, also in one wrapper, but not in a sentence."""
-    rows = [(p, form, pattern, shape.format(answer)) for p, _, pattern, answer in PROBES for form, shape in _FORMS.items()]
-    answers = t("region").sparkSession.createDataFrame(rows, "probe_id string, form string, pattern string, answer string")
-    return answers.select("probe_id", "form", T.answer_matches(F.col("answer"), F.col("pattern")).alias("passes"))
+    """Each conversation has one of twelve fixed probes. A right answer passes alone and in one wrapper, but not in a sentence (here with the turn's own text), nor with that text behind it."""
+    at = (F.col("conv_id") % len(PROBES)).cast("int")
+    answer, pattern = (F.get(F.array(*(F.lit(p[i]) for p in PROBES)), at) for i in (3, 2))
+    form = F.get(F.array(*map(F.lit, _FORMS)), (F.col("turn") % len(_FORMS)).cast("int"))
+    said = F.lit(None).cast("string")
+    for name, shape in _FORMS.items():
+        before, _, after = shape.partition("{}")
+        own = F.concat(F.lit(before), answer, F.lit(after)) if "{}" in shape else F.lit(shape)
+        said = F.when(F.col("form") == name, own).otherwise(said)
+    said = F.when((F.col("form") == "spoken") | ((F.col("form") == "plain") & (F.col("turn") >= len(_FORMS))), F.concat(said, F.lit(" "), "text")).otherwise(said)
+    rows = t("conversations").withColumn("form", form)
+    return rows.select("conv_id", "turn", "form", T.answer_matches(said, pattern).alias("passes"))
 
 
 def _styles_sql() -> str:

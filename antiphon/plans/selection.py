@@ -211,10 +211,15 @@ def k12_cosine_and_tolerance(t: Tables) -> DataFrame:
     return _neighbours(t).select("vec_id", F.round(F.abs(V.dot(V.unit(r), V.unit(c))), 8).alias("cosine"), V.close(V.norm(r), V.norm(c), 0.01).alias("norms_close"))
 
 
-@query("SELECT i::BIGINT AS corner, printf('%.2f', cos(-pi() / 2 + i * pi() / 3) * 50 + 60) AS x, printf('%.2f', sin(-pi() / 2 + i * pi() / 3) * 50 + 60) AS y FROM range(6) r(i)")
+@query("""WITH l AS (SELECT vec_id, i - 1 AS corner, greatest(-2, least(2, floor(embedding[i]::DOUBLE * 16))) AS level FROM embeddings, range(1, 7) r(i))
+SELECT vec_id, corner::BIGINT AS corner, printf('%.2f', 215 + cos(-pi() / 2 + corner * pi() / 3) * 131.371::DOUBLE * (0.25 + (level + 2) * 0.1875)) AS x, printf('%.2f', 188 + sin(-pi() / 2 + corner * pi() / 3) * 131.371::DOUBLE * (0.25 + (level + 2) * 0.1875)) AS y FROM l""")
 def j22_polar_points(t: Tables) -> DataFrame:
-    angle = -F.pi() / 2 + F.col("id") * F.pi() / 3
-    return t("region").sparkSession.range(6).select(F.col("id").alias("corner"), F.format_string("%.2f", F.cos(angle) * 50 + 60).alias("x"), F.format_string("%.2f", F.sin(angle) * 50 + 60).alias("y"))
+    """Corners of each vector's profile: its first six values as levels, on rays of a hexagon."""
+    level = lambda x: F.greatest(F.lit(-2), F.least(F.lit(2), F.floor(x * 16)))
+    levels = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 6), level)
+    rows = t("embeddings").select("vec_id", F.posexplode(levels).alias("at", "level"))
+    angle, radius = -F.pi() / 2 + F.col("at") * F.pi() / 3, 131.371 * (0.25 + (F.col("level") + 2) * 0.1875)
+    return rows.select("vec_id", F.col("at").cast("long").alias("corner"), F.format_string("%.2f", F.cos(angle) * radius + 215).alias("x"), F.format_string("%.2f", F.sin(angle) * radius + 188).alias("y"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size >= 38 THEN 'strong' WHEN p_size >= 18 THEN 'moderate' ELSE 'slight' END AS strength, [-0.25, -0.125, 0, 0.125, 0.25][1 + p_size % 5]::DOUBLE AS coefficient FROM part")

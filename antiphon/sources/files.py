@@ -7,6 +7,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from antiphon.sources.blocks import FileBlocks
+from antiphon.sources.lines import SHARE, FileLines
 
 # Fixed value: the columns of a results file, in order.
 RESULT_COLUMNS = ("prompt_id", "instruction", "category", "response", "heuristic_refusal", "refusal_matches", "generated_tokens", "finish_reason", "model_id", "source_revision", "thinking", "max_new_tokens", "run_id", "status")
@@ -62,21 +64,19 @@ def any_files(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False, key: str | None = None) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict: bool = False, key: str | None = None, share: int = SHARE) -> DataFrame:
     """Rows of JSON lines. Blank lines are skipped and a file's last line may be torn if nothing ends it; any other bad line raises. With strict, blank and torn lines raise, too.
 
-    Files are cut into lines whole, as only then it's known which line is the last: a journal is one sequential writer's file.
-    A path without files has no rows. With `key`, a row without that text is an error as well.
+    A file is read in byte ranges of `share` bytes by as many tasks; the one that has the file's end knows whether its last line
+    is ended. A path without files has no rows. With `key`, a row without that text is an error as well.
     """
-    if not any_files(spark, path):
-        return spark.createDataFrame([], schema)
-    lines = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
-    numbered = lines.select("path", F.posexplode(F.split("t", "\n")).alias("at", "line"), F.size(F.split("t", "\n")).alias("n"))
-    last = F.col("at") == F.col("n") - 1
-    parsed = numbered.where(~(last & (F.col("line") == ""))).withColumn("r", F.from_json("line", StructType([*schema.fields, StructField("_bad", StringType())]), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    spark.dataSource.register(FileLines)
+    lines = spark.read.format("file_lines").option("share", share).load(path)
+    parsed = lines.withColumn("r", F.from_json("line", StructType([*schema.fields, StructField("_bad", StringType())]), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
     blank, bad = F.trim("line") == "", F.col("r").isNull() | F.col("r._bad").isNotNull()
-    allowed = F.lit(False) if strict else blank | (last & bad)
-    checked = parsed.withColumn("ok", F.when(~(blank | bad), F.lit(True)).when(allowed, F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("bad line "), F.col("at").cast("string"), F.lit(" of "), "path")).cast("boolean")))
+    allowed = F.lit(False) if strict else blank | (F.col("torn") & bad)
+    told = F.concat(F.lit("bad line at byte "), F.col("at").cast("string"), F.lit(" of "), "path")
+    checked = parsed.withColumn("ok", F.when(~(blank | bad), F.lit(True)).when(allowed, F.lit(False)).otherwise(F.raise_error(told).cast("boolean")))
     rows = checked.where("ok").select(*(F.col(f"r.{f.name}") for f in schema))
     if key is None:
         return rows
@@ -84,12 +84,26 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType, strict:
     return rows.where(F.when(named, F.lit(True)).otherwise(F.raise_error(F.lit(f"a row without {key}")).cast("boolean")))
 
 
+def _tail(f: BinaryIO, step: int = 1 << 16) -> tuple[int, bytes]:
+    """Where a file's last line begins, and what stands there: read from the end, no more than that line."""
+    at = f.seek(0, os.SEEK_END)
+    parts: list[bytes] = []
+    while at:
+        size = min(step, at)
+        at -= size
+        f.seek(at)
+        data = f.read(size)
+        cut = data.rfind(b"\n")
+        if cut >= 0:
+            return at + cut + 1, b"".join([data[cut + 1 :], *reversed(parts)])
+        parts.append(data)
+    return 0, b"".join(reversed(parts))
+
+
 def mended(path: str) -> int:
     """Ends a journal's last line: with a new line if it is whole, else by cutting it off. Returns how many bytes were cut."""
     with open(path, "rb+") as f:
-        data = f.read()
-        begin = data.rfind(b"\n") + 1
-        tail = data[begin:]
+        begin, tail = _tail(f)
         if not tail.strip():
             return 0
         try:
@@ -97,6 +111,7 @@ def mended(path: str) -> int:
         except ValueError:
             f.truncate(begin)
             return len(tail)
+        f.seek(0, os.SEEK_END)
         f.write(b"\n")
         return 0
 

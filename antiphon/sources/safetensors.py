@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -48,6 +50,21 @@ def read_header(path: str) -> tuple[int, dict[str, dict]]:
     return 8 + size, tensors
 
 
+@contextlib.contextmanager
+def whole(path: str) -> Iterator[BinaryIO]:
+    """A file that is there whole or not at all, and on disk when this returns: under a draft's name of its own first, so that two writers don't meet."""
+    draft = f"{path}.{uuid.uuid4().hex}.draft"
+    try:
+        with open(draft, "xb") as f:
+            yield f
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(draft, path)
+    finally:
+        if os.path.exists(draft):
+            os.unlink(draft)
+
+
 def write_tensors(path: str, tensors: dict[str, np.ndarray]) -> None:
     """32-bit floats, under another name first."""
     header, at = {}, 0
@@ -55,24 +72,28 @@ def write_tensors(path: str, tensors: dict[str, np.ndarray]) -> None:
         header[name] = {"dtype": "F32", "shape": list(x.shape), "data_offsets": [at, at + 4 * x.size]}
         at += 4 * x.size
     text = json.dumps(header).encode()
-    with open(f"{path}.tmp", "wb") as f:
+    with whole(path) as f:
         f.write(struct.pack("<Q", len(text)) + text)
         for x in tensors.values():
             f.write(np.ascontiguousarray(x, "<f4").tobytes())
-    os.replace(f"{path}.tmp", path)
 
 
 def copy_missing(source: list[str], export: list[str], path: str, prefix: str) -> list[str]:
-    """Writes the tensors named prefix... that source files have and exported ones lack, byte by byte, as one more file; their names."""
-    have = {name for p in export for name in read_header(p)[1]}
-    wanted = [(name, p, begin, t) for p in source for begin, tensors in [read_header(p)] for name, t in sorted(tensors.items()) if name.startswith(prefix) and name not in have]
+    """Writes the tensors named prefix... that source files have and exported ones lack, byte by byte, as one more file; their names. Raises where a tensor that both have differs in type or shape, and where nothing is missing."""
+    have = {name: t for p in export for name, t in read_header(p)[1].items()}
+    headers = [(p, *read_header(p)) for p in source]
+    if other := sorted(n for _, _, tensors in headers for n, t in tensors.items() if n in have and any(t[k] != have[n][k] for k in ("dtype", "shape"))):
+        raise BadDocument(f"{other[0]} has another type or shape in the export")
+    wanted = [(name, p, begin, t) for p, begin, tensors in headers for name, t in sorted(tensors.items()) if name.startswith(prefix) and name not in have]
+    if not wanted:
+        raise BadDocument(f"no tensor {prefix}... is missing")
     header, at = {}, 0
     for name, _, _, t in wanted:
         size = t["data_offsets"][1] - t["data_offsets"][0]
         header[name] = {"dtype": t["dtype"], "shape": t["shape"], "data_offsets": [at, at + size]}
         at += size
     text = json.dumps(header).encode()
-    with open(f"{path}.tmp", "wb") as out:
+    with whole(path) as out:
         out.write(struct.pack("<Q", len(text)) + text)
         for _, p, begin, t in wanted:
             with opened(p) as f:
@@ -80,9 +101,10 @@ def copy_missing(source: list[str], export: list[str], path: str, prefix: str) -
                 left = t["data_offsets"][1] - t["data_offsets"][0]
                 while left:
                     part = f.read(min(left, 8 << 20))
+                    if not part:
+                        raise BadDocument(f"{p} is shorter than its header says")
                     out.write(part)
                     left -= len(part)
-    os.replace(f"{path}.tmp", path)
     return [name for name, *_ in wanted]
 
 
