@@ -1,15 +1,15 @@
 """Personal data by weak supervision.
 
 Base spans come from four strict patterns (email, ip, card, phone) and always stay. Further candidates come from loose
-patterns: long mixed strings (secret), numbers in groups without a plus sign (loose_phone), names of the form "mail at
-domain dot com" (loose_email). Three kinds of labelers vote on each candidate (1 personal, -1 not, 0 abstains): a regex, a
+patterns: long mixed strings (secret), numbers in groups without a plus sign (loose_phone), addresses written out like "mail (at)
+domain dot com" (loose_email), account numbers whose checksum fits (iban), and numbers grouped like national ones (national). Three kinds of labelers vote on each candidate (1 personal, -1 not, 0 abstains): a regex, a
 gazetteer of words before it, and its context and shape. Expectation-maximisation estimates the labelers' reliabilities from
 the counts of vote patterns over all documents; its posteriors are the soft labels on which the final span classifier, a
 logistic regression over features of the span, is trained. A candidate becomes a span if the classifier gives it at least
 `least`. Vote patterns and feature combinations are few (the bounds are VOTES and FEATURES), so both fits work on counts, and
 every candidate of the corpus takes part in them.
 
-Edge cases: a null text is empty. Candidates that overlap a base span are dropped; of overlapping ones the first stays. Texts
+Edge cases: a null text is empty. Candidates that overlap a base span are dropped; of overlapping ones the first stays, of those the longest. Texts
 without spans have the hash of the empty string and empty spans. Repeated rows are treated alike. An empty table gives an
 empty result. Other columns are left out.
 """
@@ -30,26 +30,43 @@ from pyspark.sql import functions as F
 from antiphon.llm import _common as C
 
 KINDS = ("email", "ip", "card", "phone")
-LOOSE = ("loose_email", "loose_phone", "secret")
+LOOSE = ("loose_email", "loose_phone", "secret", "iban", "national")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
-_LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")
-_LOOSE_EMAIL = re.compile(r"\b[A-Za-z0-9_]{2,32} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{2,32} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,8}\b")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+_LOOSE_PHONE = re.compile(
+    r"(?<![0-9+(.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])"
+    r"|(?<![0-9A-Za-z+(./-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})[ /-][0-9]{5,9}(?![0-9.-])"
+)
+#: What stands for @ and for a point, written out; " at " and " dot " only count together.
+_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?| at ", re.I)
+_POINT = r" ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot "
+_POINT_BEFORE = re.compile(f"(?:{_POINT})\\Z", re.I)
+_HOST = re.compile(rf"[A-Z0-9-]++(?:(?:{_POINT}|\.)[A-Z0-9-]++)++", re.I)
+_HAS_POINT = re.compile(_POINT, re.I)
+_LAST_LABEL = re.compile(r"[A-Za-z]{2,}\Z")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_NATIONAL = re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+#: How far before a long string the address is looked for that it's a part of.
+_NEAR = 2_048
 # Words that announce each kind.
 GAZETTEER = {
-    "secret": "token secret key apikey api_key password passwd pwd bearer credential auth".split(),
-    "loose_phone": "phone tel telephone call mobile cell fax telefon teléfono téléphone".split(),
-    "loose_email": "email mail contact write reach correo courriel".split(),
+    "secret": "token secret key apikey api_key password passwd pwd bearer credential credentials auth authorization access private passwort kennwort schlüssel geheim contraseña clave secreto jeton clé motdepasse".split(),
+    "loose_phone": "phone tel telephone call calls called mobile cell fax dial ring sms whatsapp number telefon handy rufnummer anrufen durchwahl nummer teléfono móvil llamar llame número téléphone portable appeler appelez numéro".split(),
+    "loose_email": "email mail contact write reach address send kontakt schreiben adresse correo escribir escriba dirección courriel écrire écrivez adresse contacter".split(),
+    "iban": "iban account bank transfer konto kontonummer überweisung cuenta transferencia compte virement".split(),
+    "national": "ssn social security insurance id identity number ausweis versicherung steuernummer seguro identidad sécurité sociale".split(),
 }
 _STRICT = {
     "secret": re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}", re.I),
-    "loose_phone": re.compile(r"\([0-9]{3}\)[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-]555[ .-][0-9]{4}"),
-    "loose_email": re.compile(r".*(?:\(at\)|\[at\]).*(?:\(dot\)|\[dot\]).*"),
+    "loose_phone": re.compile(r"\([0-9]{3}\)[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-]555[ .-][0-9]{4}|\(0[0-9]{1,4}\)[ /-][0-9]{5,9}"),
+    "loose_email": re.compile(r".*[(\[{]at[)\]}].*[(\[{]dot[)\]}].*", re.I),
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]+"),
+    "national": re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"),
 }
 LABELERS = ("regex", "gazetteer", "context", "shape")
 VOTES = 3 ** len(LABELERS) * len(LOOSE)
@@ -99,17 +116,53 @@ def _entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
 
 
+def iban(text: str) -> bool:
+    """Whether the checksum fits: of the letters as numbers, with the first four at the end, 1 modulo 97."""
+    bare = text.replace(" ", "")
+    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def written_out(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose @ is written out, with all labels of their names: linear, from each sign to both sides."""
+    done = 0
+    for m in _AT.finditer(text):
+        begin = m.start()
+        while True:
+            here = begin
+            while begin > done and text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "._%+-"):
+                begin -= 1
+            point = _POINT_BEFORE.search(text[max(done, begin - 7) : begin]) if begin < here else None
+            if not point or point.end() - point.start() >= begin - done or not text[begin - (point.end() - point.start()) - 1].isalnum():
+                break
+            begin -= point.end() - point.start()
+        while begin < m.start() and text[begin] in ".-":
+            begin += 1
+        host = _HOST.match(text, m.end())
+        if begin == m.start() or not host or not _LAST_LABEL.search(host.group()):
+            continue
+        if m.group().strip().lower() == "at" and not _HAS_POINT.search(host.group()):
+            continue
+        done = host.end()
+        yield begin, done
+
+
+def _in_address(text: str, begin: int) -> bool:
+    """Whether what begins there is part of an url, but not a value in it."""
+    before = text[max(0, begin - _NEAR) : begin]
+    return bool(before) and not before[-1].isspace() and before[-1] != "=" and "://" in before.split()[-1]
+
+
 def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(kind, begin, end, votes, features) of candidates that overlap neither base spans nor each other."""
-    found = [(m.start(), m.end(), 2) for m in _SECRET.finditer(text)]
-    if re.search("[0-9]{3}[ .-][0-9]", text):
+    found = [(m.start(), m.end(), 2) for m in _SECRET.finditer(text) if not _in_address(text, m.start())]
+    if re.search("[0-9]", text):
         found += [(m.start(), m.end(), 1) for m in _LOOSE_PHONE.finditer(text)]
-    # Every match has one of these.
-    if "(dot)" in text or "[dot]" in text or " dot " in text:
-        found += [(m.start(), m.end(), 0) for m in _LOOSE_EMAIL.finditer(text)]
+        found += [(m.start(), m.end(), 3) for m in _IBAN.finditer(text) if iban(m.group())]
+        found += [(m.start(), m.end(), 4) for m in _NATIONAL.finditer(text)]
+    found += [(b, e, 0) for b, e in written_out(text)]
     busy = sorted((b, e) for _, b, e in taken)
     out, at, done = [], 0, 0
-    for begin, end, kind in sorted(found):
+    for begin, end, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2] != LOOSE.index("iban"), x[2])):
         while at < len(busy) and busy[at][1] <= begin:
             at += 1
         if begin < done or at < len(busy) and busy[at][0] < end:
@@ -133,7 +186,7 @@ def _look(text: str, begin: int, end: int, kind: int) -> tuple[int, int]:
         1 if _STRICT[name].fullmatch(span) else 0,
         1 if announced else 0,
         1 if sets or quoted and announced else -1 if last == "/" or after in ("/", "|") else 0,
-        (1 if entropy >= 3 and digits and letters else -1 if entropy < 2.2 or not digits else 0) if name == "secret" else (1 if distinct >= 6 else -1 if distinct <= 3 else 0),
+        (1 if entropy >= 3 and digits and letters else -1 if entropy < 2.2 or not digits else 0) if name == "secret" else (1 if distinct >= 6 or name == "iban" else -1 if distinct <= 3 else 0),
     )
     code = kind
     for v in votes:

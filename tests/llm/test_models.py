@@ -95,7 +95,7 @@ def plain_reliabilities(candidates):
     soft = [1 / (1 + math.exp(-1.5 * sum(v))) for _, v in candidates]
     for _ in range(50):
         yes, no = sum(soft) + 6, len(soft) - sum(soft) + 6
-        prior = {k: (sum(s for s, (kind, _) in zip(soft, candidates) if kind == k) + 1) / (sum(kind == k for kind, _ in candidates) + 2) for k in range(3)}
+        prior = {k: (sum(s for s, (kind, _) in zip(soft, candidates) if kind == k) + 1) / (sum(kind == k for kind, _ in candidates) + 2) for k in range(len(pii.LOOSE))}
         table = {}
         for j in range(4):
             for v in (-1, 0, 1):
