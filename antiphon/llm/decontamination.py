@@ -242,7 +242,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, gram: int = GRA
     both = placed.join(own, F.col("f.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("f.version") == F.col("w.version")))
     first = F.greatest(F.col("f.lo") - F.col("f.reach"), F.lit(0))
     passage = F.substring(F.col("w.words"), (first * 8 + 1).cast("int"), ((F.col("f.hi") + F.col("f.reach") + 3 - first) * 8).cast("int"))
-    passages = both.select("f.doc_id", "f.version", F.col("f.item").alias("item"), first.alias("first"), passage.alias("passage"))
+    # Kept, as the split join reads them twice, and the documents' words are far more than the passages.
+    passages = C.keep(both.select("f.doc_id", "f.version", F.col("f.item").alias("item"), first.alias("first"), passage.alias("passage")), "passages")
     sized = items.select("item", "item_id", "n", "need", F.col("words").alias("item_words")).join(counts, "item")
     whole = C.split_join(passages, sized, ["item"], "times", n_found).select("doc_id", "version", "first", "passage", "item_id", "n", "need", "item_words")
     return whole.mapInArrow(_align, "doc_id long, version long, item_id long, score double, end_word long")
