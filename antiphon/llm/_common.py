@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from antiphon.operators.kept import forget, keep, new_place, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but these six bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,33 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where none is set (a local session) a temporary one is made."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = place.get() if place.isDefined() else None
-    if not place:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="antiphon-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def new_place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/antiphon/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it back: it's computed once, and lost executors cost nothing after it."""
-    place = new_place(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(place)
-    out = df.sparkSession.read.schema(df.schema).parquet(place)
-    out._antiphon_place = place
-    return out
-
-
 #: Keys that split_join() sends to every task at most, and rows that any one task may get.
 HOT_KEYS, FEW_ROWS = 1_000, 1 << 15
 
@@ -64,17 +37,8 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, n
     bound = max(64, 2 * n_rows // HOT_KEYS)
     hot, cool = table.where(F.col(count) > bound).drop(count), table.where(F.col(count) <= bound).drop(count)
     others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys, how).unionByName(others.join(cool, keys, how))
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of keep() that nothing needs any more."""
-    for df in tables:
-        place = getattr(df, "_antiphon_place", None)
-        if place:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    # A hot key is in the table, so its rows have a partner whatever `how` is.
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(cool, keys, how))
 
 
 def free_name(df: DataFrame, name: str) -> str:

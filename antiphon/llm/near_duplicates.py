@@ -190,9 +190,10 @@ def joined_in_buckets(members: DataFrame, linked: DataFrame, sets: DataFrame, le
     new = components(cells.groupBy("band", "key", "ci", "cj").applyInArrow(_compare_cells(least), "a long, b long"))
     new = C.keep(new, "joined")
     C.forget(rooted)
-    every = linked.select("node", "root").union(new.select("node", F.col("node").alias("root"))).distinct()
-    top = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return every.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    every = C.keep(linked.select("node", "root").union(new.select("node", F.col("node").alias("root"))).distinct(), "rooted")
+    counts = every.groupBy("root").agg(F.count("*").alias("n"))
+    top = new.select(F.col("node").alias("root"), F.col("root").alias("top")).join(counts, "root")
+    return C.split_join(every, top, ["root"], "n", every.count(), "left").select("node", F.coalesce("top", "root").alias("root"))
 
 
 def _digest(text: Column) -> Column:
@@ -212,10 +213,11 @@ def candidates(signed: DataFrame, n_texts: int) -> DataFrame:
     return pairs.select(F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"))
 
 
-def tree_candidates(signed: DataFrame) -> DataFrame:
+def tree_candidates(signed: DataFrame, n_texts: int) -> DataFrame:
     """Pairs (a, b) of nodes, a < b: one node of each fingerprint with all others of it, and with that of each fingerprint that the tree links to it."""
     points = C.keep(signed.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "points")
-    equal = signed.select("fp", F.col("node").alias("b")).join(points.where("n > 1").select("fp", F.col("head").alias("a")), "fp").where("a < b").select("a", "b")
+    same = points.where("n > 1").select("fp", F.col("head").alias("a"), "n")
+    equal = C.split_join(signed.select("fp", F.col("node").alias("b")), same, ["fp"], "n", n_texts).where("a < b").select("a", "b")
     heads = lambda x, y: points.select(F.col("fp").alias(x), F.col("head").alias(y))
     near = tree_links(points, MOST).join(heads("a", "x"), "a").join(heads("b", "y"), "b")
     return equal.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
@@ -230,7 +232,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, cell:
     distinct = signed.groupBy("digest").agg(first, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     distinct = C.keep(distinct.select("digest", F.col("first.doc_id").alias("first"), "fp", "bands", F.monotonically_increasing_id().alias("node")), "distinct")
     n_texts = distinct.count()
-    pairs = C.keep(candidates(distinct, n_texts).union(tree_candidates(distinct)).distinct(), "candidates")
+    pairs = C.keep(candidates(distinct, n_texts).union(tree_candidates(distinct, n_texts)).distinct(), "candidates")
     members = C.keep(large_buckets(distinct, n_texts), "large-buckets")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
     chosen = distinct.join(wanted, "node", "left_semi").select("node", F.col("first"), F.col("digest").alias("own"))
@@ -242,8 +244,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, cell:
     linked = C.keep(joined_in_buckets(members, linked, sets, least, cell), "linked")
     C.forget(pairs, sets, members)
     rooted = distinct.select("node", "digest", "first").join(linked, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
-    keeper = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("keeper"))
-    stays = rooted.join(keeper, "root").where("digest = keeper.digest").select("digest", "first", F.lit(True).alias("kept"))
+    keeper = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("keeper"), F.count("*").alias("n"))
+    stays = C.split_join(rooted, keeper, ["root"], "n", n_texts).where("digest = keeper.digest").select("digest", "first", F.lit(True).alias("kept"))
     out = signed.select("doc_id", "digest").distinct().join(stays, "digest", "left")
     return out.select("doc_id", "digest", (F.col("kept").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first"))).alias("stays"))
 

@@ -187,9 +187,9 @@ def links(points: DataFrame, most: int = MOST, sample: int = SAMPLE, leaf: int =
             yield pa.RecordBatch.from_arrays([pa.array(fp[index]), pa.array(leaf_of.astype(np.int64)), pa.array(home.astype(bool))], names=["fp", "leaf", "home"])
 
     routed = C.keep(points.select("fp").mapInArrow(route, "fp long, leaf long, home boolean"), "routed")
-    sizes = routed.groupBy("leaf").agg(F.ceil(F.sum(F.col("home").cast("long")) / cell).alias("h"), F.ceil(F.count("*") / cell).alias("s"))
+    sizes = routed.groupBy("leaf").agg(F.ceil(F.sum(F.col("home").cast("long")) / cell).alias("h"), F.ceil(F.count("*") / cell).alias("s"), F.count("*").alias("n"))
     pick = lambda n: F.pmod(F.xxhash64("fp"), n)
-    wide = routed.join(sizes, "leaf")
+    wide = C.split_join(routed, sizes, ["leaf"], "n", routed.count())
     # Every point seeks in all cells of its leaf's home points; home points are held once for each cell of seekers.
     seek = wide.where("h > 0").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)).alias("ch"), pick(F.col("s")).alias("cs"), "fp", F.lit(False).alias("holds"))
     hold = wide.where("home").select("leaf", pick(F.col("h")).alias("ch"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("cs"), "fp", F.lit(True).alias("holds"))
@@ -213,9 +213,10 @@ def links(points: DataFrame, most: int = MOST, sample: int = SAMPLE, leaf: int =
 def simhash(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, **tree: int) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the smallest doc_id that links lead to)."""
     own = C.keep(fingerprints(docs, shingle), "fingerprints")
-    points = C.keep(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    points = C.keep(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "points")
     linked = components(links(points, most, **tree)).withColumnRenamed("node", "fp")
-    linked = C.keep(linked.join(points, "fp"), "linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    names = points.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return own.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = C.keep(linked.join(points.drop("n"), "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("n"))
+    rooted = C.split_join(linked, least, ["root"], "n", linked.count()).select("fp", "component")
+    names = points.join(rooted, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), "n")
+    return C.split_join(own, names, ["fp"], "n", own.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
