@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from antiphon.functions import text as T
 from antiphon.operators import chats as H
+from antiphon.operators import ranks as R
 from antiphon.operators import scans as X
 from antiphon.plans.registry import Tables, query
 from antiphon.streaming import admission
@@ -138,10 +138,9 @@ SELECT user_id, count_if(event_type NOT IN ('signup', 'error') AND coalesce(tag,
 def f08_span_mask(t: Tables) -> DataFrame:
     """Content outside spans: "signup" opens one, "error" closes it."""
     tag = F.when(F.col("event_type").isin("signup", "error"), F.col("event_type"))
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    m = t("events").select("user_id", tag.alias("tag"), F.last(tag, ignorenulls=True).over(w).alias("now"))
+    rows = R.placed(t("events").select("user_id", "ts", "event_id", tag.alias("tag")), ["user_id", "ts", "event_id"], "span-tags", "user_id", "tag")
     inside = F.coalesce(F.col("now") == "signup", F.lit(False))
-    return m.groupBy("user_id").agg(F.count_if(F.col("tag").isNull() & ~inside).alias("kept"), (F.count("tag") > 0).alias("unexpected"))
+    return R.carried(rows, "user_id", "tag", "now").groupBy("user_id").agg(F.count_if(F.col("tag").isNull() & ~inside).alias("kept"), (F.count("tag") > 0).alias("unexpected"))
 
 
 _ENDS = ("purchase", "error")
@@ -161,8 +160,7 @@ def b13_trim_at_end(t: Tables) -> DataFrame:
 def f13_sliding_rate(t: Tables) -> DataFrame:
     """Events of the six hours before; one that is exactly six hours old has left."""
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    w = W.partitionBy("user_id").orderBy("us").rangeBetween(-21_599_999_999, -1)
-    return t("events").withColumn("us", us).select("event_id", F.count("*").over(w).alias("prior"))
+    return R.counts_before(t("events").select("user_id", "event_id", us.alias("us")), "user_id", "us", 21_600_000_000, "prior").select("event_id", "prior")
 
 
 @query("""WITH h AS (SELECT conv_id, list(struct_pack(r := role, n := length(text)) ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
@@ -213,19 +211,23 @@ def b10_style_hint(t: Tables) -> DataFrame:
 SELECT user_id, list_sum(list_transform(range(1, len(mask) + 1), lambda i: CASE WHEN mask[i] THEN len(list_filter(mask[:i], lambda b: b)) - 1 ELSE 0 END))::BIGINT AS position_sum, len(mask)::BIGINT AS n FROM e""")
 def b17_position_ids(t: Tables) -> DataFrame:
     """Running count of unmasked places less one; 0 where masked."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     on = F.col("value") > 10
-    p = t("events").select("user_id", F.when(on, F.sum(on.cast("int")).over(w) - 1).otherwise(0).alias("p"))
+    rows = R.placed(t("events").select("user_id", "ts", "event_id", on.alias("on")), ["user_id", "on", "ts", "event_id"], "masked-places", "user_id", "on")
+    # Masked places come first, so an unmasked one's number among its own is its position.
+    masked = rows.groupBy("user_id").agg(F.count_if(~F.coalesce("on", F.lit(False))).alias("masked"))
+    p = R.numbered_by(rows, "user_id").join(masked, "user_id").select("user_id", F.when(F.col("on"), F.col("rn") - F.col("masked") - 1).otherwise(0).alias("p"))
     return p.groupBy("user_id").agg(F.sum("p").alias("position_sum"), F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id), m AS (SELECT max(len(ids)) AS w FROM e)
 SELECT user_id, (w - len(ids))::BIGINT AS padding, w::BIGINT AS width FROM e, m""")
 def b18_left_padding(t: Tables) -> DataFrame:
-    e = t("events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
-    widest = e.agg(F.max(F.size("ids")).alias("w"))
-    padded = e.crossJoin(F.broadcast(widest)).withColumn("p", F.concat(F.array_repeat(F.lit(-1).cast("long"), (F.col("w") - F.size("ids")).cast("int")), F.col("ids")))
-    return padded.select("user_id", F.size(F.filter("p", lambda x: x < 0)).cast("long").alias("padding"), F.size("p").cast("long").alias("width"))
+    """Sequences of one width, the shorter ones moved to the right: a row for each token and its column, never a sequence in one row."""
+    own = R.numbered_by(R.placed(t("events").select("user_id", "event_id"), ["user_id", "event_id"], "sequences"), "user_id")
+    sizes = own.groupBy("user_id").agg(F.count("*").alias("n"))
+    widest = sizes.agg(F.max("n").alias("w"))
+    columns = own.join(sizes.crossJoin(F.broadcast(widest)), "user_id").select("user_id", "w", (F.col("w") - F.col("n") + F.col("rn") - 1).alias("column"))
+    return columns.groupBy("user_id").agg(F.min("column").alias("padding"), (F.max("column") + 1).alias("width"))
 
 
 @query()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from antiphon.operators import corpus as K
 from antiphon.operators import journals as J
+from antiphon.operators import ranks as R
 from antiphon.plans.registry import Tables, query
 
 _ATTEMPTS = """
@@ -186,9 +186,9 @@ def f12_attempt_sequence(t: Tables) -> DataFrame:
 @query("""SELECT user_id, count_if(gap < 60)::BIGINT AS too_fast FROM (SELECT user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id""")
 def l10_pacing(t: Tables) -> DataFrame:
     """Attempts less than a minute after the one before."""
-    before = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    gap = F.timestamp_diff("MICROSECOND", before, F.col("ts")) / 1e6
-    return t("events").select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count_if(F.col("gap") < 60).alias("too_fast"))
+    rows = R.previous(R.placed(t("events").select("user_id", "ts", "event_id"), ["user_id", "ts", "event_id"], "attempts"), "user_id", "ts", "before")
+    gap = F.timestamp_diff("MICROSECOND", F.col("before"), F.col("ts")) / 1e6
+    return rows.groupBy("user_id").agg(F.count_if(gap < 60).alias("too_fast"))
 
 
 @query("""WITH g AS (SELECT label, count(*)::BIGINT AS n, count(quality)::BIGINT AS p, count_if(quality = 1)::BIGINT AS q FROM embeddings LEFT JOIN labels ON doc_id = vec_id GROUP BY label)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from antiphon.functions import text as T
-from antiphon.operators import audits, chats, directions, scans
+from antiphon.operators import audits, chats, directions, ranks, scans
 
 
 @pytest.fixture
@@ -90,6 +90,30 @@ def test_scans_of_nothing(spark):
         scans.first_long_run(df, "k", ["at"], "x", 1)
 
 
+def test_rows_of_a_hot_key_in_order(spark):
+    """Numbers, values carried on, values before and counts in a width, with keys over several partitions."""
+    draw = random.Random(8)
+    rows = [(draw.choice(["hot"] * 6 + ["a", "b", "c", None]), draw.randrange(5000), i, draw.choice([None, None, "x", "y"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, v string").repartition(6)
+    placed = ranks.placed(df, ["k", "t", "i"], "test-ranks")
+    assert placed.where("k = 'hot'").select((F.col("place") / 2**33).cast("int")).distinct().count() > 1
+    own = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        own.setdefault(r[0], []).append(r)
+    number, carry, before = {}, {}, {}
+    for key, s in own.items():
+        last = None
+        for n, (_, _, i, v) in enumerate(s):
+            last = v if v is not None else last
+            number[i], carry[i], before[i] = n + 1, last, s[n - 1][3] if n else None
+    assert {r.i: r.rn for r in ranks.numbered_by(placed, "k").collect()} == number
+    assert {r.i: r.now for r in ranks.carried(placed, "k", "v", "now").collect()} == carry
+    assert {r.i: r.old for r in ranks.previous(placed, "k", "v", "old").collect()} == before
+    want = {i: sum(0 < t - u < 700 for _, u, _, _ in own[k]) for k, t, i, _ in rows}
+    assert {r.i: r.n for r in ranks.counts_before(df, "k", "t", 700, "n").collect()} == want
+    assert [r["rank"] for r in ranks.numbered(placed).orderBy("k", "t", "i").select("rank").collect()] == list(range(1, 3001))
+
+
 def plain_directions(rows, limit, most):
     kept, held = [], np.zeros((0, len(rows[0][1])))
     for key, v in rows:
