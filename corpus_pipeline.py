@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _common.read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = _common.keep(docs, f"stage-{name}")
+            out = _common.keep(out, f"stage-{name}")
+            _common.forget(docs)  # a stage's documents, once the next one's are written
+        docs = out
     return docs
