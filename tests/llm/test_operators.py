@@ -478,7 +478,7 @@ def test_pipeline_and_registry(spark):
     import corpus_pipeline
 
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
@@ -492,7 +492,7 @@ def test_sql_of_this_folder(spark):
     import duckdb
 
     db = duckdb.connect()
-    for table in ("documents", "labels", "pages"):
+    for table in ("documents", "labels", "pages", "benchmark", "embeddings"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in __spark_entry__.oracle_sql().items():
         if not name.startswith("op"):
