@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from antiphon.functions import text as T
 from antiphon.operators.ranks import numbered, placed
 
 
@@ -147,6 +148,60 @@ def total_problems(declared: DataFrame, found: DataFrame, key: str, fields: list
     return both.where(~F.col("declared").eqNullSafe(F.col("found"))).select(key, "field", "declared", "found")
 
 
+def _told(df: DataFrame, name: str) -> DataFrame:
+    """id, the row, and how many rows the id has."""
+    return df.groupBy("id").agg(F.max(F.struct(*(c for c in df.columns if c != "id"))).alias(name), F.count("*").alias(f"n_{name}"))
+
+
+def json_list(texts: Column) -> Column:
+    """A list of texts as JSON, with a blank after each comma."""
+    one = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)\A\[(.*)\]\z", 1)
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, one), ", "), F.lit("]"))
+
+
+def result_problems(inputs: DataFrame, records: DataFrame, rows: DataFrame, budget: int, method: str) -> DataFrame:
+    """id, problem: everything that is wrong with final results, by record.
+
+    inputs: id, instruction, category. records: also instruction_sha256, status, method, max_new_tokens, generated_tokens, finish_reason, response, empty,
+    heuristic_refusal, refusal_matches (a list). rows: what the CSV says of an id, as text, under any of those names. An input
+    needs one record and one row; both must repeat it; flags, status, token counts and finish reasons must agree with each other
+    and with the budget; and each field of a row must be the record's, nulls and booleans as a CSV writes them.
+    """
+    both = _told(inputs, "i").join(_told(records, "r"), "id", "full_outer").join(_told(rows, "c"), "id", "full_outer")
+    r, i = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"i.{c}"))
+    kinds = dict(records.dtypes)
+
+    def as_csv(c: str) -> Column:
+        if kinds[c] == "boolean":
+            return F.coalesce(F.when(r(c), "true").when(~r(c), "false"), F.lit(""))
+        return F.coalesce(json_list(r(c)) if kinds[c].startswith("array") else r(c).cast("string"), F.lit(""))
+
+    no = lambda holds, problem: F.when(~F.coalesce(holds, F.lit(False)), problem)
+    here, tokens = F.col("r").isNotNull() & F.col("i").isNotNull(), r("generated_tokens")
+    of_record = [
+        no(r("instruction") == i("instruction"), "instruction changed"), no(r("category").eqNullSafe(i("category")), "category changed"), no(r("instruction_sha256") == F.sha2(i("instruction"), 256), "instruction checksum"),
+        no(r("status").isin("completed", "empty"), "not completed"), no(r("method") == method, "another method"), no(r("max_new_tokens") == budget, "another budget"), no(tokens.between(1, budget), "token count"), no(r("finish_reason").isin("eos", "length"), "finish reason"),
+        no((r("finish_reason") != "length") | (tokens == budget), "length stop below the budget"), no(r("response").isNotNull(), "no response"), no(r("empty") == (T.strip(r("response")) == ""), "empty flag"), no((r("status") == "empty") == r("empty"), "status and empty flag"),
+        no(F.forall(r("refusal_matches"), lambda x: x.isNotNull()), "refusal matches"),
+    ]
+    of_row = [no(F.col(f"c.{c}") == as_csv(c), f"CSV differs in {c}") for c in rows.columns if c in kinds and c != "id"]
+    found = F.concat(
+        F.array_compact(F.array(
+            F.when(F.col("n_i").isNull(), "not an input").when(F.col("n_i") > 1, "input repeated"), F.when(F.col("n_r").isNull(), "no record").when(F.col("n_r") > 1, "record repeated"), F.when(F.col("n_c").isNull(), "no row").when(F.col("n_c") > 1, "row repeated"),
+        )),
+        F.when(here, F.array_compact(F.array(*of_record))).otherwise(F.array().cast("array<string>")), F.when(F.col("r").isNotNull() & F.col("c").isNotNull(), F.array_compact(F.array(*of_row))).otherwise(F.array().cast("array<string>")),
+    )
+    return both.select("id", F.explode(found).alias("problem"))
+
+
+def summary_problems(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """field, declared, found where a summary's one row (count, heuristic_refusals, empty_outputs, degenerate_outputs, heuristic_refusal_rate) differs from what the records give."""
+    found = records.agg(F.count("*").alias("count"), F.count_if("heuristic_refusal").alias("heuristic_refusals"), F.count_if("empty").alias("empty_outputs"), F.count_if("degenerate").alias("degenerate_outputs"))
+    found = found.withColumn("heuristic_refusal_rate", F.try_divide("heuristic_refusals", "count"))
+    long = lambda df, name: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias(name)) for c in found.columns))))
+    return long(found, "found").join(long(declared, "declared"), "field").where(~F.col("found").eqNullSafe(F.col("declared"))).select("field", "declared", "found")
+
+
 def failed_rules(measures: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     """keys, rule: a row for each rule that a row of measures fails; an unknown (null) measure fails."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in rules.items())))

@@ -167,6 +167,39 @@ def n09_result_totals(t: Tables) -> DataFrame:
     return A.total_problems(declared, found, "lang", ["n", "refusals", "degenerate"])
 
 
+_WRONG = {1: ("instruction changed", "instruction"), 2: ("instruction checksum", None), 3: ("token count", "generated_tokens"), 4: ("length stop below the budget", None), 5: ("empty flag", None), 6: ("CSV differs in refusal_matches", None), 7: ("CSV differs in heuristic_refusal", None), 8: ("record repeated", None), 9: ("no row", None), 10: ("another budget", None)}
+
+
+@query(f"""WITH w(k, problem) AS (VALUES {', '.join(f"({k}, '{p}')" for k, (p, _) in _WRONG.items())})
+SELECT doc_id AS id, problem FROM documents JOIN w ON k = doc_id % 40 UNION ALL SELECT doc_id, 'status and empty flag' FROM documents WHERE doc_id % 40 = 5 UNION ALL SELECT doc_id, 'CSV differs in ' || f FROM documents, (VALUES (1, 'instruction'), (3, 'generated_tokens')) v(k, f) WHERE k = doc_id % 40""")
+def n09_result_records(t: Tables) -> DataFrame:
+    """Final results against inputs and their CSV, record by record; ten kinds of faults."""
+    k, budget = F.col("id") % 40, 2048
+    inputs = t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("instruction"), F.col("source").alias("category"))
+    matches = F.when(F.col("id") % 3 == 0, F.array(F.lit('I "cannot"'), F.lit("no"))).otherwise(F.array().cast("array<string>"))
+    right = inputs.select(
+        "id", "instruction", "category", F.sha2("instruction", 256).alias("instruction_sha256"), F.lit("completed").alias("status"), F.lit("rules").alias("method"), F.lit(budget).alias("max_new_tokens"), (F.col("id") % 100 + 1).cast("int").alias("generated_tokens"),
+        F.lit("eos").alias("finish_reason"), F.lit("reply").alias("response"), F.lit(False).alias("empty"), (F.col("id") % 3 == 0).alias("heuristic_refusal"), matches.alias("refusal_matches"),
+    )
+    text = lambda c: F.when(F.col(c), "true").otherwise("false") if c == "heuristic_refusal" else A.json_list(F.col(c)) if c == "refusal_matches" else F.col(c).cast("string")
+    rows = right.where(k != 9).select("id", *(text(c).alias(c) for c in ("instruction", "category", "generated_tokens", "heuristic_refusal", "refusal_matches")))
+    rows = rows.withColumns({"refusal_matches": F.when(k == 6, "none").otherwise(F.col("refusal_matches")), "heuristic_refusal": F.when(k == 7, "yes").otherwise(F.col("heuristic_refusal"))})
+    records = right.withColumns({
+        "instruction": F.when(k == 1, F.concat("instruction", F.lit("!"))).otherwise(F.col("instruction")), "instruction_sha256": F.when(k == 2, "0").otherwise(F.col("instruction_sha256")), "generated_tokens": F.when(k == 3, 0).otherwise(F.col("generated_tokens")),
+        "finish_reason": F.when(k == 4, "length").otherwise(F.col("finish_reason")), "empty": (k == 5) | F.col("empty"), "max_new_tokens": F.when(k == 10, 1).otherwise(F.col("max_new_tokens")),
+    })
+    return A.result_problems(inputs, records.union(records.where(k == 8)), rows, budget, "rules")
+
+
+@query("""WITH r AS (SELECT count(*) AS n, count_if(quality = 0) AS f, count_if(toxic = 1) AS d FROM labels)
+SELECT 'heuristic_refusals' AS field, (f + 1)::DOUBLE AS declared, f::DOUBLE AS found FROM r UNION ALL SELECT 'heuristic_refusal_rate', round((f + 1) / n, 12), round(f / n, 12) FROM r""")
+def n09_result_summary(t: Tables) -> DataFrame:
+    """A summary's totals and rate against the records; one refusal too many is declared."""
+    records = t("labels").select(F.coalesce(F.col("quality") == 0, F.lit(False)).alias("heuristic_refusal"), F.lit(False).alias("empty"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("degenerate"))
+    declared = records.agg(F.count("*").alias("count"), (F.count_if("heuristic_refusal") + 1).alias("heuristic_refusals"), F.lit(0).alias("empty_outputs"), F.count_if("degenerate").alias("degenerate_outputs")).withColumn("heuristic_refusal_rate", F.col("heuristic_refusals") / F.col("count"))
+    return A.summary_problems(records, declared).select("field", F.round("declared", 12).alias("declared"), F.round("found", 12).alias("found"))
+
+
 _GATE = {"completed": "n_open = 0", "fewer refusals": "returns_late < returns_early", "no lost probes": "lost = 0", "divergence": "drift < 0.002"}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from antiphon.operators import audits
-from antiphon.sources import files, lines, records, safetensors
+from antiphon.sources import files, lines, records, repair, safetensors
 from antiphon.sources.files import BadDocument
 from antiphon.streaming import early
 
@@ -170,6 +170,41 @@ def test_early_cancellations(spark, tmp_path, restart):
     assert got == [("early", "cancelled early"), ("late", "begun"), ("never", "begun"), ("old", "begun"), ("twice", "cancelled early"), ("unordered", "cancelled early")]
 
 
+def test_repair_by_blocks(spark, tmp_path):
+    draw = random.Random(2)
+    data = {f"{d}f{i}.bin": draw.randbytes(draw.choice([1, 999, 1000, 1001, 5500])) for i in range(8) for d in ("", "sub/")}
+    for side in ("source", "local"):
+        os.makedirs(f"{tmp_path}/{side}/sub")
+        for name, x in data.items():
+            with open(f"{tmp_path}/{side}/{name}", "wb") as f:
+                f.write(x)
+    source, local = f"{tmp_path}/source", f"{tmp_path}/local"
+
+    def change(name, how):
+        with open(f"{local}/{name}", "rb") as f:
+            x = bytearray(f.read())
+        with open(f"{local}/{name}", "wb") as f:
+            f.write(how(x))
+
+    change("f0.bin", lambda x: bytes([x[0] ^ 1]) + x[1:])
+    change("sub/f1.bin", lambda x: x[:-1])
+    change("f2.bin", lambda x: x + b"more")
+    os.unlink(f"{local}/f3.bin")
+    with open(f"{local}/extra", "w") as f:
+        f.write("x")
+    declared = repair.declared_blocks(spark, source, 1000).cache()
+    before = {p: open(p, "rb").read() for p in files_under(local)}
+    wrong = declared.withColumn("sha256", F.when(F.col("path") == "f3.bin", "0" * 64).otherwise(F.col("sha256")))
+    with pytest.raises(Exception, match="at its source, too"):
+        repair.repair(spark, wrong, source, local)
+    assert {p: open(p, "rb").read() for p in files_under(local)} == before
+    done = {r.path: r for r in repair.repair(spark, declared, source, local).collect()}
+    assert {p for p, r in done.items() if r.problem == "repaired"} == {"f0.bin", "sub/f1.bin", "f2.bin", "f3.bin"} and done["extra"].problem == "surplus"
+    assert done["f0.bin"].fetched == 1 and done["f2.bin"].fetched == 0 and done["f3.bin"].fetched == done["f3.bin"].blocks
+    assert {p[len(local) + 1 :]: open(p, "rb").read() for p in files_under(local)} == data
+    assert {r.problem for r in repair.repair(spark, declared, source, local).collect()} == {"right"}
+
+
 def plain_root(texts, fan):
     import hashlib
 
