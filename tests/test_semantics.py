@@ -203,3 +203,11 @@ def test_distinct_directions_goes_on_past_parallel_rows(spark):
             units.append(u)
     df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
     assert [r.k for r in directions.distinct_directions(df, "k", "v", [F.col("k")], 5, 0.9).orderBy("rank").collect()] == want and len(want) == 5 and want[1] >= 50
+
+
+def test_answers_in_one_wrapper(spark):
+    said = ["42", " 42 ", "**42**", "`42`", "```\n42\n```", "```text\n42```", "**4**2**", "`4`2`", "``42``", "It is 42", "42 42", "", " ", None, "**`42`**", "42.", "```text\n42\n``` and more"]
+    want = ["42", "42", "42", "42", "42", "42", "**4**2**", "`4`2`", "``42``", "It is 42", "42 42", "", "", None, "`42`", "42.", "```text\n42\n``` and more"]
+    assert column(spark, said, "string", T.unwrapped_answer) == want
+    passes = column(spark, said, "string", lambda x: T.answer_matches(x, F.lit(r"\A\s*42\s*[.!]?\s*\z")))
+    assert passes == [True] * 6 + [False] * 9 + [True, False]
