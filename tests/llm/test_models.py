@@ -90,6 +90,26 @@ def test_given_rules_on_odd_pages(spark):
     assert url_rules.url_verdicts(pages.limit(0), labels).count() == 0 and url_rules.url_verdicts(pages, labels.limit(0)).count() == 6
 
 
+def test_url_tokens_of_all_letters(spark):
+    """Letters whose lower case is two characters, or a plain one: rows against the SQL."""
+    import duckdb
+
+    from antiphon.llm.sql import ORACLE
+
+    draw = random.Random(8)
+    words = ["x\u0130y", "\u0130", "Kelvin", "\u212aelvin", "I\u0307x", "\u0131", "Stra\u00dfe", "news", "shop", "B7"]
+    urls = [f"http://{'.'.join(draw.sample(words, draw.randint(1, 3)))}/{draw.choice(('en', 'q', 'X'))}" for _ in range(300)] + ["http://other.info/xiy", "http://other.info/xi/y", "ftp://a.net/de/x\u0130y"]
+    bad = [(i, int("\u0130" not in u), 0) for i, u in enumerate(urls[:300]) if i % 5]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame(bad, "doc_id long, quality int, toxic int")
+    db = duckdb.connect()
+    db.register("pages", pages.toArrow())
+    db.register("labels", labels.toArrow())
+    want = db.sql(ORACLE["op7_url_rules"])
+    got = url_rules.url_verdicts(pages, labels).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and {r.page_id: r.verdict for r in got if r.page_id >= 300} == {300: "block", 301: "allow", 302: "block"}
+
+
 def plain_reliabilities(candidates):
     """Expectation-maximisation on candidates (kind, votes), one by one."""
     soft = [1 / (1 + math.exp(-1.5 * sum(v))) for _, v in candidates]
