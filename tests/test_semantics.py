@@ -1,6 +1,7 @@
 """Facts that the operators must reproduce, sources and sinks, streams."""
 
 import json
+import random
 import struct
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import types as Ty
 from antiphon.functions import text as T
 from antiphon.functions import vectors as V
 from antiphon.operators import chats, corpus, directions, journals, matching, scans
+from antiphon.plans import QUERIES
 from antiphon.sources import files, safetensors
 from antiphon.streaming import admission, events
 
@@ -24,6 +26,25 @@ def test_scores(spark):
     assert column(spark, values, "string", T.parse_score) == [75, 100, 0] + [None] * 9
 
 
+def test_gate_on_ties(spark, tmp_path):
+    """Suppliers whose mean discount is 0.052 or 0.048 to the last digit, rows in any order and any number of files: the doubles' 0.052 - 0.05 is below 0.002, 0.05 - 0.048 isn't."""
+    draw, rows = random.Random(4), []
+    for k in range(60):
+        cents = [draw.randint(0, 10) for _ in range(600)]
+        want = 3120 if k % 2 else 2880
+        while sum(cents) != want:
+            i, step = draw.randrange(600), 1 if sum(cents) < want else -1
+            cents[i] = min(10, max(0, cents[i] + step))
+        rows += [(k, 1 + i % 7, 1.0, x / 100, 0.0, "R" if i % 7 == 0 else "N", "F") for i, x in enumerate(cents)]
+    rows += [(100, 1, 1.0, x, 0.0, "R", "F") for x in (0.05, None, float("nan"))] + [(101, 1, 1.0, x, 0.0, "R", "F") for x in (0.05, float("inf"))] + [(103, 1, 1.0, x, 0.0, "R", "F") for x in (0.05, None)]
+    for n in (1, 3, 7):
+        draw.shuffle(rows)
+        path = f"{tmp_path}/{n}"
+        spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").repartition(n).write.parquet(f"{path}/lineitem.parquet")
+        got = [(r.l_suppkey, r.rule) for r in QUERIES["n10_export_gate"](spark, path).collect()]
+        assert sorted(got) == [(k, "divergence") for k in range(0, 60, 2)] + [(k, "divergence") for k in (100, 101)]
+
+
 def test_refusals(spark):
     said = ["I cannot help with that.", "**I'm sorry**, but I can't do it", "Sorry. The answer is 4.", "He said: I cannot help", "As an AI language model, I must decline", "", None]
     assert [bool(x) for x in column(spark, said, "string", T.refusal_match)] == [True, True, False, False, True, False, False]
