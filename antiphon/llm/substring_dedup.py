@@ -9,7 +9,7 @@ stands, so no shared window is missed; a factor is at least a window long, and i
 
 Everything is a hash aggregation that keeps the smallest doc_id, so a passage that a third of all documents share is
 combined before the shuffle, rows of hot anchors and blocks are never gathered in one task, and no pairs within a group are
-made. Windows and blocks are told apart by 64 bits of hash of all their words within one anchor, whose 64 bits are of another,
+made. A block that one text repeats is one row, with all places where it begins. Windows and blocks are told apart by 64 bits of hash of all their words within one anchor, whose 64 bits are of another,
 independent hash; the words are never compared as such.
 
 Edge cases: a null text has no words. A null doc_id is neither source nor target: nothing is removed from it. Rows with one
@@ -24,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antiphon.llm import _common as C
 
 WINDOW, GRAM = 50, 20
-BLOCKS = "doc_id long, version long, anchor long, block long, begin int, n_windows int"
+BLOCKS = "doc_id long, version long, anchor long, block long, begins array<int>, n_windows int"
 WINDOWS = "doc_id long, version long, anchor long, content long, begin int"
 
 
@@ -86,11 +86,16 @@ def _blocks(window: int, gram: int):
             first = np.flatnonzero(new)
             count = np.diff(np.append(first, len(begin)))
             at, row = begin[first], rows[first]
-            ids, versions = (batch.column(i).take(pa.array(row)) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays(
-                [ids, versions, C.signed(parser.grams[anchor[first]]), C.signed(parser.blocks(at, count)), pa.array((at - parser.words.rows[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["doc_id", "version", "anchor", "block", "begin", "n_windows"],
-            )
+            grams, blocks = parser.grams[anchor[first]], parser.blocks(at, count)
+            # Equal blocks of one row together; the sort is stable, so their places ascend.
+            order = np.lexsort((blocks, row))
+            at, row, grams, blocks, count = (x[order] for x in (at, row, grams, blocks, count))
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1]) | (blocks[1:] != blocks[:-1])
+            one = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(one, len(at)).astype(np.int32)), pa.array((at - parser.words.rows[row]).astype(np.int32)))
+            ids, versions = (batch.column(i).take(pa.array(row[one])) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([ids, versions, C.signed(grams[one]), C.signed(blocks[one]), places, pa.array(count[one].astype(np.int32))], names=["doc_id", "version", "anchor", "block", "begins", "n_windows"])
 
     return find
 
@@ -155,33 +160,38 @@ def parse_factors(found: list, window: int) -> list[tuple[int, int, int, int]]:
     return [tuple(x) for x in out]
 
 
+def _each_place(*columns: str) -> Column:
+    """All places of a group's rows: begin and the columns named."""
+    return F.flatten(F.collect_list(F.transform("begins", lambda begin: F.struct(begin.alias("begin"), *columns))))
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, version (hash of the text), begin, n_windows, source, source_begin: windows that stand in a document with a smaller id, too."""
+    """doc_id, version (hash of the text), begins, n_windows, source, source_begin: so many windows from each of those places stand in a document with a smaller id, too."""
     texts = C.text_frame(docs, F.xxhash64("text").alias("version")).where("doc_id IS NOT NULL")
     blocks = C.keep(texts.mapInArrow(_blocks(window, gram), BLOCKS), "blocks")
     shared = blocks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
     blocks_shared = C.keep(C.split_join(blocks, shared, ["anchor"], "n", blocks.count(), "left_semi"), "shared-blocks")
     n_shared = blocks_shared.count()
-    place = F.struct("doc_id", "begin")
+    place = F.struct("doc_id", F.col("begins")[0].alias("begin"))
     classes = C.keep(blocks_shared.groupBy("anchor", "block").agg(F.min(place).alias("first"), F.count("*").alias("n")), "block-classes")
     C.forget(blocks)
     source = [F.col("first.doc_id").alias("source"), F.col("first.begin").alias("source_begin")]
     marked = C.split_join(blocks_shared, classes.select("anchor", "block", *source, "n"), ["anchor", "block"], "n", n_shared)
-    whole = marked.where("doc_id > source").select("doc_id", "version", "begin", "n_windows", "source", "source_begin")
+    whole = marked.where("doc_id > source").select("doc_id", "version", "begins", "n_windows", "source", "source_begin")
     # Anchors with different blocks: in the first document of each block, the windows are looked up.
     several = classes.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("top")).where("blocks > 1 AND lo < top").select("anchor", "n")
-    edges = C.split_join(marked.where("doc_id = source"), several, ["anchor"], "n", n_shared, "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "n_windows")).alias("wanted"))
+    edges = C.split_join(marked.where("doc_id = source"), several, ["anchor"], "n", n_shared, "left_semi").groupBy("doc_id", "version").agg(_each_place("n_windows").alias("wanted"))
     at_edges = texts.join(edges, ["doc_id", "version"]).select("doc_id", "text", "version", "wanted").mapInArrow(_windows(window, gram), WINDOWS)
     at_edges = C.keep(at_edges, "edge-windows")
     firsts = at_edges.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("hi > first.doc_id").select("anchor", "content", *source, "n")
-    single = C.split_join(at_edges, firsts, ["anchor", "content"], "n", at_edges.count()).where("doc_id > source").select("doc_id", "version", "begin", F.lit(1).alias("n_windows"), "source", "source_begin")
+    single = C.split_join(at_edges, firsts, ["anchor", "content"], "n", at_edges.count()).where("doc_id > source").select("doc_id", "version", F.array("begin").alias("begins"), F.lit(1).alias("n_windows"), "source", "source_begin")
     return whole.unionByName(single)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, n_factors, factors (begin, end, source, source_begin in words)."""
     # A document's factors are no more than its words.
-    found = duplicate_spans(docs, window, gram).groupBy("doc_id", "version").agg(F.collect_list(F.struct("begin", "n_windows", "source", "source_begin")).alias("found"))
+    found = duplicate_spans(docs, window, gram).groupBy("doc_id", "version").agg(_each_place("n_windows", "source", "source_begin").alias("found"))
     texts = C.text_frame(docs, F.xxhash64("text").alias("version"))
     joined = texts.join(found, ["doc_id", "version"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors int, factors array<struct<begin int, end int, source long, source_begin int>>")

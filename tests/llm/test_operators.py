@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -183,6 +184,26 @@ def test_substring_dedup_random(spark, alphabet):
         assert (r.n_words, r.n_removed, r.kept_sha256) in want[r.doc_id]
 
 
+def test_substring_dedup_repeats(spark):
+    """Passages that texts repeat, whole and cut: a block is one row of its text, however often it stands there; rows against brute force."""
+    draw = random.Random(9)
+    passages = [" ".join(draw.choice("abcdefgh") for _ in range(draw.randint(5, 40))) for _ in range(6)]
+    rows = [(i, " ".join(draw.choice([*passages[: 1 + i % 6], draw.choice("xyz")]) for _ in range(draw.randint(1, 30)))) for i in range(50)]
+    rows += [(100, " ".join(passages[:1] * 300)), (99, " ".join(passages[:1] * 200) + " z"), (101, " ".join(passages[:2] * 150)), (98, rows[7][1]), (98, rows[9][1])]
+    want = brute_windows(rows, 8)
+    for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 8, 3).collect():
+        assert (r.n_words, r.n_removed, r.kept_sha256) in want[r.doc_id]
+    ids, texts = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(range(len(rows)))], names=["doc_id", "text", "version"])
+    blocks = [b for out in substring_dedup._blocks(8, 3)(iter([batch])) for b in out.to_pylist()]
+    keys = [(b["version"], b["anchor"], b["block"]) for b in blocks]
+    assert len(set(keys)) == len(keys) and max(len(b["begins"]) for b in blocks) >= 299
+    # The places and windows of a text's blocks are all its windows, each once.
+    for k, text in enumerate(texts):
+        found = sorted(at + i for b in blocks if b["version"] == k for at in b["begins"] for i in range(b["n_windows"]))
+        assert found == list(range(max(0, len(text.split()) - 7)))
+
+
 def test_substring_dedup_documents(documents, texts):
     want = brute_windows(list(texts.items()), 50)
     for r in substring_dedup.substring_dedup(documents).collect():
